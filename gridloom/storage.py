@@ -28,13 +28,15 @@ def _remove_own() -> None:
     shutil.rmtree(_own_dir.get("path", ""), ignore_errors=True)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and return the table read back.
 
+    ``partition_by`` columns become folders, so that filters on them leave whole files out.
     Used where a result feeds several branches and must not be computed twice or differently.
     The files survive the loss of any executor; they are compressed, so they stay below the
     size of a checkpoint of the same rows.
     """
     path = f"{shared_dir(df.sparkSession)}/gridloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
