@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, ledger
+from gridloom.llm import bpe, langid, ledger, mixing
 from gridloom.sources.tables import table
+from gridloom.storage import materialize
 
 COPY_FIELDS = {"household_id": "identifier", "source_timestamp_text": "label", "consumption_raw_text": "amount"}
 
@@ -31,5 +32,34 @@ def p8_ids(spark, d):
     return bpe.token_ids(table(spark, d, "documents"), ["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_records, p8_ids)}
+def _counts(spark, d):
+    return materialize(bpe.token_counts(table(spark, d, "documents"), ["doc_id", "source"]), "tokens")
+
+
+def p8_counts(spark, d):
+    return bpe.token_counts(table(spark, d, "documents"), ["doc_id"])
+
+
+def p9_shares(spark, d):
+    return mixing.shares(_counts(spark, d), table(spark, d, "mixture_targets"))
+
+
+def p9_found(spark, d):
+    return p9_shares(spark, d).where("is_short").select("mix_name", "source")
+
+
+def p9_mixture(spark, d):
+    return mixing.mixture(_counts(spark, d), table(spark, d, "mixture_targets"))
+
+
+def p10_languages(spark, d):
+    documents = table(spark, d, "documents")
+    return langid.languages(documents, langid.fit_profiles(documents))
+
+
+def p10_found(spark, d):
+    return langid.wrong_labels(p10_languages(spark, d)).select("doc_id", "line_no", "lang")
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_records, p8_ids, p8_counts, p9_found, p9_shares, p9_mixture, p10_found, p10_languages)}
 ORACLES = {}
