@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from gridloom.plans import problems
+from gridloom.plans import problems, reference
 
-_MODULES = [problems]
+_MODULES = [problems, reference]
 
 
 def queries() -> dict:
