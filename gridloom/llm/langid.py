@@ -73,7 +73,7 @@ _CODE_LINE = re.compile(
     r"^\s*\||[A-Za-z_]\((?!s\))|\(\*\)|^\s*(?:def|class|import|return|from\s+\w+\s+import)\b.*[:()=.]\s*|[-+*/<>=!]=|^\s*[{}\[\]]+\s*$|^\s*\{.*[:}]|\w\s*=\s*[{\[\w'\"]|;\s*$|^\s*(?:SELECT|INSERT|UPDATE|DELETE|CREATE|WITH)\s.*(?:\bFROM\b|[;*])|^```"
 )
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>")
-_NOISE = re.compile(r"https?://\S+|\S+@\S+|&[a-z]+;|\b[\w-]+\.(?:csv|zip|json|parquet|txt|xml|sql|py|log)\b|`[^`\n]*`|[A-Za-z]*\d[\w.,:/-]*|\w+_\w+|\bk[Ww]+h\b|\bHH\?")
+_NOISE = re.compile(r"https?://\S+|\S+@\S+|&[a-z]+;|\b[\w-]+\.(?:csv|zip|json|parquet|txt|xml|sql|py|log)\b|`[^`\n]*`|[A-Za-z]*\d[A-Za-z0-9_.,:/-]*|\w+_\w+|\bk[Ww]+h\b|\bHH\?")
 _SENTENCE = re.compile(r"(?<=[.!?。！？…])[\"'»”)]*(?:\s+|(?<=[。！？]))")
 _WORDS = re.compile(r"[^\W\d_]+")
 SHORT = 16
@@ -200,11 +200,11 @@ def packed_ngrams(segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return grams[inside], owner[:-2][inside]
 
 
-def _bundle(maker: Profiles, segments: list[str], label: np.ndarray, classes: int) -> np.ndarray:
+def _bundle(maker: Profiles, segments: list[str], times: np.ndarray, label: np.ndarray, classes: int) -> np.ndarray:
     """Sum of square-rooted n-gram counts times n-gram vectors, for each class."""
     grams, owner = packed_ngrams(segments)
     distinct, back = np.unique(grams, return_inverse=True)
-    counts = np.bincount(label[owner] * len(distinct) + back, minlength=classes * len(distinct)).reshape(classes, len(distinct))
+    counts = np.bincount(label[owner] * len(distinct) + back, times[owner], minlength=classes * len(distinct)).reshape(classes, len(distinct))
     roots = np.sqrt(counts).astype(np.float32)
     total = np.zeros((classes, DIMENSIONS), np.float32)
     for at in range(0, len(distinct), 2048):
@@ -213,11 +213,22 @@ def _bundle(maker: Profiles, segments: list[str], label: np.ndarray, classes: in
     return total
 
 
+def _unit(total: np.ndarray) -> np.ndarray:
+    return total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)
+
+
 def _centred(total: np.ndarray) -> np.ndarray:
-    unit = total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)
-    if len(unit) > 1:
-        unit = unit - unit.mean(axis=0)
-    return unit / np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-9)
+    """Unit prototypes less their mean, which holds what all languages share, of unit length again."""
+    unit = _unit(total)
+    return _unit(unit - unit.mean(axis=0)) if len(unit) > 1 else unit
+
+
+def _recentred(raw: np.ndarray, unit: np.ndarray, among: list[int]) -> np.ndarray:
+    """Cosines with prototypes centred among some classes, from the cosines with uncentred ones."""
+    gram = unit[among] @ unit[among].T
+    length = np.sqrt(np.maximum(np.diag(gram) - 2 * gram.mean(axis=1) + gram.mean(), 1e-9))
+    picked = raw[:, among]
+    return (picked - picked.mean(axis=1, keepdims=True)) / length
 
 
 def train(labelled: list[tuple[str, str]], sizes: dict[str, int] | None = None, rounds: int = 4, explained: float = 0.75) -> Profiles:
@@ -228,11 +239,8 @@ def train(labelled: list[tuple[str, str]], sizes: dict[str, int] | None = None,
     classes nearly as well (``explained``) as those classes' own do: then its label is a wrong
     name for them. ``sizes`` are the labels' frequencies in the corpus, else those in the sample.
     """
-    segments, labels = [], []
-    for label, text in labelled:
-        own = list(dict.fromkeys(s for _, s in prose_segments(text)))
-        segments += own
-        labels += [label] * len(own)
+    pairs = Counter((label, s) for label, text in labelled for s in dict.fromkeys(s for _, s in prose_segments(text)))
+    labels, segments, times = [label for label, _ in pairs], [s for _, s in pairs], np.array(list(pairs.values()))
     langs = sorted({*labels})
     if not langs:
         return Profiles(["und"], np.zeros((1, DIMENSIONS), np.float32))
@@ -241,20 +249,24 @@ def train(labelled: list[tuple[str, str]], sizes: dict[str, int] | None = None,
     assigned = given.copy()
     maker = Profiles([], np.zeros((0, DIMENSIONS), np.float32))
     for _ in range(rounds):
-        prototypes = _centred(_bundle(maker, segments, assigned, len(langs)))
-        scores = Profiles(langs, prototypes, letters=maker.letters).cosines(segments)
+        unit = _unit(_bundle(maker, segments, times, assigned, len(langs)))
+        raw = Profiles(langs, unit, letters=maker.letters).cosines(segments)
+        scores = _recentred(raw, unit, list(range(len(langs))))
         best = scores.argmax(axis=1)
-        own_level = np.array([np.median(scores[best == c, c]) if (best == c).any() else 0 for c in range(len(langs))])
         alive = list(range(len(langs)))
         rank = sorted(range(len(langs)), key=lambda c: (sizes.get(langs[c], 0), langs[c]))
         for place, c in enumerate(rank[:-1]):
             mine, larger = given == c, rank[place + 1 :]
-            if mine.any():
-                nearest = scores[mine][:, larger]
-                rival = np.array(larger)[nearest.argmax(axis=1)]
-                fit = np.median(nearest.max(axis=1) / np.maximum(own_level[rival], 1e-6))
-            if not mine.any() or fit > explained:
-                alive.remove(c)
+            if mine.any() and len(larger) > 1:
+                without = _recentred(raw, unit, larger)  # as if this class had never been named
+                level = np.array([np.median(np.repeat(without[best == o, i], times[best == o])) if (best == o).any() else 1 for i, o in enumerate(larger)])
+                nearest = without[mine]
+                fit = np.median(np.repeat(nearest.max(axis=1) / np.maximum(level[nearest.argmax(axis=1)], 1e-6), times[mine]))
+                if fit <= explained:
+                    continue
+            elif mine.any():
+                continue
+            alive.remove(c)
         kept = scores[:, alive]
         number = np.full(len(langs) + 1, -1)
         number[alive] = np.arange(len(alive))
@@ -263,7 +275,7 @@ def train(labelled: list[tuple[str, str]], sizes: dict[str, int] | None = None,
         stay = (given >= 0) & (kept.max(axis=1) - kept[np.arange(len(kept)), np.maximum(given, 0)] <= MARGIN)
         assigned = np.where(stay, given, top)
         langs = [langs[c] for c in alive]
-    return Profiles(langs, _centred(_bundle(maker, segments, assigned, len(langs))))
+    return Profiles(langs, _centred(_bundle(maker, segments, times, assigned, len(langs))))
 
 
 def judge(texts: list[str | None], profiles: Profiles, margin: float = MARGIN, level: float = 0.18, letters: int = 24) -> list[list[tuple[int, str, float]]]:
