@@ -79,6 +79,33 @@ _WORDS = re.compile(r"[^\W\d_]+")
 SHORT = 16
 
 
+_HIGH_RUN = re.compile(r"[^\x00-\x7f]{2,}")
+
+
+def repaired(text: str) -> str:
+    """Undo UTF-8 read as a one-byte code page, run by run; sound text does not change.
+
+    A run of characters is repaired if its one-byte form is UTF-8, for long runs up to a quarter
+    of lost bytes.
+    """
+
+    def undo(match: re.Match) -> str:
+        run = match[0]
+        raw = bytearray()
+        for ch in run:
+            try:
+                raw += ch.encode("cp1252")
+            except UnicodeEncodeError:
+                if ord(ch) > 255:
+                    return run
+                raw.append(ord(ch))
+        fixed = raw.decode("utf-8", "replace")
+        lost = fixed.count("\ufffd")
+        return fixed if not lost or (len(fixed) >= 8 and lost * 4 <= len(fixed)) else run
+
+    return _HIGH_RUN.sub(undo, text)
+
+
 def prose_segments(text: str) -> list[tuple[int, str]]:
     """(line number, cleaned lower-case words) of each sentence of prose.
 
@@ -87,7 +114,7 @@ def prose_segments(text: str) -> list[tuple[int, str]]:
     """
     out: list[tuple[int, str]] = []
     fenced = False
-    for no, line in enumerate(text.split("\n"), 1):
+    for no, line in enumerate(repaired(text).split("\n"), 1):
         if line.lstrip().startswith("```"):
             fenced = not fenced
             continue
