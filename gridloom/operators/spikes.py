@@ -6,9 +6,9 @@ tests run twice, the second time against neighbours cleaned of the first pass's
 whose neighbours stay at its level is a level shift, not an outlier. What the tests leave as
 ordinary fixes the source's highest ordinary value, against which the exact rule decides.
 
-No step gathers a source in one task: window work runs per (source, time shard) with carry values
-from a scan over shard summaries, and what crosses shards afterwards is flagged rows, shard maxima
-and at most two boundary runs a shard.
+No step gathers a source in one task: window work runs per (source, time shard), and what crosses
+shards afterwards is flagged rows, shard maxima and at most two boundary runs a shard, which are
+joined across shards where a value goes on.
 """
 
 from __future__ import annotations
@@ -28,52 +28,36 @@ REACH = 5
 def _tested(usable: DataFrame, shard_us: int, least: int, outlier: float, shift: int) -> DataFrame:
     """Every usable reading of sources with ``least`` readings, with its run and outlier flag."""
     src = usable.withColumn("shard", floor_div(F.col("at_us"), shard_us))
-    order = F.struct("at_us", "kwh")
-    summary = src.groupBy("household_id", "shard").agg(
-        F.count("*").alias("n"), F.min_by("kwh", order).alias("head"), F.max_by("kwh", order).alias("tail")
-    )
-    scan = Window.partitionBy("household_id").orderBy("shard")
-    whole = Window.partitionBy("household_id")
-    level = src.groupBy("household_id").agg(F.percentile_approx(F.col("kwh").cast("double"), [0.25, 0.5, 0.75], 2000).alias("q"))
-    carry = (
-        summary.select(
-            "household_id",
-            "shard",
-            F.lag("tail").over(scan).alias("before"),
-            F.lead("head").over(scan).alias("after"),
-            F.sum("n").over(whole).alias("total"),
-        )
-        .where(F.col("total") >= least)
+    level = src.groupBy("household_id").agg(F.count("*").alias("total"), F.percentile_approx(F.col("kwh").cast("double"), [0.25, 0.5, 0.75], 2000).alias("q")).where(F.col("total") >= least)
+    # Levels go to the readings by (source, shard), never by source alone.
+    levels = (
+        src.select("household_id", "shard")
+        .distinct()
         .join(level, "household_id")
         .select(
             "household_id",
             "shard",
-            "before",
-            "after",
             F.col("q")[1].alias("mid"),
             F.greatest((F.col("q")[2] - F.col("q")[0]) / 1.349, F.abs(F.col("q")[1]) * 0.05, F.lit(1e-6)).alias("unit"),
         )
     )
     shard = Window.partitionBy("household_id", "shard")
     w = shard.orderBy("at_us", "kwh")
-    std = lambda c: (c.cast("double") - F.col("mid")) / F.col("unit")
     clip = lambda c: F.greatest(F.lit(-3.0), F.least(F.lit(3.0), c))
-    x = src.join(carry, ["household_id", "shard"]).select(
-        "household_id",
-        "shard",
-        "at_us",
-        "kwh",
-        std(F.col("kwh")).alias("z"),
-        std(F.coalesce(F.lag("kwh").over(w), "before", "kwh")).alias("z0"),
-        std(F.coalesce(F.lead("kwh").over(w), "after", "kwh")).alias("z1"),
+    # Beyond a shard's ends a reading's neighbour is taken to be at the source's median.
+    x = src.join(levels, ["household_id", "shard"]).select("household_id", "shard", "at_us", "kwh", F.col("kwh").cast("double").alias("v"), ((F.col("kwh").cast("double") - F.col("mid")) / F.col("unit")).alias("z"))
+    x = x.select(
+        "*",
+        F.coalesce(F.lag("z").over(w), F.lit(0.0)).alias("z0"),
+        F.coalesce(F.lead("z").over(w), F.lit(0.0)).alias("z1"),
         F.coalesce(F.lag("kwh").over(w) != F.col("kwh"), F.lit(True)).cast("int").alias("starts"),
-        *[F.lag("kwh", k).over(w).alias(f"b{k}") for k in range(1, REACH + 1)],
-        *[F.lead("kwh", k).over(w).alias(f"f{k}") for k in range(1, REACH + 1)],
+        *[F.lag("v", k).over(w).alias(f"b{k}") for k in range(1, REACH + 1)],
+        *[F.lead("v", k).over(w).alias(f"f{k}") for k in range(1, REACH + 1)],
     )
 
     def steady(side: str) -> Column:
         """How many readings in a row next to this one keep at least a third of its value."""
-        level_kept = [reduce(lambda a, b: a & b, [F.coalesce(F.col(f"{side}{j}") * 3 >= F.col("kwh"), F.lit(False)) for j in range(1, k + 1)]) for k in range(1, REACH + 1)]
+        level_kept = [reduce(lambda a, b: a & b, [F.coalesce(F.col(f"{side}{j}") * 3 >= F.col("v"), F.lit(False)) for j in range(1, k + 1)]) for k in range(1, REACH + 1)]
         return reduce(lambda a, b: a + b, [c.cast("int") for c in level_kept])
 
     phi = F.coalesce(F.sum(clip(F.col("z")) * clip(F.col("z0"))).over(shard) / F.nullif(F.sum(clip(F.col("z0")) * clip(F.col("z0"))).over(shard), F.lit(0.0)), F.lit(0.0))
@@ -99,7 +83,7 @@ def _tested(usable: DataFrame, shard_us: int, least: int, outlier: float, shift:
     x = x.withColumn("first", (statistic(F.col("z0"), F.col("z1")) > outlier) & ~F.col("shifted"))
     clean = F.when(F.col("first"), F.lit(0.0)).otherwise(F.col("z"))
     x = x.withColumn("clean", clean)
-    x = x.withColumn("second", statistic(F.coalesce(F.lag("clean").over(w), clip(F.col("z0"))), F.coalesce(F.lead("clean").over(w), clip(F.col("z1")))))
+    x = x.withColumn("second", statistic(F.coalesce(F.lag("clean").over(w), F.lit(0.0)), F.coalesce(F.lead("clean").over(w), F.lit(0.0))))
     return x.select("household_id", "shard", "at_us", "kwh", "run", "runs", (F.col("first") | ((F.col("second") > outlier) & ~F.col("shifted"))).alias("outlying"))
 
 
