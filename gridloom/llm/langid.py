@@ -73,10 +73,11 @@ _CODE_LINE = re.compile(
     r"^\s*\||[A-Za-z_]\((?!s\))|\(\*\)|^\s*(?:def|class|import|return|from\s+\w+\s+import)\b.*[:()=.]\s*|[-+*/<>=!]=|^\s*[{}\[\]]+\s*$|^\s*\{.*[:}]|\w\s*=\s*[{\[\w'\"]|;\s*$|^\s*(?:SELECT|INSERT|UPDATE|DELETE|CREATE|WITH)\s.*(?:\bFROM\b|[;*])|^```"
 )
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>")
-_NOISE = re.compile(r"https?://\S+|\S+@\S+|&[a-z]+;|\b[\w-]+\.(?:csv|zip|json|parquet|txt|xml|sql|py|log)\b|`[^`\n]*`|[A-Za-z]*\d[A-Za-z0-9_.,:/-]*|\w+_\w+|\bk[Ww]+h\b|\bHH\?")
+_NOISE = re.compile(r"(?<![A-Za-z])[A-Za-z]*+\d[A-Za-z0-9_.,:/-]*|https?://\S+|(?<!\S)[^\s@]++@\S+|\b[\w-]++\.(?:csv|zip|json|parquet|txt|xml|sql|py|log)\b|`[^`\n]*`|\b[^\W_]++_\w+|\bk[Ww]+h\b|\bHH\?")
 _SENTENCE = re.compile(r"(?<=[.!?。！？…])[\"'»”)]*(?:\s+|(?<=[。！？]))")
 _WORDS = re.compile(r"[^\W\d_]+")
 SHORT = 16
+_HEADS = frozenset("[0123456789")
 
 
 _HIGH_RUN = re.compile(r"[^\x00-\x7f]{2,}")
@@ -120,7 +121,12 @@ def prose_segments(text: str) -> list[tuple[int, str]]:
             continue
         if fenced:
             continue
-        body = _TAG.sub(" ", html.unescape(_LOG_HEAD.sub("", line, count=1))).rstrip()
+        body = _LOG_HEAD.sub("", line, count=1) if line.lstrip()[:1] in _HEADS else line
+        if "&" in body:
+            body = html.unescape(body)
+        if "<" in body:
+            body = _TAG.sub(" ", body)
+        body = body.rstrip()
         if _CODE_LINE.search(body):
             continue
         pieces: list[str] = []
