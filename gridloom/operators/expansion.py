@@ -61,7 +61,7 @@ def ladder(base: DataFrame, wider: DataFrame) -> DataFrame:
     """(side, row_count, distinct_readings, households, members): the two sets side by side."""
 
     def one(df: DataFrame, side: str) -> DataFrame:
-        return df.agg(F.count("*").alias("row_count"), F.countDistinct("household_id", "source_timestamp_text", signature()).alias("distinct_readings"), F.countDistinct("household_id").alias("households"), F.countDistinct("member_name").alias("members")).select(F.lit(side).alias("side"), "*")
+        return df.agg(F.count("*").alias("row_count"), F.countDistinct(F.struct("household_id", "source_timestamp_text", signature())).alias("distinct_readings"), F.countDistinct("household_id").alias("households"), F.countDistinct("member_name").alias("members")).select(F.lit(side).alias("side"), "*")
 
     return one(base, "base").unionByName(one(wider, "wider"))
 

@@ -123,7 +123,7 @@ def quality_summary(readings: DataFrame) -> DataFrame:
     )
     per_label = per_text.groupBy("household_id", "source_timestamp_text").agg(
         F.sum("n").alias("n"),
-        F.countDistinct("tariff_group", "sig").alias("signatures"),
+        F.countDistinct(F.struct("tariff_group", "sig")).alias("signatures"),
         (F.min("sig") != F.max("sig")).alias("conflict"),
         F.sum(F.when(F.col("value_category") == "finite_numeric", F.col("n")).otherwise(0)).alias("finite"),
         F.sum(F.when(F.col("value_category") == "null_token", F.col("n")).otherwise(0)).alias("nulls"),

@@ -131,7 +131,7 @@ QUERIES = dict(_Q)
 _SIG = "coalesce(CAST(consumption_kwh AS VARCHAR), '~' || value_category)"
 _CONF = f"(SELECT household_id, source_timestamp_text FROM readings GROUP BY 1, 2 HAVING count(DISTINCT {_SIG}) > 1)"
 _AGREE = f"""SELECT household_id, source_timestamp_text, count(*) AS rows_raw, count(DISTINCT consumption_raw_text) AS distinct_texts, count(DISTINCT {_SIG}) AS distinct_signatures,
- count(DISTINCT member_name) AS members_involved, min(member_name) AS first_member, min(source_record_no) AS first_record_no, array_to_string(list_sort(list(DISTINCT consumption_raw_text) FILTER (consumption_raw_text IS NOT NULL)), ' | ') AS texts,
+ count(DISTINCT member_name) AS members_involved, min(member_name) AS first_member, min(source_record_no) AS first_record_no, coalesce(array_to_string(list_sort(list(DISTINCT consumption_raw_text) FILTER (consumption_raw_text IS NOT NULL)), ' | '), '') AS texts,
  CASE WHEN count(DISTINCT {_SIG}) > 1 THEN 'conflict' WHEN count(DISTINCT consumption_raw_text) > 1 THEN 'equivalent_representation' ELSE 'exact_duplicate' END AS kind FROM readings GROUP BY 1, 2 HAVING count(*) > 1"""
 _COLL = f"SELECT household_id, source_timestamp_text, count(*) AS row_count, count(DISTINCT {_SIG}) AS distinct_signatures, count(DISTINCT member_name) AS members FROM readings GROUP BY 1, 2 HAVING count(*) > 1"
 _DAYS = f"""days AS (SELECT household_id, CAST(observed_at_naive AS DATE) AS source_date, CAST(sum(kwh) FILTER (grid) AS DECIMAL(38,10)) AS kwh, count(kwh) FILTER (grid) AS grid_intervals, CAST(sum(blank) AS BIGINT) AS non_numeric_rows,
@@ -256,7 +256,7 @@ SELECT *, before = 'nonzero_usable' AND after = 'nonzero_usable' AS bounded, CAS
     "group_values": "SELECT tariff_group, count(*) AS row_count, count(DISTINCT household_id) AS households FROM readings GROUP BY 1",
     "member_profile": "SELECT archive_name, member_name, count(*) AS row_count, count(DISTINCT household_id) AS households, min(observed_at_naive) AS first_at, max(observed_at_naive) AS last_at, count(consumption_kwh) AS finite_values, sum(consumption_kwh) AS total_kwh FROM readings GROUP BY 1, 2",
     "banded_readings": f"""WITH x AS (SELECT DISTINCT {', '.join(policy.DISTINCT_COLUMNS)}, {_SIG} AS value_signature FROM readings), c AS (SELECT min(schedule_label_naive) AS lo, max(schedule_label_naive) AS hi FROM dim_tariff_band_schedule)
- SELECT x.*, s.band_label, p.price_gbp_per_kwh, k.household_id IS NOT NULL AS is_conflict, NOT coalesce(x.observed_at_naive BETWEEN lo AND hi, false) AS outside_schedule, CAST(x.consumption_kwh * p.price_gbp_per_kwh AS DECIMAL(38,16)) AS amount_gbp FROM x CROSS JOIN c
+ SELECT x.*, s.band_label, p.price_gbp_per_kwh, k.household_id IS NOT NULL AS is_conflict, NOT coalesce(x.observed_at_naive BETWEEN c.lo AND c.hi, false) AS outside_schedule, CAST(x.consumption_kwh * p.price_gbp_per_kwh AS DECIMAL(38,16)) AS amount_gbp FROM x CROSS JOIN c
  LEFT JOIN dim_tariff_band_schedule s ON s.schedule_label_naive = x.observed_at_naive LEFT JOIN {_CONF} k ON k.household_id = x.household_id AND k.source_timestamp_text = x.source_timestamp_text
  LEFT JOIN dim_tariff_price p ON p.tariff_group = x.tariff_group AND p.band_label = s.band_label AND CAST(x.observed_at_naive AS DATE) >= p.effective_from AND CAST(x.observed_at_naive AS DATE) < p.effective_until""",
     "band_summary": _BANDS,
