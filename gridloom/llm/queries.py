@@ -62,4 +62,17 @@ def p10_found(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (p4_found, p4_records, p8_ids, p8_counts, p9_found, p9_shares, p9_mixture, p10_found, p10_languages)}
-ORACLES = {}
+# The canonical key of a reading, written for DuckDB.
+_KEY_SQL = r"""WITH folded AS (SELECT source_record_no, household_id AS h, consumption_raw_text AS v0, source_timestamp_text AS t0,
+ regexp_replace(lower(household_id), '[^\p{L}\p{M}\p{N}/ ]', '', 'g') AS hh,
+ regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(source_timestamp_text), '[\s\p{Z}\p{Cc}\p{Cf}]+', ' ', 'g'), '[\x{2010}-\x{2015}\x{2212}]', '-', 'g'), '([0-9])t([0-9])', '\1 \2', 'g'),
+  '(:[0-9]{2}(?:[.,][0-9]+)?| [0-9]{6}(?:[.,][0-9]+)?) ?-([0-9]{2}:?[0-9]{2})$', '\1 ~\2'), '([0-9]) ?\+([0-9]{2}:?[0-9]{2})$', '\1 +\2'), '[^\p{L}\p{M}\p{N}+~ ]', '', 'g') AS tt,
+ regexp_replace(regexp_replace(lower(consumption_raw_text), '[\x{2010}-\x{2015}\x{2212}]', '-', 'g'), ',([0-9])', '.\1', 'g') AS vv FROM readings),
+keyed AS (SELECT source_record_no, list_sort(regexp_extract_all(hh, '\p{N}+|[\p{L}\p{M}]+')) AS k1, list_sort(regexp_extract_all(tt, '[^ ]+')) AS k2,
+ CASE WHEN regexp_matches(vv, '[0-9]') THEN list_sort(regexp_extract_all(vv, '[+-]?(?:[0-9]+(?:\.[0-9]+)*|\.[0-9]+)(?:e[+-]?[0-9]+)?|[\p{L}\p{M}]+')) ELSE list_sort(regexp_extract_all(regexp_replace(vv, '[^\p{L}\p{M}\p{N} ]', '', 'g'), '[^ ]+')) END AS k3 FROM folded),
+ranked AS (SELECT source_record_no, min(source_record_no) OVER (PARTITION BY k1, k2, k3) AS kept, count(*) OVER (PARTITION BY k1, k2, k3) AS copies FROM keyed)
+"""
+ORACLES = {
+    "p4_found": _KEY_SQL + "SELECT kept AS kept_record_no, source_record_no AS copy_record_no FROM ranked WHERE source_record_no <> kept",
+    "p4_records": _KEY_SQL + "SELECT kept AS kept_record_no, copies FROM ranked WHERE source_record_no = kept",
+}
