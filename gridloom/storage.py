@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: dict[str, str] = {}
+_used: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -18,14 +20,31 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if "path" not in _own_dir:
         _own_dir["path"] = tempfile.mkdtemp(prefix="gridloom-")
-        atexit.register(_remove_own)
+        atexit.register(shutil.rmtree, _own_dir["path"], ignore_errors=True)
     return _own_dir["path"]
 
 
-def _remove_own() -> None:
-    import shutil
+def _session_dir(spark: SparkSession) -> str:
+    path = f"{shared_dir(spark)}/gridloom-{spark.sparkContext.applicationId}"
+    if path not in _used:
+        _used[path] = spark
+        atexit.register(release, path)
+    return path
 
-    shutil.rmtree(_own_dir.get("path", ""), ignore_errors=True)
+
+def release(path: str | None = None) -> None:
+    """Delete this session's materialised tables, all of them or those under ``path``.
+
+    Runs at the end of the program; call it earlier once no result that reads them is needed.
+    """
+    for folder in [path] if path else list(_used):
+        spark = _used.pop(folder, None)
+        try:
+            jvm = spark.sparkContext._jvm
+            target = jvm.org.apache.hadoop.fs.Path(folder)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # noqa: BLE001, S110: the session may be gone; its folder is then left to the cluster
+            pass
 
 
 def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
@@ -36,7 +55,7 @@ def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     The files survive the loss of any executor; they are compressed, so they stay below the
     size of a checkpoint of the same rows.
     """
-    path = f"{shared_dir(df.sparkSession)}/gridloom/{name}-{uuid.uuid4().hex}"
+    path = f"{_session_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
