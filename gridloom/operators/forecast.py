@@ -164,3 +164,30 @@ def observed_vs_predicted(cases: DataFrame) -> DataFrame:
 def worst_cases(cases: DataFrame, limit: int = 10) -> DataFrame:
     """The cases with the largest errors, in a total order; the limit is the feature."""
     return cases.where(F.col("abs_error").isNotNull()).orderBy(F.desc(F.round("abs_error", 6)), "household_id", "origin", "horizon", "model").limit(limit)
+
+
+def exclusions(cases: DataFrame) -> DataFrame:
+    """Cases by split, model and reason, scored ones as ``scored``."""
+    return cases.groupBy("split", "model", F.coalesce("excluded_reason", F.lit("scored")).alias("reason")).agg(F.count("*").alias("cases"))
+
+
+def split_counts(cases: DataFrame) -> DataFrame:
+    """Per split: distinct households, origins, targets and target dates among all cases."""
+    return cases.groupBy("split").agg(
+        F.countDistinct("household_id").alias("households"), F.countDistinct(F.struct("household_id", "origin")).alias("origins"), F.countDistinct(F.struct("household_id", "target_date")).alias("targets"), F.countDistinct("target_date").alias("target_dates")
+    )
+
+
+def overlap(cases: DataFrame, prior: DataFrame) -> DataFrame:
+    """(kind, cases): issued cases of the prior-data experiment that the main one has too, and the rest."""
+    keys = ["household_id", "origin", "horizon"]
+    mine = cases.select(*keys).distinct().withColumn("shared", F.lit(True))
+    issued = prior.where("prediction_state = 'issued'").select(*keys).distinct()
+    return issued.join(mine, keys, "left").groupBy(F.when(F.col("shared"), "shared").otherwise("new").alias("kind")).agg(F.count("*").alias("cases"))
+
+
+def cohort_composition(readings: DataFrame, days: DataFrame, s: Schedule) -> DataFrame:
+    """Households of the experiment by their tariff groups and the number of members they came from."""
+    chosen = origins(days, s).select("household_id").distinct()
+    per = readings.join(chosen, "household_id", "left_semi").groupBy("household_id").agg(F.array_join(F.array_sort(F.collect_set("tariff_group")), " | ").alias("groups"), F.countDistinct("member_name").alias("members"))
+    return per.groupBy("groups", "members").agg(F.count("*").alias("households"))

@@ -16,6 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.functions.binding import let
 from gridloom.functions.text import WHITE, strip
 from gridloom.functions.timeline import from_micros, micros
 
@@ -41,11 +42,6 @@ _FORMATS = [
 _NUMERIC = NUMERIC_DATE + r"[Tt, ]+" + _CLOCK + "$"
 
 
-def _let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and use it in ``body``: keeps long expressions linear in size."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _squeezed(col: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(strip(col), f"{WHITE}+", " "), "[\u2010-\u2015\u2212]", "-")
 
@@ -53,7 +49,7 @@ def _squeezed(col: Column) -> Column:
 def _zone_parts(t: Column) -> Column:
     """Struct of body, fixed_us and region of a squeezed text; nulls where it has none."""
     region = F.nullif(F.regexp_extract(t, r"\[?([A-Za-z]+(?:/[A-Za-z_+-]+[0-9]*)+)\]?$", 1), F.lit(""))
-    region = _let(region, lambda r: F.when(r.isin(sorted(z for z in zoneinfo.available_timezones() if "/" in z)), r))
+    region = let(region, lambda r: F.when(r.isin(sorted(z for z in zoneinfo.available_timezones() if "/" in z)), r))
     abbr = F.upper(F.regexp_extract(t, r"[0-9AaPpMm)] ?([A-Za-z]{2,4})$", 1))
     hours = F.try_element_at(F.create_map(*[F.lit(x) for kv in ABBREVIATIONS.items() for x in kv]), abbr)
     signed = r"(?<=\d)(?:\.\d+)? ?(?:UTC|GMT)?([+-])(\d{2}):?(\d{2})$"
@@ -65,7 +61,7 @@ def _zone_parts(t: Column) -> Column:
         F.when(t.rlike(r"\d ?[zZ]$"), F.struct(F.regexp_replace(t, " ?[zZ]$", "").alias("body"), F.lit(0).cast("bigint").alias("fixed_us"), F.lit(None).cast("string").alias("region")))
         .when(has_offset, F.struct(F.regexp_replace(t, r" ?(?:UTC|GMT)?[+-]\d{2}:?\d{2}$", "").alias("body"), (sign * minutes * 60_000_000).alias("fixed_us"), F.lit(None).cast("string").alias("region")))
         .otherwise(
-            _let(
+            let(
                 F.struct(region.alias("r"), hours.cast("bigint").alias("h")),
                 lambda z: F.struct(
                     F.when(z["r"].isNotNull(), F.regexp_replace(t, r" ?\[?[A-Za-z]+(?:/[A-Za-z_+-]+[0-9]*)+\]?$", "")).when(z["h"].isNotNull(), F.regexp_replace(t, r" ?[A-Za-z]{2,4}$", "")).otherwise(t).alias("body"),
@@ -87,8 +83,8 @@ def _wall_us(fields: Column) -> Column:
     """Microseconds of the wall clock written as year|month|day|hour|minute|second|fraction|half."""
 
     def numbers(p: Column) -> Column:
-        hour = _let(F.struct(p[3].try_cast("int").alias("h"), F.lower(p[7]).alias("half")), lambda x: F.when(x["half"] == "", x["h"]).when(x["h"].between(1, 12), x["h"] % 12 + F.when(x["half"] == "p", 12).otherwise(0)))
-        year = _let(p[0].try_cast("int"), lambda y: F.when(F.length(p[0]) == 2, y + 2000).otherwise(y))
+        hour = let(F.struct(p[3].try_cast("int").alias("h"), F.lower(p[7]).alias("half")), lambda x: F.when(x["half"] == "", x["h"]).when(x["h"].between(1, 12), x["h"] % 12 + F.when(x["half"] == "p", 12).otherwise(0)))
+        year = let(p[0].try_cast("int"), lambda y: F.when(F.length(p[0]) == 2, y + 2000).otherwise(y))
         return F.struct(
             micros(F.try_make_timestamp_ntz(year, _month(p[1]), p[2].try_cast("int"), F.lit(0), F.lit(0), F.lit(0))).alias("day_us"),
             hour.cast("bigint").alias("h"),
@@ -101,7 +97,7 @@ def _wall_us(fields: Column) -> Column:
         night = (n["h"] == 24) & (n["m"] == 0) & (n["s"] == 0) & (n["f"] == 0)
         return (n["h"].between(0, 23) | night) & n["m"].between(0, 59) & n["s"].between(0, 60)
 
-    return _let(F.split(fields, r"\|", -1), lambda p: F.when(F.size(p) == 8, _let(numbers(p), lambda n: F.when(sound(n), n["day_us"] + n["h"] * HOUR_US + n["m"] * 60_000_000 + n["s"] * 1_000_000 + n["f"]))))
+    return let(F.split(fields, r"\|", -1), lambda p: F.when(F.size(p) == 8, let(numbers(p), lambda n: F.when(sound(n), n["day_us"] + n["h"] * HOUR_US + n["m"] * 60_000_000 + n["s"] * 1_000_000 + n["f"]))))
 
 
 def _epoch_us(t: Column) -> Column:
@@ -123,7 +119,7 @@ def _at_zone(wall: Column, zone: Column) -> Column:
         twice = reduce(lambda a, b: a | b, [on_clock(utc + k * (HOUR_US // 2)) == wall for k in (-4, -2, -1, 1, 2, 4)])
         return F.struct(utc.alias("us"), F.when(on_clock(utc) != wall, "nonexistent").when(twice, "ambiguous").alias("odd"))
 
-    return _let(F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(wall), zone)), judged)
+    return let(F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(wall), zone)), judged)
 
 
 def day_orders(readings: DataFrame, block: int = 50_000) -> DataFrame:
@@ -169,11 +165,11 @@ def _label(text: Column, day_first: Column) -> Column:
         first = F.when(body.rlike(_NUMERIC), F.when(day_first, F.regexp_replace(body, _NUMERIC, numeric[True])).otherwise(F.regexp_replace(body, _NUMERIC, numeric[False])))
         return reduce(lambda c, f: c.when(body.rlike(f[0]), F.regexp_replace(body, *f)), _FORMATS, first)
 
-    return _let(
+    return let(
         _squeezed(text),
-        lambda t: _let(
+        lambda t: let(
             _zone_parts(t),
-            lambda z: F.struct(_epoch_us(t).alias("epoch_us"), z["fixed_us"].alias("fixed_us"), z["region"].alias("region"), _let(z["body"], lambda b: _wall_us(fields(b))).alias("wall_us")),
+            lambda z: F.struct(_epoch_us(t).alias("epoch_us"), z["fixed_us"].alias("fixed_us"), z["region"].alias("region"), let(z["body"], lambda b: _wall_us(fields(b))).alias("wall_us")),
         ),
     )
 
@@ -236,11 +232,11 @@ def utc_instants(labels: DataFrame, clocks: DataFrame | None = None) -> DataFram
 
     def made(x: Column) -> Column:
         problem = F.when(F.col("epoch_us").isNull() & F.col("wall_us").isNull(), "unreadable").when(x["basis"] == "none", "zone_unknown").otherwise(x["at"]["odd"])
-        return _let(problem, lambda p: F.struct(F.when(p.isNull(), F.coalesce(F.col("epoch_us"), F.col("wall_us") - F.col("fixed_us"), x["at"]["us"]) - shift).alias("instant_us"), x["basis"].alias("basis"), p.alias("problem")))
+        return let(problem, lambda p: F.struct(F.when(p.isNull(), F.coalesce(F.col("epoch_us"), F.col("wall_us") - F.col("fixed_us"), x["at"]["us"]) - shift).alias("instant_us"), x["basis"].alias("basis"), p.alias("problem")))
 
     # Daylight-saving checks run only where a zone's clock applies.
     at = F.when(F.col("zone").isNotNull() & F.col("wall_us").isNotNull(), _at_zone(F.col("wall_us"), F.col("zone")))
-    return x.select("source_record_no", F.inline(F.array(_let(F.struct(basis.alias("basis"), at.alias("at")), made))))
+    return x.select("source_record_no", F.inline(F.array(let(F.struct(basis.alias("basis"), at.alias("at")), made))))
 
 
 def iso_utc(us: Column) -> Column:

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.functions.binding import let
 from gridloom.functions.text import strip
 
 MAX_DECIMALS, MAX_DIGITS = 10, 18
@@ -21,10 +22,6 @@ FINITE = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
 _ESC, _COMMA = "\u0001", "\u0001,"
 
 
-def _let(value: Column, body) -> Column:
-    return F.transform(F.array(value), body)[0]
-
-
 def record_fields(text: Column) -> Column:
     """The fields of one RFC 4180 record as an array, null where the quoting is broken.
 
@@ -52,7 +49,7 @@ def record_fields(text: Column) -> Column:
         good = (n % 2 == 1) & F.forall(F.transform(pieces, lambda p, i: sound(p, i)), lambda ok: ok)
         return F.when(good, fields)
 
-    return _let(F.split(body, '"', -1), judged)
+    return let(F.split(body, '"', -1), judged)
 
 
 def _timestamp_reason(value: Column) -> Column:
@@ -80,7 +77,7 @@ def _number_reason(value: Column) -> Column:
             .when((digits != "") & (F.length(digits) - decimals > MAX_DIGITS), "value_overflow")
         )
 
-    return _let(text, judged)
+    return let(text, judged)
 
 
 DETAILS = {

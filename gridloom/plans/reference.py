@@ -111,6 +111,10 @@ _Q = {
     "forecast_predictions": lambda s, d: _rounded(forecast.backtest(_days(s, d), SCHEDULE), "actual", "predicted", "abs_error"),
     "forecast_mae": lambda s, d: forecast.errors(forecast.backtest(_days(s, d), SCHEDULE), ["split", "model", "horizon"]),
     "forecast_common_frame": lambda s, d: forecast.errors(forecast.common_frame(forecast.backtest(_days(s, d), SCHEDULE)), ["model"]),
+    "forecast_exclusions": lambda s, d: forecast.exclusions(forecast.backtest(_days(s, d), SCHEDULE)),
+    "forecast_split_counts": lambda s, d: forecast.split_counts(forecast.backtest(_days(s, d), SCHEDULE)),
+    "forecast_overlap": lambda s, d: forecast.overlap(forecast.backtest(_days(s, d), SCHEDULE), forecast.prior_cases(_days(s, d), SCHEDULE)),
+    "cohort_composition": lambda s, d: forecast.cohort_composition(_r(s, d), _days(s, d), SCHEDULE),
     "forecast_wide": lambda s, d: _rounded(forecast.observed_vs_predicted(forecast.backtest(_days(s, d), SCHEDULE)), "actual", *forecast.MODELS),
     "weeks_sweep": lambda s, d: forecast.weeks_sweep(_days(s, d), SCHEDULE, (1, 2)),
     "worst_days": lambda s, d: forecast.worst_cases(forecast.backtest(_days(s, d), SCHEDULE)).select("household_id", "origin", "horizon", "model", F.round("abs_error", 6).alias("abs_error")),
@@ -316,6 +320,15 @@ prior AS (SELECT w.*, coalesce(CASE WHEN t.household_id IS NULL THEN 'absent' EN
 """
 )
 ORACLES |= {
+    "forecast_exclusions": _CASES + "SELECT split, model, coalesce(excluded_reason, 'scored') AS reason, count(*) AS cases FROM cases GROUP BY 1, 2, 3",
+    "forecast_split_counts": _CASES + "SELECT split, count(DISTINCT household_id) AS households, count(DISTINCT (household_id, origin)) AS origins, count(DISTINCT (household_id, target_date)) AS targets, count(DISTINCT target_date) AS target_dates FROM cases GROUP BY 1",
+    "cohort_composition": _judged(INTERVALS)
+    + _RUNS
+    + _ORIGINS
+    + "SELECT groups, members, count(*) AS households FROM (SELECT household_id, array_to_string(list_sort(list(DISTINCT tariff_group)), ' | ') AS groups, count(DISTINCT member_name) AS members FROM readings WHERE household_id IN (SELECT household_id FROM origins) GROUP BY 1) GROUP BY 1, 2",
+    "forecast_overlap": _PRIOR
+    + _ORIGINS
+    + f", mine AS (SELECT DISTINCT household_id, origin, horizon FROM origins, (SELECT unnest(generate_series(1, {_S.horizon})) AS horizon)) SELECT CASE WHEN m.household_id IS NULL THEN 'new' ELSE 'shared' END AS kind, count(*) AS cases FROM (SELECT DISTINCT household_id, origin, horizon FROM prior WHERE prediction_state = 'issued') p LEFT JOIN mine m USING (household_id, origin, horizon) GROUP BY 1",
     "prior_eligibility_cases": _PRIOR + "SELECT household_id, origin, horizon, target_date, target_state, round(seasonal_naive, 6) AS seasonal_naive, round(last_day, 6) AS last_day, round(weekday_mean, 6) AS weekday_mean FROM prior WHERE prediction_state = 'issued'",
     "prior_coverage": _PRIOR + "SELECT prediction_state, target_state, count(*) AS cases FROM prior GROUP BY 1, 2",
     "canonical_row_hashes": f"SELECT {_hash(['tariff_group', 'band_label', 'price_pence_per_kwh', 'effective_from', 'evidence_label'])} AS row_hash FROM dim_tariff_price",

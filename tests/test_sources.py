@@ -82,3 +82,21 @@ def test_stream_totals_count_repeats_once(spark, tmp_path):
     q.awaitTermination(60)
     got = spark.table("totals").collect()
     assert [(r.household_id, float(r.kwh), r.readings) for r in got] == [("H", 3.0, 2)]
+
+
+def test_bundles_are_deterministic_and_verified(spark, tmp_path):
+    from gridloom.sources import bundles
+
+    df = spark.createDataFrame([("b", Decimal("1.50"), None), ("a", Decimal("0E-10"), dt.date(2015, 1, 1))], "k string, v decimal(28,10), d date")
+    rows = bundles.section(df, ["k"])
+    assert rows[0] == {"k": "a", "v": "0.0000000000", "d": "2015-01-01"}
+    first = bundles.write_bundle(str(tmp_path / "b"), {"one": rows, "none": []})
+    assert first == bundles.write_bundle(str(tmp_path / "c"), {"none": [], "one": rows[:]}) and bundles.verify_bundle(str(tmp_path / "b")) == []
+    (tmp_path / "b/one.json").write_text("[]")
+    (tmp_path / "b/none.json").unlink()
+    assert bundles.verify_bundle(str(tmp_path / "b")) == ["none: missing", "one: changed"]
+    try:
+        bundles.section(df, ["k"], most=1)
+        raise AssertionError
+    except ValueError:
+        pass
