@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.binding import let
 from gridloom.functions.text import strip
+from gridloom.storage import materialize
 
 MAX_DECIMALS, MAX_DIGITS = 10, 18
+BROADCAST_ROWS, BROADCAST_CHARS = 50_000, 8_000_000
 # The loader's one timestamp format and the numbers a decimal text may be.
 LOADER_FORMAT = r"^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}\.[0-9]{6}0$"
 FINITE = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
@@ -93,8 +95,10 @@ def parsed_records(records: DataFrame, text: str = "text", key: str = "source_re
 
     Reasons in order: broken_quoting, wrong_field_count, invalid_timestamp, excessive_precision,
     value_overflow. A null text is no record and fails as broken_quoting. The dictionary of
-    invalid values is replicated over ``salts`` and rows are salted by their key, so a value that
-    a third of all rows share is joined back by many tasks. Several rows of one key are each kept.
+    invalid values is written once; its size is checked, and within ``BROADCAST_ROWS`` and
+    ``BROADCAST_CHARS`` it is broadcast, so rows are not shuffled at all. Beyond that it is
+    replicated over ``salts`` and rows are salted by their key, so a value that a third of all
+    rows share is joined back by many tasks. Several rows of one key are each kept.
     """
     split = records.select(
         F.col(key).alias("key"), F.col(text).isNull().alias("absent"), F.inline(F.array(F.struct(record_fields(F.col(text)).alias("fields"))))
@@ -103,9 +107,15 @@ def parsed_records(records: DataFrame, text: str = "text", key: str = "source_re
     four = split.where(F.size("fields") == 4)
     cells = four.select(F.inline(F.array(F.struct(F.lit("stamp").alias("col"), F.col("stamp").alias("value")), F.struct(F.lit("amount").alias("col"), F.col("amount").alias("value"))))).distinct()
     invalid = cells.withColumn("why", F.when(F.col("col") == "stamp", _timestamp_reason(F.col("value"))).otherwise(_number_reason(F.col("value")))).where(F.col("why").isNotNull())
-    spread = invalid.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    pick = lambda c: spread.where(F.col("col") == c).select("salt", F.col("value").alias(c), F.col("why").alias(f"{c}_why"))
-    judged = split.join(pick("stamp"), ["salt", "stamp"], "left").join(pick("amount"), ["salt", "amount"], "left")
+    invalid = materialize(invalid, "invalid")
+    size = invalid.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("value")), F.lit(0)).alias("chars")).first()
+    if size.n <= BROADCAST_ROWS and size.chars <= BROADCAST_CHARS:
+        pick = lambda c: F.broadcast(invalid.where(F.col("col") == c).select(F.col("value").alias(c), F.col("why").alias(f"{c}_why")))
+        judged = split.join(pick("stamp"), "stamp", "left").join(pick("amount"), "amount", "left")
+    else:
+        spread = invalid.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        pick = lambda c: spread.where(F.col("col") == c).select("salt", F.col("value").alias(c), F.col("why").alias(f"{c}_why"))
+        judged = split.join(pick("stamp"), ["salt", "stamp"], "left").join(pick("amount"), ["salt", "amount"], "left")
     reason = (
         F.when(F.col("fields").isNull(), "broken_quoting").when(F.size("fields") != 4, "wrong_field_count").otherwise(F.coalesce("stamp_why", "amount_why"))
     )

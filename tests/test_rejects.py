@@ -82,6 +82,12 @@ def test_cases(spark):
     assert got == {i: plain_reason(t) for i, t in enumerate(CASES)}
 
 
+def test_cases_by_the_salted_join(spark, monkeypatch):
+    monkeypatch.setattr(rejects, "BROADCAST_ROWS", 0)
+    got = {r.source_record_no: r.reason for r in run(spark, CASES, salts=3).collect()}
+    assert got == {i: plain_reason(t) for i, t in enumerate(CASES)}
+
+
 def test_random_texts(spark):
     rng = random.Random(9)
     texts = ["".join(rng.choice(['"', '""', ",", "a", "\n", "1", "2015-01-01 00:00:00.0000000", ".5", "\r\n"]) for _ in range(rng.randrange(12))) for _ in range(600)]
