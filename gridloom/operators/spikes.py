@@ -27,7 +27,8 @@ REACH = 5
 
 def _tested(usable: DataFrame, shard_us: int, least: int, outlier: float, shift: int) -> DataFrame:
     """Every usable reading of sources with ``least`` readings, with its run and outlier flag."""
-    src = usable.withColumn("shard", floor_div(F.col("at_us"), shard_us))
+    # Three passes follow; written once, the distinct readings are not made three times.
+    src = materialize(usable.select("household_id", floor_div(F.col("at_us"), shard_us).alias("shard"), "at_us", "kwh"), "usable")
     level = src.groupBy("household_id").agg(F.count("*").alias("total"), F.percentile_approx(F.col("kwh").cast("double"), [0.25, 0.5, 0.75], 2000).alias("q")).where(F.col("total") >= least)
     # Levels go to the readings by (source, shard), never by source alone.
     levels = (
@@ -104,8 +105,8 @@ def implausible(
     row, by time, with one value other than 0. spike: neither, and at least ``factor`` times the
     source's highest ordinary value. Sources with fewer than ``least`` readings give no rows; a
     reading both impossible and stuck gives one row of each kind. Ties at one instant are taken in
-    order of value. An empty input gives no rows. The flagged rows and shard summaries are written
-    once to the shared folder, since three later steps read them.
+    order of value. An empty input gives no rows. The distinct readings, and later the flagged rows,
+    are written once to the shared folder, since several steps read them.
     """
     x = _tested(usable, shard_us, least, outlier, shift)
     shard = Window.partitionBy("household_id", "shard")
