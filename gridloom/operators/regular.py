@@ -25,15 +25,18 @@ def slot_values(usable: DataFrame, step_us: int = HALF_HOUR_US) -> DataFrame:
 def with_carry(slots: DataFrame, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     """Add ``before``: the source's previous occupied slot, null at its first.
 
-    Inside a shard it is the neighbour in slot order; at a shard's head it is the carry state of
-    the prefix scan over shard summaries.
+    Inside a shard it is the neighbour in slot order. A shard's first and last row are its
+    summary: the scan over them, at most two a shard, carries each shard's last slot to the head
+    of the next. Both parts read one shuffle by (source, shard), and no join brings them together.
     """
-    sharded = slots.withColumn("shard", floor_div(F.col("slot"), shard_slots))
-    summary = sharded.groupBy("household_id", "shard").agg(F.max("slot").alias("tail"))
-    scan = Window.partitionBy("household_id").orderBy("shard")
-    carry = summary.select("household_id", "shard", F.lag("tail").over(scan).alias("carry"))
-    inside = Window.partitionBy("household_id", "shard").orderBy("slot")
-    return sharded.join(carry, ["household_id", "shard"]).withColumn("before", F.coalesce(F.lag("slot").over(inside), F.col("carry"))).drop("carry", "shard")
+    shard = Window.partitionBy("household_id", "_shard")
+    inside = shard.orderBy("slot")
+    cut = slots.withColumn("_shard", floor_div(F.col("slot"), shard_slots)).withColumns({"before": F.lag("slot").over(inside), "_next": F.lead("slot").over(inside)})
+    ends = cut.where(F.col("before").isNull() | F.col("_next").isNull())
+    scan = Window.partitionBy("household_id").orderBy("slot")
+    heads = ends.withColumn("_scanned", F.lag("slot").over(scan)).where(F.col("before").isNull()).withColumn("before", F.col("_scanned"))
+    rest = cut.where(F.col("before").isNotNull())
+    return rest.drop("_shard", "_next").unionByName(heads.drop("_shard", "_next", "_scanned"))
 
 
 def gaps(slots: DataFrame, step_us: int = HALF_HOUR_US, shard_slots: int = SHARD_SLOTS) -> DataFrame:
