@@ -74,5 +74,5 @@ ranked AS (SELECT source_record_no, min(source_record_no) OVER (PARTITION BY k1,
 """
 ORACLES = {
     "p4_found": _KEY_SQL + "SELECT kept AS kept_record_no, source_record_no AS copy_record_no FROM ranked WHERE source_record_no <> kept",
-    "p4_records": _KEY_SQL + "SELECT kept AS kept_record_no, copies FROM ranked WHERE source_record_no = kept",
+    "p4_records": _KEY_SQL + "SELECT min(source_record_no) AS kept_record_no, count(*) AS copies FROM keyed GROUP BY k1, k2, k3",
 }
