@@ -7,9 +7,9 @@ from __future__ import annotations
 
 import datetime as dt
 import hashlib
-import os
 import pathlib
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,8 +63,10 @@ def published(judged: DataFrame) -> DataFrame:
 
 def registry(spark: SparkSession, root: str) -> DataFrame:
     """All loads so far; empty before the first."""
-    path = f"{root}/load_registry"
-    return spark.read.schema(REGISTRY).parquet(path) if os.path.isdir(path) else spark.createDataFrame([], REGISTRY)
+    try:
+        return spark.read.schema(REGISTRY).parquet(f"{root}/load_registry")
+    except AnalysisException:
+        return spark.createDataFrame([], REGISTRY)
 
 
 def current(spark: SparkSession, root: str) -> DataFrame:
