@@ -2,9 +2,11 @@
 
 Both sides are hashed row by row and range-partitioned together by key, so equal keys meet in one
 partition without a join. There each side's key-sorted rows are cut where a rolling hash over the
-last keys meets a condition; a cut depends on the rows around it alone, so both sides cut alike
+last rows meets a condition; a cut depends on the rows around it alone, so both sides cut alike
 again a few rows after any difference. Chunks whose fingerprint the other side has too are equal
-and leave; only rows of unmatched chunks are read again and compared field by field.
+and leave: as both sides of a key range lie in one partition, in key order, this anti-join runs
+along the stream, chunk by chunk, in bounded memory. Only rows of unmatched chunks are read again
+and compared field by field.
 """
 
 from __future__ import annotations
@@ -20,89 +22,120 @@ from pyspark.sql import functions as F
 from gridloom.storage import materialize
 
 ROLL = 4
+REGION_ROWS = 200_000
+
+
+def _marked(columns: Sequence[str]) -> list[Column]:
+    """Fields to hash with their nulls marked, since the hash functions skip nulls."""
+    return [x for c in columns for x in (F.col(c).isNull(), F.col(c))]
+
+
+class _Chunker:
+    """Cuts merged, sorted rows of two sides into chunks and keeps those of unmatched chunks."""
+
+    # Odd multipliers that mix the hashes of a window by place.
+    WEIGHTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], dtype=np.uint64)
+
+    def __init__(self, mask: int, region_rows: int):
+        self.mask, self.region_rows = np.uint64(mask), region_rows
+        self.tail = [np.zeros(ROLL - 1, np.uint64), np.zeros(ROLL - 1, np.uint64)]
+
+    def side_chunks(self, at: np.ndarray, h1: np.ndarray, h2: np.ndarray, s: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(rows, first row of each chunk among them, fingerprints) of one side of a region.
+
+        Identical repeats are neighbours and count once; a region's first row opens a chunk.
+        """
+        new = np.ones(len(at), bool)
+        new[1:] = (h1[at[1:]] != h1[at[:-1]]) | (h2[at[1:]] != h2[at[:-1]])
+        at = at[new]
+        line = np.concatenate([self.tail[s], h1[at].view(np.uint64)])
+        rolled = np.zeros(len(at), np.uint64)
+        for j in range(ROLL):
+            rolled += line[j : j + len(at)] * self.WEIGHTS[j]
+        rolled ^= rolled >> np.uint64(29)
+        cuts = (rolled & self.mask) == 0
+        cuts[:1] = True
+        first = np.flatnonzero(cuts)
+        prints = np.zeros(len(first), [("x1", np.int64), ("x2", np.int64), ("n", np.int64)])
+        if len(first):
+            prints["x1"] = np.bitwise_xor.reduceat(h1[at], first)
+            prints["x2"] = np.bitwise_xor.reduceat(h2[at].astype(np.int64), first)
+            prints["n"] = np.diff(np.append(first, len(at)))
+        return at, first, prints
+
+    def unmatched(self, side: np.ndarray, h1: np.ndarray, h2: np.ndarray, final: bool) -> tuple[np.ndarray, int]:
+        """Rows of unmatched chunks of a region, and how many of its first rows are done with.
+
+        Rows are done up to a place that no chunk of either side spans. A region that has grown
+        to its limit ends as it is, for both sides at the same key.
+        """
+        parts = [self.side_chunks(np.flatnonzero(side == s), h1, h2, s) for s in (0, 1)]
+        done = len(side)
+        if not final:
+            for at, first, _ in parts:
+                if len(at):
+                    done = min(done, int(at[first[-1]]))  # the last chunk may go on
+            moved = True
+            while moved and done:
+                moved = False
+                for at, first, _ in parts:
+                    k = int(np.searchsorted(at[first], done, "left")) - 1  # the last chunk begun before
+                    if k >= 0:
+                        end = first[k + 1] if k + 1 < len(first) else len(at)
+                        if at[end - 1] >= done:
+                            done, moved = int(at[first[k]]), True
+            if not done and len(side) >= self.region_rows:
+                done = len(side)
+        out = []
+        for s, (at, first, prints) in enumerate(parts):
+            inside = at[first] < done if len(at) else np.zeros(0, bool)
+            lone = inside & ~np.isin(prints, parts[1 - s][2])
+            size = prints["n"]
+            out.append(at[np.repeat(lone, size)] if len(at) else at)
+            past = at[at < done]
+            self.tail[s] = np.concatenate([self.tail[s], h1[past].view(np.uint64)])[-(ROLL - 1) :]
+        return np.sort(np.concatenate(out)), done
+
+
+def _unmatched_rows(mask: int, region_rows: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunker = _Chunker(mask, region_rows)
+        held: pa.Table | None = None
+
+        def step(rows: pa.Table, final: bool) -> tuple[pa.Table, pa.Table]:
+            numbers = [rows.column(c).to_numpy() for c in ("side", "h1", "h2")]
+            lone, done = chunker.unmatched(*numbers, final)
+            return rows.take(pa.array(lone)), rows.slice(done)
 
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None or not held.num_rows else pa.concat_tables([held, rows])
+            found, held = step(rows, final=False)
+            yield from found.combine_chunks().to_batches()
+        if held is not None and held.num_rows:
+            yield from step(held, final=True)[0].combine_chunks().to_batches()
 
-def _row_hash(columns: Sequence[str], seed: int) -> Column:
-    """64-bit hash of all fields; nulls are marked, since the hash functions skip them."""
-    return F.xxhash64(F.lit(seed), *[x for c in columns for x in (F.col(c).isNull(), F.col(c))])
-
-
-def _chunker(mask: int):
-    """mapInArrow function: tag sorted (side, h1, h2, key_hash) rows with the number of their chunk."""
+    return run
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
-        weights = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], dtype=np.uint64)
-        tail = {0: np.zeros(ROLL - 1, np.uint64), 1: np.zeros(ROLL - 1, np.uint64)}
-        chunk = {0: 0, 1: 0}
-        last: dict[int, tuple] = {}
-        for batch in batches:
-            side = batch.column("side").to_numpy(zero_copy_only=False)
-            key = batch.column("key_hash").to_numpy(zero_copy_only=False).view(np.uint64)
-            h1 = batch.column("h1").to_numpy(zero_copy_only=False)
-            h2 = batch.column("h2").to_numpy(zero_copy_only=False)
-            number = np.zeros(len(side), np.int64)
-            keep = np.zeros(len(side), bool)
-            for s in (0, 1):
-                at = np.flatnonzero(side == s)
-                if not len(at):
-                    continue
-                k, a, b = key[at], h1[at], h2[at]
-                new = np.ones(len(at), bool)  # identical repeats are neighbours
-                new[1:] = (k[1:] != k[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-                if s in last:
-                    new[0] = (k[0], a[0], b[0]) != last[s]
-                last[s] = (k[-1], a[-1], b[-1])
-                at, k = at[new], k[new]
-                if not len(at):
-                    continue
-                line = np.concatenate([tail[s], k])
-                rolled = np.zeros(len(k), np.uint64)
-                for j in range(ROLL):
-                    rolled += line[j : j + len(k)] * weights[j]
-                rolled ^= rolled >> np.uint64(29)
-                cuts = (rolled & np.uint64(mask)) == 0
-                number[at] = chunk[s] + np.cumsum(cuts)
-                chunk[s] = int(number[at][-1])
-                tail[s] = line[-(ROLL - 1) :]
-                keep[at] = True
-            tagged = batch.append_column("part", pa.array(np.full(len(side), part, np.int32))).append_column("chunk", pa.array(number))
-            yield tagged.filter(pa.array(keep)).drop_columns(["key_hash"])
-
-    return cut
-
-
-def suspicious_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], columns: Sequence[str], chunk_rows: int = 64) -> DataFrame:
-    """Keys of rows that lie in an unmatched chunk and have no identical row on the other side."""
+def suspicious_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], columns: Sequence[str], chunk_rows: int = 64, region_rows: int = REGION_ROWS) -> DataFrame:
+    """Keys of rows that lie in an unmatched chunk and have no identical row in one of the other side."""
     names = [f"_k{i}" for i in range(len(keys))]
 
     def hashed(df: DataFrame, side: int) -> DataFrame:
-        return df.select(
-            *[F.col(k).alias(n) for k, n in zip(keys, names)],
-            F.lit(side).cast("tinyint").alias("side"),
-            _row_hash(columns, 1).alias("h1"),
-            _row_hash(columns, 2).alias("h2"),
-            _row_hash(keys, 3).alias("key_hash"),
-        )
+        fields = _marked(columns)
+        return df.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.lit(side).cast("tinyint").alias("side"), F.xxhash64(*fields).alias("h1"), F.hash(*fields).alias("h2"))
 
     both = hashed(left, 0).unionByName(hashed(right, 1))
     spread = both.repartitionByRange(*[F.col(n) for n in names], "h1").sortWithinPartitions(*names, "h1", "h2", "side")
     kinds = ", ".join(f"{n} {both.schema[n].dataType.simpleString()}" for n in names)
     mask = (1 << max(1, (chunk_rows - 1).bit_length())) - 1
-    tagged = spread.mapInArrow(_chunker(mask), f"{kinds}, side tinyint, h1 bigint, h2 bigint, part int, chunk bigint")
-    tagged = materialize(tagged, "chunks")
-    prints = tagged.groupBy("side", "part", "chunk").agg(F.bit_xor("h1").alias("x1"), F.bit_xor("h2").alias("x2"), F.count("*").alias("n"))
-    mine, theirs = prints.where("side = 0"), prints.where("side = 1")
-    mark = ["x1", "x2", "n"]
-    unmatched = mine.join(theirs.select(*mark), mark, "left_anti").unionByName(theirs.join(mine.select(*mark), mark, "left_anti"))
-    rows = tagged.join(unmatched.select("side", "part", "chunk"), ["side", "part", "chunk"], "left_semi")
+    rows = spread.mapInArrow(_unmatched_rows(mask, region_rows), f"{kinds}, side tinyint, h1 bigint, h2 int")
     alone = rows.groupBy(*names, "h1", "h2").agg(F.min("side").alias("a"), F.max("side").alias("b")).where("a = b")
-    return alone.select(*names).distinct()
+    return materialize(alone.select(*names).distinct(), "suspects")
 
 
-def diff_copies(left: DataFrame, right: DataFrame, keys: Sequence[str], chunk_rows: int = 64) -> DataFrame:
+def diff_copies(left: DataFrame, right: DataFrame, keys: Sequence[str], chunk_rows: int = 64, region_rows: int = REGION_ROWS) -> DataFrame:
     """(keys..., difference, left_values, right_values): what two copies of a dataset disagree in.
 
     difference is ``missing_in_right``, ``missing_in_left`` or a differing column's name; the value
@@ -115,7 +148,7 @@ def diff_copies(left: DataFrame, right: DataFrame, keys: Sequence[str], chunk_ro
     """
     columns = [c for c in left.columns if c in set(right.columns)]
     names = [f"_k{i}" for i in range(len(keys))]
-    suspects = suspicious_keys(left, right, keys, columns, chunk_rows)
+    suspects = suspicious_keys(left, right, keys, columns, chunk_rows, region_rows)
     fields = [c for c in columns if c not in keys]
 
     def full(df: DataFrame, side: int) -> DataFrame:

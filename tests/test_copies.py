@@ -49,8 +49,31 @@ def test_random_copies(spark):
     rng.shuffle(right)
     expect = brute(left, right)
     assert expect
-    for chunk in (4, 64):
-        assert run(spark, left, right, chunk_rows=chunk) == expect
+    for chunk, region in ((4, 200_000), (64, 200_000), (64, 50), (16, 1)):
+        assert run(spark, left, right, chunk_rows=chunk, region_rows=region) == expect
+
+
+def test_chunker_leaves_out_equal_chunks_over_many_batches():
+    import numpy as np
+    from gridloom.operators.copies import _Chunker
+
+    rng = np.random.default_rng(1)
+    key = np.arange(20_000)
+    h1, h2 = rng.integers(-(2**62), 2**62, 20_000), rng.integers(-(2**31), 2**31, 20_000).astype(np.int32)
+    gone, odd = set(rng.choice(20_000, 10, replace=False).tolist()), set(rng.choice(20_000, 10, replace=False).tolist())
+    rows = [(k, s, h1[k] + (s if k in odd else 0), h2[k]) for k in key for s in (0, 1) if not (s and k in gone)]
+    rows.sort(key=lambda r: (r[0], r[2], r[3], r[1]))
+    for size in (len(rows), 997, 50):
+        chunker, held, out = _Chunker(63, 200_000), [], []
+        for at in range(0, len(rows), size):
+            held += rows[at : at + size]
+            k, s, a, b = map(np.array, zip(*held))
+            lone, done = chunker.unmatched(s, a.astype(np.int64), b, final=at + size >= len(rows))
+            out += [held[i] for i in lone]
+            held = held[done:]
+        assert not held
+        found = {r[0] for r in out}
+        assert gone | odd <= found and len(found) < 20 * 64 * 4
 
 
 def test_equal_copies_in_another_order_with_repeats(spark):
