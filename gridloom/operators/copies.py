@@ -118,7 +118,7 @@ def _unmatched_rows(mask: int, region_rows: int):
     return run
 
 
-def suspicious_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], columns: Sequence[str], chunk_rows: int = 64, region_rows: int = REGION_ROWS) -> DataFrame:
+def suspicious_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], columns: Sequence[str], chunk_rows: int = 16, region_rows: int = REGION_ROWS) -> DataFrame:
     """Keys of rows that lie in an unmatched chunk and have no identical row in one of the other side."""
     names = [f"_k{i}" for i in range(len(keys))]
 
@@ -135,7 +135,7 @@ def suspicious_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], colu
     return materialize(alone.select(*names).distinct(), "suspects")
 
 
-def diff_copies(left: DataFrame, right: DataFrame, keys: Sequence[str], chunk_rows: int = 64, region_rows: int = REGION_ROWS) -> DataFrame:
+def diff_copies(left: DataFrame, right: DataFrame, keys: Sequence[str], chunk_rows: int = 16, region_rows: int = REGION_ROWS) -> DataFrame:
     """(keys..., difference, left_values, right_values): what two copies of a dataset disagree in.
 
     difference is ``missing_in_right``, ``missing_in_left`` or a differing column's name; the value
