@@ -32,9 +32,9 @@ def banded_readings(readings: DataFrame, schedule: DataFrame, prices: DataFrame)
     """
     d = distinct_readings(readings)
     bands = small(schedule.select(F.col("schedule_label_naive").alias("observed_at_naive"), "band_label"))
-    cover = schedule.agg(F.min("schedule_label_naive").alias("lo"), F.max("schedule_label_naive").alias("hi"))
+    lo, hi = (schedule.agg(f("schedule_label_naive")).scalar() for f in (F.min, F.max))
     disputed = conflicting_labels(readings).withColumn("is_conflict", F.lit(True))
-    x = d.join(bands, "observed_at_naive", "left").join(disputed, ["household_id", "source_timestamp_text"], "left").crossJoin(F.broadcast(cover))
+    x = d.join(bands, "observed_at_naive", "left").join(disputed, ["household_id", "source_timestamp_text"], "left").withColumns({"lo": lo, "hi": hi})
     p = small(prices.select(F.col("tariff_group").alias("g"), F.col("band_label").alias("b"), "price_pence_per_kwh", "price_gbp_per_kwh", "effective_from", "effective_until"))
     day = F.to_date("observed_at_naive")
     valid = (F.col("tariff_group") == F.col("g")) & (F.col("band_label") == F.col("b")) & (day >= F.col("effective_from")) & (day < F.col("effective_until"))
@@ -106,9 +106,10 @@ def insights(fact: DataFrame) -> DataFrame:
     """One row: the band whose amount share most exceeds its kWh share, the hour with most kWh, and
     the households with fewest and most rows; ties by name."""
     bands = band_summary(fact).agg(F.max_by("band_label", F.struct(F.col("amount_share") - F.col("kwh_share"), "band_label")).alias("dearest_band"))
-    hours = fact.groupBy(F.col("source_hour").cast("bigint").alias("h")).agg(F.sum("consumption_kwh").alias("kwh")).agg(F.max_by("h", F.struct("kwh", "h")).alias("peak_hour"))
-    houses = fact.groupBy("household_id").agg(F.count("*").alias("n")).agg(F.min_by("household_id", F.struct("n", "household_id")).alias("fewest"), F.max_by("household_id", F.struct("n", "household_id")).alias("most"))
-    return bands.crossJoin(hours).crossJoin(houses)
+    hours = fact.groupBy(F.col("source_hour").cast("bigint").alias("h")).agg(F.sum("consumption_kwh").alias("kwh")).agg(F.max_by("h", F.struct("kwh", "h")))
+    houses = fact.groupBy("household_id").agg(F.count("*").alias("n"))
+    least, most = (houses.agg(f("household_id", F.struct("n", "household_id"))).scalar() for f in (F.min_by, F.max_by))
+    return bands.select("dearest_band", hours.scalar().alias("peak_hour"), least.alias("fewest"), most.alias("most"))
 
 
 def long_shares(fact: DataFrame) -> DataFrame:

@@ -58,7 +58,7 @@ def feasibility(days: DataFrame) -> DataFrame:
     ranked = hist.select("days", "n", F.sum("n").over(Window.orderBy("days")).alias("upto"), F.sum("n").over(Window.partitionBy(F.lit(1))).alias("all"))
     median = ranked.where(F.col("upto") > F.floor(F.col("all") / 2)).agg(F.min("days").alias("median_run"), F.max(F.col("days")).alias("longest_run"))
     counts = days.agg(F.count("*").alias("household_days"), F.count_if(F.col("unusable_reason").isNull()).alias("usable_days"))
-    return counts.crossJoin(hist.agg(F.min("days").alias("shortest_run"))).crossJoin(median)
+    return counts.select("*", hist.agg(F.min("days")).scalar().alias("shortest_run"), median.select("median_run").scalar().alias("median_run"), median.select("longest_run").scalar().alias("longest_run"))
 
 
 def zero_runs(days: DataFrame) -> DataFrame:

@@ -138,11 +138,12 @@ def prior_cases(days: DataFrame, s: Schedule) -> DataFrame:
     """Every household x origin x horizon of the shared calendar, with both states and the predictions.
 
     A household qualifies at an origin it can use if at least ``min_usable`` of the ``window``
-    dates up to it are usable; the target's state is judged apart from that. The calendar's few
-    origins are broadcast; households are only widened by them.
+    dates up to it are usable; the target's state is judged apart from that. Each household is
+    widened by the calendar's origins, an array of a few dates.
     """
     households = days.select("household_id").distinct()
-    cases = with_horizons(households.join(F.broadcast(origin_calendar(days, s))), s)
+    calendar = origin_calendar(days, s).agg(F.array_sort(F.collect_list("origin"))).scalar()
+    cases = with_horizons(households.select("household_id", F.explode(calendar).alias("origin")), s)
     near = Window.partitionBy("household_id").orderBy(F.unix_date("source_date")).rangeBetween(-(s.window - 1), 0)
     seen = usable_days(days).select("household_id", F.col("source_date").alias("origin"), F.count("*").over(near).alias("in_window"))
     targets = days.select("household_id", F.col("source_date").alias("target_date"), F.coalesce("unusable_reason", F.lit("scoreable")).alias("target_state"))

@@ -82,10 +82,10 @@ def nearest_rank_percentiles(readings: DataFrame, percents: tuple[int, ...] = (1
     before = cells.select("cell", F.coalesce(F.sum("c").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     upto = F.col("before") + F.sum("n").over(Window.partitionBy("cell").orderBy("consumption_kwh").rowsBetween(Window.unboundedPreceding, 0))
     ranked = cut.join(before, "cell").select("consumption_kwh", upto.alias("upto"), "n")
-    total = values.agg(F.sum("n").alias("total"))
-    wanted = total.select(F.explode(F.array(*[F.lit(p).cast("bigint") for p in percents])).alias("percent"), "total").select("percent", F.ceil(F.col("percent") * F.col("total") / 100).alias("rank"))
-    hit = (F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("n"))
-    return ranked.join(F.broadcast(wanted), hit).select("percent", "rank", F.col("consumption_kwh").alias("value"))
+    ranked = ranked.withColumn("total", values.agg(F.sum("n")).scalar())
+    wanted = F.array(*[F.struct(F.lit(p).cast("bigint").alias("percent"), F.ceil(F.lit(p) * F.col("total") / 100).alias("rank")) for p in percents])
+    hit = lambda w: (w["rank"] <= F.col("upto")) & (w["rank"] > F.col("upto") - F.col("n"))
+    return ranked.select(F.inline(F.filter(wanted, hit)), F.col("consumption_kwh").alias("value"))
 
 
 def distribution(readings: DataFrame) -> DataFrame:
