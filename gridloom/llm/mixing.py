@@ -39,9 +39,9 @@ def plan(counts: DataFrame, targets: DataFrame) -> DataFrame:
     an absent source. [lo, hi) is the source's stretch of the mix's cumulative weights.
     """
     per_source = counts.groupBy("source").agg(F.sum("n_tokens").alias("source_tokens"))
-    total = per_source.agg(F.coalesce(F.sum("source_tokens"), F.lit(0)).alias("all_tokens"))
+    total = per_source.agg(F.coalesce(F.sum("source_tokens"), F.lit(0))).scalar()
     w = Window.partitionBy("mix_name").orderBy("source")
-    rows = targets.select("mix_name", "size_factor", "source", "target_share", "max_repeats").join(per_source, "source", "left").join(F.broadcast(total))
+    rows = targets.select("mix_name", "size_factor", "source", "target_share", "max_repeats").join(per_source, "source", "left").withColumn("all_tokens", total)
     hi = F.sum("target_share").over(w)
     return rows.select(
         "mix_name",
