@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from gridloom.operators import analytics, daily, digests, expansion, explore, forecast, policy, profile, terrain
 from gridloom.sources.tables import table
 
-INTERVALS = 24
-SCHEDULE = forecast.Schedule(horizon=2, warmup=3, holdout=2, step=1, min_run=5, weeks=1, window=14, min_usable=3)
+# Intervals of a usable day, intervals of a day that may be a zero day, schedule, and weeks to sweep.
+FULL = (48, 48, forecast.Schedule(), (1, 2, 4, 8))  # the reference's
+# A reduced form, registered as ``short_...``: it runs the same code where tables have few whole days.
+SHORT = (24, 1, forecast.Schedule(horizon=2, warmup=3, holdout=2, step=1, min_run=5, weeks=1, window=14, min_usable=3), (1, 2))
 BASE_ARCHIVE = "meter-archive-a.zip"
 
 
@@ -24,10 +26,6 @@ def _sched(spark, d):
     return table(spark, d, "dim_tariff_band_schedule")
 
 
-def _days(spark, d):
-    return daily.with_usability(daily.daily_records(_r(spark, d)), INTERVALS)
-
-
 def _cells(spark, d):
     return terrain.dense_cells(_fact(spark, d), _sched(spark, d))
 
@@ -65,10 +63,6 @@ _Q = {
     "preset_window": lambda s, d: explore.preset_window(_r(s, d), 30),
     "step_order_stats": lambda s, d: explore.step_order(_r(s, d)),
     "daily_records": lambda s, d: daily.daily_records(_r(s, d)),
-    "usable_day_reasons": lambda s, d: _days(s, d).groupBy(F.coalesce("unusable_reason", F.lit("usable")).alias("reason")).agg(F.count("*").alias("days")),
-    "longest_usable_run": lambda s, d: daily.longest_runs(_days(s, d).where("unusable_reason is null")),
-    "feasibility": lambda s, d: daily.feasibility(_days(s, d)),
-    "zero_day_runs": lambda s, d: daily.zero_runs(daily.with_usability(daily.daily_records(_r(s, d)), 1)),
     "value_classification": lambda s, d: profile.value_classes(_r(s, d)),
     "timestamp_classification": lambda s, d: profile.label_classes(_r(s, d)),
     "profile_partitions": lambda s, d: profile.partitions(_r(s, d)),
@@ -107,20 +101,6 @@ _Q = {
     "source_diff_repeats": lambda s, d: expansion.repeated_readings(*_sets(s, d)),
     "new_conflicts": lambda s, d: expansion.new_conflicts(*_sets(s, d)),
     "resolved_conflicts": lambda s, d: expansion.resolved_conflicts(*_sets(s, d)),
-    "forecast_origins": lambda s, d: forecast.origins(_days(s, d), SCHEDULE),
-    "forecast_predictions": lambda s, d: _rounded(forecast.backtest(_days(s, d), SCHEDULE), "actual", "predicted", "abs_error"),
-    "forecast_mae": lambda s, d: forecast.errors(forecast.backtest(_days(s, d), SCHEDULE), ["split", "model", "horizon"]),
-    "forecast_common_frame": lambda s, d: forecast.errors(forecast.common_frame(forecast.backtest(_days(s, d), SCHEDULE)), ["model"]),
-    "forecast_exclusions": lambda s, d: forecast.exclusions(forecast.backtest(_days(s, d), SCHEDULE)),
-    "forecast_split_counts": lambda s, d: forecast.split_counts(forecast.backtest(_days(s, d), SCHEDULE)),
-    "forecast_overlap": lambda s, d: forecast.overlap(forecast.backtest(_days(s, d), SCHEDULE), forecast.prior_cases(_days(s, d), SCHEDULE)),
-    "cohort_composition": lambda s, d: forecast.cohort_composition(_r(s, d), _days(s, d), SCHEDULE),
-    "forecast_wide": lambda s, d: _rounded(forecast.observed_vs_predicted(forecast.backtest(_days(s, d), SCHEDULE)), "actual", *forecast.MODELS),
-    "weeks_sweep": lambda s, d: forecast.weeks_sweep(_days(s, d), SCHEDULE, (1, 2)),
-    "worst_days": lambda s, d: forecast.worst_cases(forecast.backtest(_days(s, d), SCHEDULE)).select("household_id", "origin", "horizon", "model", F.round("abs_error", 6).alias("abs_error")),
-    "origin_calendar": lambda s, d: forecast.origin_calendar(_days(s, d), SCHEDULE),
-    "prior_eligibility_cases": lambda s, d: _rounded(forecast.prior_cases(_days(s, d), SCHEDULE).where("prediction_state = 'issued'").select("household_id", "origin", "horizon", "target_date", "target_state", *forecast.MODELS), *forecast.MODELS),
-    "prior_coverage": lambda s, d: forecast.prior_coverage(_days(s, d), SCHEDULE),
     "canonical_row_hashes": lambda s, d: digests.row_hashes(table(s, d, "dim_tariff_price"), ["tariff_group", "band_label", "price_pence_per_kwh", "effective_from", "evidence_label"]),
     "fact_bucket_digests": lambda s, d: digests.bucket_digests(_fact(s, d), ["household_id", "source_timestamp_text", "band_label", "consumption_kwh", "energy_charge_gbp"]),
     "fact_totals_by_band": lambda s, d: digests.grouped_totals(_fact(s, d), "band_label"),
@@ -130,7 +110,37 @@ _Q = {
     "fk_violations": lambda s, d: digests.orphans(_r(s, d), _sched(s, d), "observed_at_naive", "schedule_label_naive"),
     "accounting_membership": lambda s, d: digests.membership(policy.distinct_raw_readings(_r(s, d)), _fact(s, d).join(_r(s, d).select("household_id", "source_timestamp_text", "consumption_raw_text"), ["household_id", "source_timestamp_text"]), policy.RAW_KEY),
 }
-QUERIES = dict(_Q)
+
+
+def _scheduled(intervals: int, zero_intervals: int, schedule: forecast.Schedule, sweep: tuple[int, ...]) -> dict:
+    """The queries that depend on a usable day's intervals, on the zero days' and on a schedule."""
+
+    def days(spark, d, n=intervals):
+        return daily.with_usability(daily.daily_records(_r(spark, d)), n)
+
+    return {
+        "usable_day_reasons": lambda s, d: days(s, d).groupBy(F.coalesce("unusable_reason", F.lit("usable")).alias("reason")).agg(F.count("*").alias("days")),
+        "longest_usable_run": lambda s, d: daily.longest_runs(days(s, d).where("unusable_reason is null")),
+        "feasibility": lambda s, d: daily.feasibility(days(s, d)),
+        "zero_day_runs": lambda s, d: daily.zero_runs(days(s, d, zero_intervals)),
+        "forecast_origins": lambda s, d: forecast.origins(days(s, d), schedule),
+        "forecast_predictions": lambda s, d: _rounded(forecast.backtest(days(s, d), schedule), "actual", "predicted", "abs_error"),
+        "forecast_mae": lambda s, d: forecast.errors(forecast.backtest(days(s, d), schedule), ["split", "model", "horizon"]),
+        "forecast_common_frame": lambda s, d: forecast.errors(forecast.common_frame(forecast.backtest(days(s, d), schedule)), ["model"]),
+        "forecast_exclusions": lambda s, d: forecast.exclusions(forecast.backtest(days(s, d), schedule)),
+        "forecast_split_counts": lambda s, d: forecast.split_counts(forecast.backtest(days(s, d), schedule)),
+        "forecast_overlap": lambda s, d: forecast.overlap(forecast.backtest(days(s, d), schedule), forecast.prior_cases(days(s, d), schedule)),
+        "cohort_composition": lambda s, d: forecast.cohort_composition(_r(s, d), days(s, d), schedule),
+        "forecast_wide": lambda s, d: _rounded(forecast.observed_vs_predicted(forecast.backtest(days(s, d), schedule)), "actual", *forecast.MODELS),
+        "weeks_sweep": lambda s, d: forecast.weeks_sweep(days(s, d), schedule, sweep),
+        "worst_days": lambda s, d: forecast.worst_cases(forecast.backtest(days(s, d), schedule)).select("household_id", "origin", "horizon", "model", F.round("abs_error", 6).alias("abs_error")),
+        "origin_calendar": lambda s, d: forecast.origin_calendar(days(s, d), schedule),
+        "prior_eligibility_cases": lambda s, d: _rounded(forecast.prior_cases(days(s, d), schedule).where("prediction_state = 'issued'").select("household_id", "origin", "horizon", "target_date", "target_state", *forecast.MODELS), *forecast.MODELS),
+        "prior_coverage": lambda s, d: forecast.prior_coverage(days(s, d), schedule),
+    }
+
+
+QUERIES = _Q | _scheduled(*FULL) | {f"short_{name}": q for name, q in _scheduled(*SHORT).items()}
 
 _SIG = "coalesce(CAST(consumption_kwh AS VARCHAR), '~' || value_category)"
 _CONF = f"(SELECT household_id, source_timestamp_text FROM readings GROUP BY 1, 2 HAVING count(DISTINCT {_SIG}) > 1)"
@@ -151,34 +161,7 @@ def _judged(n: int) -> str:
 _RUNS = """, usable AS (SELECT household_id, source_date, CAST(kwh AS DOUBLE) AS kwh FROM judged WHERE unusable_reason IS NULL),
 runs AS (SELECT household_id, min(source_date) AS start, max(source_date) AS "end", count(*) AS days FROM (SELECT *, source_date - CAST(row_number() OVER (PARTITION BY household_id ORDER BY source_date) AS INTEGER) AS k FROM usable) GROUP BY household_id, k),
 longest AS (SELECT household_id, start, "end", days FROM (SELECT *, row_number() OVER (PARTITION BY household_id ORDER BY days DESC, start) AS rn FROM runs) WHERE rn = 1)"""
-_S = SCHEDULE
-_ORIGINS = f""", fits AS (SELECT household_id, start AS run_start, "end" AS run_end, "end" - {_S.holdout - 1} AS holdout_start FROM longest WHERE days >= {_S.min_run}),
-origins AS (
- SELECT household_id, run_start, run_end, 'development' AS split, CAST(unnest(generate_series(CAST(run_start + {_S.warmup - 1} AS TIMESTAMP), CAST(holdout_start - {1 + _S.horizon} AS TIMESTAMP), INTERVAL {_S.step} DAY)) AS DATE) AS origin FROM fits
- UNION ALL SELECT household_id, run_start, run_end, 'holdout', CAST(unnest(generate_series(CAST(holdout_start - 1 AS TIMESTAMP), CAST(run_end - {_S.horizon} AS TIMESTAMP), INTERVAL {_S.step} DAY)) AS DATE) FROM fits)"""
-
-
-def _wide(source: str, weeks: int, start: str | None, name: str = "wide") -> str:
-    old = f"AND h.source_date >= c.{start}" if start else ""
-    return f""", {name}_c AS (SELECT o.*, h.horizon, o.origin + CAST(h.horizon AS INTEGER) AS target_date FROM {source} o, (SELECT unnest(generate_series(1, {_S.horizon})) AS horizon) h),
-{name}_m AS (SELECT household_id, origin, horizon, avg(kwh) AS weekday_mean FROM (
- SELECT c.household_id, c.origin, c.horizon, h.kwh, row_number() OVER (PARTITION BY c.household_id, c.origin, c.horizon ORDER BY h.source_date DESC) AS rn FROM {name}_c c JOIN usable h ON h.household_id = c.household_id AND h.source_date <= c.origin {old} AND (c.target_date - h.source_date) % 7 = 0)
- WHERE rn <= {weeks} GROUP BY 1, 2, 3 HAVING count(*) = {weeks}),
-{name} AS (SELECT c.*, a.kwh AS actual, CASE WHEN c.target_date - 7 <= c.origin THEN n.kwh END AS seasonal_naive, l.kwh AS last_day, m.weekday_mean FROM {name}_c c
- LEFT JOIN usable a ON a.household_id = c.household_id AND a.source_date = c.target_date LEFT JOIN usable n ON n.household_id = c.household_id AND n.source_date = c.target_date - 7
- LEFT JOIN usable l ON l.household_id = c.household_id AND l.source_date = c.origin LEFT JOIN {name}_m m ON m.household_id = c.household_id AND m.origin = c.origin AND m.horizon = c.horizon)"""
-
-
-_CASES = (
-    _judged(INTERVALS)
-    + _RUNS
-    + _ORIGINS
-    + _wide("origins", _S.weeks, "run_start")
-    + """, long AS (SELECT *, CASE WHEN actual IS NULL THEN 'target_day_not_usable' WHEN predicted IS NULL THEN CASE model WHEN 'seasonal_naive' THEN CASE WHEN target_date - 7 > origin THEN 'lag_day_after_origin' ELSE 'lag_day_not_usable' END WHEN 'last_day' THEN 'origin_day_not_usable' ELSE 'insufficient_same_weekday_history' END END AS excluded_reason FROM (
- SELECT household_id, split, origin, horizon, target_date, actual, 'seasonal_naive' AS model, seasonal_naive AS predicted FROM wide UNION ALL SELECT household_id, split, origin, horizon, target_date, actual, 'last_day', last_day FROM wide UNION ALL SELECT household_id, split, origin, horizon, target_date, actual, 'weekday_mean', weekday_mean FROM wide)),
-cases AS (SELECT *, CASE WHEN excluded_reason IS NULL THEN abs(predicted - actual) END AS abs_error FROM long)
-"""
-)
+_WORDS = {1: "one", 2: "two", 4: "four", 8: "eight"}
 _SETS = "base AS (SELECT * FROM readings WHERE archive_name = 'meter-archive-a.zip')"
 _SETTLED = ", ".join(
     f"{n} AS (SELECT household_id, source_timestamp_text, max(consumption_kwh) AS kwh FROM {src} WHERE household_id IS NOT NULL AND source_timestamp_text IS NOT NULL GROUP BY 1, 2 HAVING min({_SIG}) = max({_SIG}) AND max(consumption_kwh) IS NOT NULL)"
@@ -238,17 +221,6 @@ ORACLES = {
     "preset_window": "SELECT household_id, CAST(min(observed_at_naive) AS DATE) AS first_date, CAST(max(observed_at_naive) AS DATE) AS last_date, greatest(CAST(min(observed_at_naive) AS DATE), CAST(max(observed_at_naive) AS DATE) - 29) AS window_start FROM readings WHERE observed_at_naive IS NOT NULL GROUP BY 1",
     "step_order_stats": "SELECT household_id, count(*) FILTER (t < p) AS steps_back, count(*) FILTER (t = p) AS repeats, count(*) AS row_count FROM (SELECT household_id, observed_at_naive AS t, lag(observed_at_naive) OVER (PARTITION BY household_id ORDER BY source_record_no) AS p FROM readings WHERE observed_at_naive IS NOT NULL AND source_record_no IS NOT NULL) GROUP BY 1",
     "daily_records": f"WITH {_DAYS} SELECT * FROM days",
-    "usable_day_reasons": _judged(INTERVALS) + "SELECT coalesce(unusable_reason, 'usable') AS reason, count(*) AS days FROM judged GROUP BY 1",
-    "longest_usable_run": _judged(INTERVALS) + _RUNS + "SELECT * FROM longest",
-    "feasibility": _judged(INTERVALS)
-    + _RUNS
-    + "SELECT (SELECT count(*) FROM judged) AS household_days, (SELECT count(*) FROM usable) AS usable_days, min(days) AS shortest_run, list_sort(list(days))[count(*) // 2 + 1] AS median_run, max(days) AS longest_run FROM longest",
-    "zero_day_runs": _judged(1)
-    + """, z AS (SELECT household_id, source_date, source_date - CAST(row_number() OVER (PARTITION BY household_id ORDER BY source_date) AS INTEGER) AS k FROM judged WHERE unusable_reason IS NULL AND kwh = 0),
-r AS (SELECT household_id, min(source_date) AS start, max(source_date) AS "end", count(*) AS days FROM z GROUP BY household_id, k), sp AS (SELECT household_id, min(source_date) AS lo, max(source_date) AS hi FROM judged GROUP BY 1),
-st AS (SELECT household_id, source_date, coalesce('unusable:' || unusable_reason, 'nonzero_usable') AS state FROM judged),
-o AS (SELECT r.*, CASE WHEN r.start - 1 < lo THEN 'recorded_span_edge' ELSE coalesce(b.state, 'absent') END AS before, CASE WHEN r."end" + 1 > hi THEN 'recorded_span_edge' ELSE coalesce(a.state, 'absent') END AS after FROM r JOIN sp USING (household_id) LEFT JOIN st b ON b.household_id = r.household_id AND b.source_date = r.start - 1 LEFT JOIN st a ON a.household_id = r.household_id AND a.source_date = r."end" + 1)
-SELECT *, before = 'nonzero_usable' AND after = 'nonzero_usable' AS bounded, CASE WHEN days = 1 THEN '1' WHEN days <= 6 THEN '2-6' WHEN days <= 27 THEN '7-27' ELSE '28+' END AS bucket FROM o""",
     "value_classification": f"SELECT value_category AS category, count(*) AS row_count, count(*) FILTER ({_STRIP} <> consumption_raw_text) AS padded FROM readings GROUP BY 1",
     "timestamp_classification": "SELECT CASE WHEN observed_at_naive IS NULL THEN 'invalid' WHEN on_half_hour_grid THEN 'on_grid' ELSE 'off_grid' END AS label_class, count(*) AS row_count FROM readings GROUP BY 1",
     "profile_partitions": "SELECT count(*) AS row_count, count(*) FILTER (value_category = 'finite_numeric') AS finite_values, count(*) FILTER (value_category <> 'finite_numeric') AS other_values, count(*) FILTER (on_half_hour_grid) AS on_grid, count(*) FILTER (NOT on_half_hour_grid) AS off_grid, count(*) FILTER (on_half_hour_grid IS NULL) AS without_instant, count(*) FILTER (consumption_kwh < 0) AS negative, count(*) FILTER (consumption_kwh = 0) AS zero FROM readings",
@@ -292,45 +264,8 @@ SELECT *, before = 'nonzero_usable' AND after = 'nonzero_usable' AS bounded, CAS
     "source_diff_repeats": f"WITH {_SETS} SELECT member_name, count(*) AS row_count FROM readings r WHERE member_name NOT IN (SELECT member_name FROM base) AND EXISTS (SELECT 1 FROM base b WHERE b.household_id = r.household_id AND b.source_timestamp_text = r.source_timestamp_text AND coalesce(CAST(b.consumption_kwh AS VARCHAR), '~' || b.value_category) = coalesce(CAST(r.consumption_kwh AS VARCHAR), '~' || r.value_category)) GROUP BY 1",
     "new_conflicts": _CONF_SETS + "SELECT * FROM cw EXCEPT SELECT * FROM cb",
     "resolved_conflicts": _CONF_SETS + "SELECT * FROM cb EXCEPT SELECT * FROM cw",
-    "forecast_origins": _judged(INTERVALS) + _RUNS + _ORIGINS + "SELECT * FROM origins",
-    "forecast_predictions": _CASES + "SELECT household_id, split, origin, horizon, target_date, round(actual, 6) AS actual, model, round(predicted, 6) AS predicted, excluded_reason, round(abs_error, 6) AS abs_error FROM cases",
-    "forecast_mae": _CASES + "SELECT split, model, horizon, count(*) AS scored, round(avg(abs_error), 6) AS mae, round(median(abs_error), 6) AS median_ae FROM cases WHERE abs_error IS NOT NULL GROUP BY 1, 2, 3",
-    "forecast_common_frame": _CASES
-    + "SELECT model, count(*) AS scored, round(avg(abs_error), 6) AS mae, round(median(abs_error), 6) AS median_ae FROM cases WHERE (household_id, origin, horizon) IN (SELECT (household_id, origin, horizon) FROM cases WHERE abs_error IS NOT NULL GROUP BY household_id, origin, horizon HAVING count(*) = 3) GROUP BY 1",
-    "forecast_wide": _CASES + "SELECT household_id, origin, target_date, round(actual, 6) AS actual, round(seasonal_naive, 6) AS seasonal_naive, round(last_day, 6) AS last_day, round(weekday_mean, 6) AS weekday_mean FROM wide",
-    "weeks_sweep": _judged(INTERVALS)
-    + _RUNS
-    + _ORIGINS
-    + ", dev AS (SELECT * FROM origins WHERE split = 'development')"
-    + _wide("dev", 1, "run_start", "one")
-    + _wide("dev", 2, "run_start", "two")
-    + ", u AS (SELECT o.actual, o.weekday_mean AS p1, t.weekday_mean AS p2 FROM one o JOIN two t USING (household_id, origin, horizon) WHERE o.actual IS NOT NULL AND o.weekday_mean IS NOT NULL AND t.weekday_mean IS NOT NULL) SELECT * FROM (SELECT CAST(1 AS BIGINT) AS weeks, count(*) AS scored, round(avg(abs(p1 - actual)), 6) AS mae FROM u UNION ALL SELECT 2, count(*), round(avg(abs(p2 - actual)), 6) FROM u) WHERE scored > 0",
-    "worst_days": _CASES + "SELECT household_id, origin, horizon, model, round(abs_error, 6) AS abs_error FROM cases WHERE abs_error IS NOT NULL ORDER BY round(abs_error, 6) DESC, household_id, origin, horizon, model LIMIT 10",
-    "origin_calendar": _judged(INTERVALS) + f"SELECT CAST(unnest(generate_series(CAST(lo + {_S.window - 1} AS TIMESTAMP), CAST(hi - {_S.horizon} AS TIMESTAMP), INTERVAL {_S.step} DAY)) AS DATE) AS origin FROM (SELECT min(source_date) AS lo, max(source_date) AS hi FROM judged)",
 }
-_PRIOR = (
-    _judged(INTERVALS)
-    + _RUNS
-    + f""", cal AS (SELECT CAST(unnest(generate_series(CAST(lo + {_S.window - 1} AS TIMESTAMP), CAST(hi - {_S.horizon} AS TIMESTAMP), INTERVAL {_S.step} DAY)) AS DATE) AS origin FROM (SELECT min(source_date) AS lo, max(source_date) AS hi FROM judged)),
-pc AS (SELECT h.household_id, cal.origin FROM (SELECT DISTINCT household_id FROM judged) h, cal)"""
-    + _wide("pc", _S.weeks, None)
-    + f""", seen AS (SELECT household_id, source_date AS origin, count(*) OVER (PARTITION BY household_id ORDER BY source_date RANGE BETWEEN INTERVAL {_S.window - 1} DAY PRECEDING AND CURRENT ROW) AS in_window FROM usable),
-prior AS (SELECT w.*, coalesce(CASE WHEN t.household_id IS NULL THEN 'absent' END, t.unusable_reason, 'scoreable') AS target_state, CASE WHEN s.in_window IS NULL THEN 'origin_day_not_usable' WHEN s.in_window < {_S.min_usable} THEN 'thin_window' ELSE 'issued' END AS prediction_state
- FROM wide w LEFT JOIN seen s ON s.household_id = w.household_id AND s.origin = w.origin LEFT JOIN judged t ON t.household_id = w.household_id AND t.source_date = w.target_date)
-"""
-)
 ORACLES |= {
-    "forecast_exclusions": _CASES + "SELECT split, model, coalesce(excluded_reason, 'scored') AS reason, count(*) AS cases FROM cases GROUP BY 1, 2, 3",
-    "forecast_split_counts": _CASES + "SELECT split, count(DISTINCT household_id) AS households, count(DISTINCT (household_id, origin)) AS origins, count(DISTINCT (household_id, target_date)) AS targets, count(DISTINCT target_date) AS target_dates FROM cases GROUP BY 1",
-    "cohort_composition": _judged(INTERVALS)
-    + _RUNS
-    + _ORIGINS
-    + "SELECT groups, members, count(*) AS households FROM (SELECT household_id, array_to_string(list_sort(list(DISTINCT tariff_group)), ' | ') AS groups, count(DISTINCT member_name) AS members FROM readings WHERE household_id IN (SELECT household_id FROM origins) GROUP BY 1) GROUP BY 1, 2",
-    "forecast_overlap": _PRIOR
-    + _ORIGINS
-    + f", mine AS (SELECT DISTINCT household_id, origin, horizon FROM origins, (SELECT unnest(generate_series(1, {_S.horizon})) AS horizon)) SELECT CASE WHEN m.household_id IS NULL THEN 'new' ELSE 'shared' END AS kind, count(*) AS cases FROM (SELECT DISTINCT household_id, origin, horizon FROM prior WHERE prediction_state = 'issued') p LEFT JOIN mine m USING (household_id, origin, horizon) GROUP BY 1",
-    "prior_eligibility_cases": _PRIOR + "SELECT household_id, origin, horizon, target_date, target_state, round(seasonal_naive, 6) AS seasonal_naive, round(last_day, 6) AS last_day, round(weekday_mean, 6) AS weekday_mean FROM prior WHERE prediction_state = 'issued'",
-    "prior_coverage": _PRIOR + "SELECT prediction_state, target_state, count(*) AS cases FROM prior GROUP BY 1, 2",
     "canonical_row_hashes": f"SELECT {_hash(['tariff_group', 'band_label', 'price_pence_per_kwh', 'effective_from', 'evidence_label'])} AS row_hash FROM dim_tariff_price",
     "fact_bucket_digests": f"SELECT h[1:2] AS bucket, CAST(sum(n) AS BIGINT) AS row_count, sha256(string_agg(h || 'x' || n, ',' ORDER BY h)) AS digest FROM (SELECT {_hash(['household_id', 'source_timestamp_text', 'band_label', 'consumption_kwh', 'energy_charge_gbp'])} AS h, count(*) AS n FROM {_FACT} GROUP BY 1) GROUP BY 1",
     "fact_totals_by_band": f"SELECT band_label AS key, count(*) AS row_count, CAST(sum(consumption_kwh) AS VARCHAR) AS kwh, CAST(sum(energy_charge_gbp) AS VARCHAR) AS amount FROM {_FACT} GROUP BY 1",
@@ -341,3 +276,89 @@ ORACLES |= {
     "accounting_membership": f"""WITH a AS (SELECT household_id, tariff_group, source_timestamp_text, consumption_raw_text FROM readings), b AS (SELECT f.household_id, f.tariff_group, f.source_timestamp_text, r.consumption_raw_text FROM {_FACT} f JOIN readings r ON r.household_id = f.household_id AND r.source_timestamp_text = f.source_timestamp_text)
  SELECT *, 'unaccounted' AS side FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT *, 'unexpected' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""",
 }
+
+
+def _scheduled_sql(intervals: int, zero_intervals: int, s: forecast.Schedule, sweep: tuple[int, ...]) -> dict[str, str]:
+    """The SQL twins of ``_scheduled``."""
+    origins = f""", fits AS (SELECT household_id, start AS run_start, "end" AS run_end, "end" - {s.holdout - 1} AS holdout_start FROM longest WHERE days >= {s.min_run}),
+origins AS (
+ SELECT household_id, run_start, run_end, 'development' AS split, CAST(unnest(generate_series(CAST(run_start + {s.warmup - 1} AS TIMESTAMP), CAST(holdout_start - {1 + s.horizon} AS TIMESTAMP), INTERVAL {s.step} DAY)) AS DATE) AS origin FROM fits
+ UNION ALL SELECT household_id, run_start, run_end, 'holdout', CAST(unnest(generate_series(CAST(holdout_start - 1 AS TIMESTAMP), CAST(run_end - {s.horizon} AS TIMESTAMP), INTERVAL {s.step} DAY)) AS DATE) FROM fits)"""
+
+
+    def wide(source: str, weeks: int, start: str | None, name: str = "wide") -> str:
+        old = f"AND h.source_date >= c.{start}" if start else ""
+        return f""", {name}_c AS (SELECT o.*, h.horizon, o.origin + CAST(h.horizon AS INTEGER) AS target_date FROM {source} o, (SELECT unnest(generate_series(1, {s.horizon})) AS horizon) h),
+{name}_m AS (SELECT household_id, origin, horizon, avg(kwh) AS weekday_mean FROM (
+ SELECT c.household_id, c.origin, c.horizon, h.kwh, row_number() OVER (PARTITION BY c.household_id, c.origin, c.horizon ORDER BY h.source_date DESC) AS rn FROM {name}_c c JOIN usable h ON h.household_id = c.household_id AND h.source_date <= c.origin {old} AND (c.target_date - h.source_date) % 7 = 0)
+ WHERE rn <= {weeks} GROUP BY 1, 2, 3 HAVING count(*) = {weeks}),
+{name} AS (SELECT c.*, a.kwh AS actual, CASE WHEN c.target_date - 7 <= c.origin THEN n.kwh END AS seasonal_naive, l.kwh AS last_day, m.weekday_mean FROM {name}_c c
+ LEFT JOIN usable a ON a.household_id = c.household_id AND a.source_date = c.target_date LEFT JOIN usable n ON n.household_id = c.household_id AND n.source_date = c.target_date - 7
+ LEFT JOIN usable l ON l.household_id = c.household_id AND l.source_date = c.origin LEFT JOIN {name}_m m ON m.household_id = c.household_id AND m.origin = c.origin AND m.horizon = c.horizon)"""
+
+
+    cases = (
+        _judged(intervals)
+        + _RUNS
+        + origins
+        + wide("origins", s.weeks, "run_start")
+        + """, long AS (SELECT *, CASE WHEN actual IS NULL THEN 'target_day_not_usable' WHEN predicted IS NULL THEN CASE model WHEN 'seasonal_naive' THEN CASE WHEN target_date - 7 > origin THEN 'lag_day_after_origin' ELSE 'lag_day_not_usable' END WHEN 'last_day' THEN 'origin_day_not_usable' ELSE 'insufficient_same_weekday_history' END END AS excluded_reason FROM (
+ SELECT household_id, split, origin, horizon, target_date, actual, 'seasonal_naive' AS model, seasonal_naive AS predicted FROM wide UNION ALL SELECT household_id, split, origin, horizon, target_date, actual, 'last_day', last_day FROM wide UNION ALL SELECT household_id, split, origin, horizon, target_date, actual, 'weekday_mean', weekday_mean FROM wide)),
+cases AS (SELECT *, CASE WHEN excluded_reason IS NULL THEN abs(predicted - actual) END AS abs_error FROM long)
+"""
+    )
+    prior = (
+        _judged(intervals)
+        + _RUNS
+        + f""", cal AS (SELECT CAST(unnest(generate_series(CAST(lo + {s.window - 1} AS TIMESTAMP), CAST(hi - {s.horizon} AS TIMESTAMP), INTERVAL {s.step} DAY)) AS DATE) AS origin FROM (SELECT min(source_date) AS lo, max(source_date) AS hi FROM judged)),
+pc AS (SELECT h.household_id, cal.origin FROM (SELECT DISTINCT household_id FROM judged) h, cal)"""
+        + wide("pc", s.weeks, None)
+        + f""", seen AS (SELECT household_id, source_date AS origin, count(*) OVER (PARTITION BY household_id ORDER BY source_date RANGE BETWEEN INTERVAL {s.window - 1} DAY PRECEDING AND CURRENT ROW) AS in_window FROM usable),
+prior AS (SELECT w.*, coalesce(CASE WHEN t.household_id IS NULL THEN 'absent' END, t.unusable_reason, 'scoreable') AS target_state, CASE WHEN s.in_window IS NULL THEN 'origin_day_not_usable' WHEN s.in_window < {s.min_usable} THEN 'thin_window' ELSE 'issued' END AS prediction_state
+ FROM wide w LEFT JOIN seen s ON s.household_id = w.household_id AND s.origin = w.origin LEFT JOIN judged t ON t.household_id = w.household_id AND t.source_date = w.target_date)
+"""
+    )
+    first = _WORDS[sweep[0]][0]
+    return {
+        "usable_day_reasons": _judged(intervals) + "SELECT coalesce(unusable_reason, 'usable') AS reason, count(*) AS days FROM judged GROUP BY 1",
+        "longest_usable_run": _judged(intervals) + _RUNS + "SELECT * FROM longest",
+        "feasibility": _judged(intervals)
+        + _RUNS
+        + "SELECT (SELECT count(*) FROM judged) AS household_days, (SELECT count(*) FROM usable) AS usable_days, min(days) AS shortest_run, list_sort(list(days))[count(*) // 2 + 1] AS median_run, max(days) AS longest_run FROM longest",
+        "zero_day_runs": _judged(zero_intervals)
+        + """, z AS (SELECT household_id, source_date, source_date - CAST(row_number() OVER (PARTITION BY household_id ORDER BY source_date) AS INTEGER) AS k FROM judged WHERE unusable_reason IS NULL AND kwh = 0),
+r AS (SELECT household_id, min(source_date) AS start, max(source_date) AS "end", count(*) AS days FROM z GROUP BY household_id, k), sp AS (SELECT household_id, min(source_date) AS lo, max(source_date) AS hi FROM judged GROUP BY 1),
+st AS (SELECT household_id, source_date, coalesce('unusable:' || unusable_reason, 'nonzero_usable') AS state FROM judged),
+o AS (SELECT r.*, CASE WHEN r.start - 1 < lo THEN 'recorded_span_edge' ELSE coalesce(b.state, 'absent') END AS before, CASE WHEN r."end" + 1 > hi THEN 'recorded_span_edge' ELSE coalesce(a.state, 'absent') END AS after FROM r JOIN sp USING (household_id) LEFT JOIN st b ON b.household_id = r.household_id AND b.source_date = r.start - 1 LEFT JOIN st a ON a.household_id = r.household_id AND a.source_date = r."end" + 1)
+SELECT *, before = 'nonzero_usable' AND after = 'nonzero_usable' AS bounded, CASE WHEN days = 1 THEN '1' WHEN days <= 6 THEN '2-6' WHEN days <= 27 THEN '7-27' ELSE '28+' END AS bucket FROM o""",
+        "forecast_origins": _judged(intervals) + _RUNS + origins + "SELECT * FROM origins",
+        "forecast_predictions": cases + "SELECT household_id, split, origin, horizon, target_date, round(actual, 6) AS actual, model, round(predicted, 6) AS predicted, excluded_reason, round(abs_error, 6) AS abs_error FROM cases",
+        "forecast_mae": cases + "SELECT split, model, horizon, count(*) AS scored, round(avg(abs_error), 6) AS mae, round(median(abs_error), 6) AS median_ae FROM cases WHERE abs_error IS NOT NULL GROUP BY 1, 2, 3",
+        "forecast_common_frame": cases
+        + "SELECT model, count(*) AS scored, round(avg(abs_error), 6) AS mae, round(median(abs_error), 6) AS median_ae FROM cases WHERE (household_id, origin, horizon) IN (SELECT (household_id, origin, horizon) FROM cases WHERE abs_error IS NOT NULL GROUP BY household_id, origin, horizon HAVING count(*) = 3) GROUP BY 1",
+        "forecast_exclusions": cases + "SELECT split, model, coalesce(excluded_reason, 'scored') AS reason, count(*) AS cases FROM cases GROUP BY 1, 2, 3",
+        "forecast_split_counts": cases + "SELECT split, count(DISTINCT household_id) AS households, count(DISTINCT (household_id, origin)) AS origins, count(DISTINCT (household_id, target_date)) AS targets, count(DISTINCT target_date) AS target_dates FROM cases GROUP BY 1",
+        "forecast_overlap": prior
+        + origins
+        + f", mine AS (SELECT DISTINCT household_id, origin, horizon FROM origins, (SELECT unnest(generate_series(1, {s.horizon})) AS horizon)) SELECT CASE WHEN m.household_id IS NULL THEN 'new' ELSE 'shared' END AS kind, count(*) AS cases FROM (SELECT DISTINCT household_id, origin, horizon FROM prior WHERE prediction_state = 'issued') p LEFT JOIN mine m USING (household_id, origin, horizon) GROUP BY 1",
+        "cohort_composition": _judged(intervals)
+        + _RUNS
+        + origins
+        + "SELECT groups, members, count(*) AS households FROM (SELECT household_id, array_to_string(list_sort(list(DISTINCT tariff_group)), ' | ') AS groups, count(DISTINCT member_name) AS members FROM readings WHERE household_id IN (SELECT household_id FROM origins) GROUP BY 1) GROUP BY 1, 2",
+        "forecast_wide": cases + "SELECT household_id, origin, target_date, round(actual, 6) AS actual, round(seasonal_naive, 6) AS seasonal_naive, round(last_day, 6) AS last_day, round(weekday_mean, 6) AS weekday_mean FROM wide",
+        "weeks_sweep": _judged(intervals)
+        + _RUNS
+        + origins
+        + ", dev AS (SELECT * FROM origins WHERE split = 'development')"
+        + "".join(wide("dev", k, "run_start", _WORDS[k]) for k in sweep)
+        + f", u AS (SELECT {first}.actual, {', '.join(f'{_WORDS[k][0]}.weekday_mean AS p{k}' for k in sweep)} FROM {_WORDS[sweep[0]]} {first} {' '.join(f'JOIN {_WORDS[k]} {_WORDS[k][0]} USING (household_id, origin, horizon)' for k in sweep[1:])} WHERE {first}.actual IS NOT NULL AND {' AND '.join(f'{_WORDS[k][0]}.weekday_mean IS NOT NULL' for k in sweep)}) SELECT * FROM ("
+        + " UNION ALL ".join(f"SELECT {k}, count(*), round(avg(abs(p{k} - actual)), 6) FROM u" if i else f"SELECT CAST({k} AS BIGINT) AS weeks, count(*) AS scored, round(avg(abs(p{k} - actual)), 6) AS mae FROM u" for i, k in enumerate(sweep))
+        + ") WHERE scored > 0",
+        "worst_days": cases + "SELECT household_id, origin, horizon, model, round(abs_error, 6) AS abs_error FROM cases WHERE abs_error IS NOT NULL ORDER BY round(abs_error, 6) DESC, household_id, origin, horizon, model LIMIT 10",
+        "origin_calendar": _judged(intervals) + f"SELECT CAST(unnest(generate_series(CAST(lo + {s.window - 1} AS TIMESTAMP), CAST(hi - {s.horizon} AS TIMESTAMP), INTERVAL {s.step} DAY)) AS DATE) AS origin FROM (SELECT min(source_date) AS lo, max(source_date) AS hi FROM judged)",
+        "prior_eligibility_cases": prior + "SELECT household_id, origin, horizon, target_date, target_state, round(seasonal_naive, 6) AS seasonal_naive, round(last_day, 6) AS last_day, round(weekday_mean, 6) AS weekday_mean FROM prior WHERE prediction_state = 'issued'",
+        "prior_coverage": prior + "SELECT prediction_state, target_state, count(*) AS cases FROM prior GROUP BY 1, 2",
+    }
+
+
+ORACLES |= _scheduled_sql(*FULL) | {f"short_{name}": sql for name, sql in _scheduled_sql(*SHORT).items()}
