@@ -2,9 +2,10 @@
 
 A robust AR(1) is fitted per source and time shard: values are standardised by the source's
 median and interquartile range, winsorised, and regressed on their predecessor. Additive-outlier
-tests run twice, the second time against neighbours cleaned of the first pass's outliers; a value
-whose neighbours stay at its level is a level shift, not an outlier. What the tests leave as
-ordinary fixes the source's highest ordinary value, against which the exact rule decides.
+tests run until a pass flags nothing new, each against neighbours cleaned of all outliers so far; a
+value whose neighbours stay at its level is a level shift, not an outlier, so a run of 6 or more
+readings at one level is ordinary and one of up to 5 is not. What the tests leave as ordinary fixes
+the source's highest ordinary value, against which the exact rule decides.
 
 No step gathers a source in one task: window work runs per (source, time shard), and what crosses
 shards afterwards is flagged rows, shard maxima and at most two boundary runs a shard, which are
@@ -25,10 +26,11 @@ DAY_US = 86_400_000_000
 REACH = 5
 
 
-def _tested(usable: DataFrame, shard_us: int, least: int, outlier: float, shift: int) -> DataFrame:
-    """Every usable reading of sources with ``least`` readings, with its run and outlier flag."""
-    # Three passes follow; written once, the distinct readings are not made three times.
-    src = materialize(usable.select("household_id", floor_div(F.col("at_us"), shard_us).alias("shard"), "at_us", "kwh"), "usable")
+def _tested(src: DataFrame, least: int, outlier: float, shift: int, passes: int, only: DataFrame | None = None) -> DataFrame:
+    """Every usable reading of sources with ``least`` readings, with its run, its outlier flag and whether the last pass set it.
+
+    ``only`` names the shards to test, where not all are.
+    """
     level = src.groupBy("household_id").agg(F.count("*").alias("total"), F.percentile_approx(F.col("kwh").cast("double"), [0.25, 0.5, 0.75], 2000).alias("q")).where(F.col("total") >= least)
     # Levels go to the readings by (source, shard), never by source alone.
     levels = (
@@ -46,7 +48,8 @@ def _tested(usable: DataFrame, shard_us: int, least: int, outlier: float, shift:
     w = shard.orderBy("at_us", "kwh")
     clip = lambda c: F.greatest(F.lit(-3.0), F.least(F.lit(3.0), c))
     # Beyond a shard's ends a reading's neighbour is taken to be at the source's median.
-    x = src.join(levels, ["household_id", "shard"]).select("household_id", "shard", "at_us", "kwh", F.col("kwh").cast("double").alias("v"), ((F.col("kwh").cast("double") - F.col("mid")) / F.col("unit")).alias("z"))
+    x = src if only is None else src.join(only, ["household_id", "shard"], "left_semi")
+    x = x.join(levels, ["household_id", "shard"]).select("household_id", "shard", "at_us", "kwh", F.col("kwh").cast("double").alias("v"), ((F.col("kwh").cast("double") - F.col("mid")) / F.col("unit")).alias("z"))
     x = x.select(
         "*",
         F.coalesce(F.lag("z").over(w), F.lit(0.0)).alias("z0"),
@@ -81,11 +84,26 @@ def _tested(usable: DataFrame, shard_us: int, least: int, outlier: float, shift:
         phi_ = F.col("phi")
         return ((F.col("z") - phi_ * before) - phi_ * (after - phi_ * F.col("z"))) / F.sqrt((1 + phi_ * phi_) * (1 - phi_ * phi_))
 
-    x = x.withColumn("first", (statistic(F.col("z0"), F.col("z1")) > outlier) & ~F.col("shifted"))
-    clean = F.when(F.col("first"), F.lit(0.0)).otherwise(F.col("z"))
-    x = x.withColumn("clean", clean)
-    x = x.withColumn("second", statistic(F.coalesce(F.lag("clean").over(w), F.lit(0.0)), F.coalesce(F.lead("clean").over(w), F.lit(0.0))))
-    return x.select("household_id", "shard", "at_us", "kwh", "run", "runs", (F.col("first") | ((F.col("second") > outlier) & ~F.col("shifted"))).alias("outlying"))
+    x = x.withColumn("outlying", (statistic(F.col("z0"), F.col("z1")) > outlier) & ~F.col("shifted")).withColumn("late", F.col("outlying"))
+    for _ in range(1, passes):
+        x = x.withColumn("clean", F.when(F.col("outlying"), F.lit(0.0)).otherwise(F.col("z")))
+        x = x.withColumns({"c0": F.coalesce(F.lag("clean").over(w), F.lit(0.0)), "c1": F.coalesce(F.lead("clean").over(w), F.lit(0.0))})
+        x = x.withColumn("late", ~F.col("outlying") & (statistic(F.col("c0"), F.col("c1")) > outlier) & ~F.col("shifted")).withColumn("outlying", F.col("outlying") | F.col("late"))
+    return x.select("household_id", "shard", "at_us", "kwh", "run", "runs", "outlying", "late")
+
+
+def _flagged(x: DataFrame, low: float, high: str, stuck_run: int) -> DataFrame:
+    """The tested readings that can be reported or lie at a shard's ends, each with its shard's highest plain value."""
+    shard = Window.partitionBy("household_id", "shard")
+    bad = (F.col("kwh") < low) | (F.col("kwh") > F.lit(high).cast("decimal(28,10)"))
+    at_edge = (F.col("run") == 1) | (F.col("run") == F.col("runs"))
+    x = x.withColumn("run_n", F.count("*").over(Window.partitionBy("household_id", "shard", "run"))).withColumn("impossible", bad).withColumn("edge", at_edge)
+    plain = ~F.col("impossible") & ~F.col("outlying") & ~F.col("edge") & ((F.col("run_n") < stuck_run) | (F.col("kwh") == 0))
+    x = x.withColumn("top", F.max(F.when(plain, F.col("kwh"))).over(shard)).withColumn("first_row", (F.col("run") == 1))
+    return materialize(
+        x.where(F.col("impossible") | F.col("outlying") | F.col("edge") | ((F.col("run_n") >= stuck_run) & (F.col("kwh") != 0))),
+        "implausible",
+    )
 
 
 def implausible(
@@ -106,20 +124,17 @@ def implausible(
     source's highest ordinary value. Sources with fewer than ``least`` readings give no rows; a
     reading both impossible and stuck gives one row of each kind. Ties at one instant are taken in
     order of value. An empty input gives no rows. The distinct readings, and later the flagged rows,
-    are written once to the shared folder, since several steps read them.
+    are written once to the shared folder, since several steps read them. The outlier tests take
+    twice ``shift`` passes, and twice as many again in the shards where the last one flags a reading.
     """
-    x = _tested(usable, shard_us, least, outlier, shift)
-    shard = Window.partitionBy("household_id", "shard")
-    bad = (F.col("kwh") < low) | (F.col("kwh") > F.lit(high).cast("decimal(28,10)"))
-    at_edge = (F.col("run") == 1) | (F.col("run") == F.col("runs"))
-    x = x.withColumn("run_n", F.count("*").over(Window.partitionBy("household_id", "shard", "run"))).withColumn("impossible", bad).withColumn("edge", at_edge)
-    plain = ~F.col("impossible") & ~F.col("outlying") & ~F.col("edge") & ((F.col("run_n") < stuck_run) | (F.col("kwh") == 0))
-    x = x.withColumn("top", F.max(F.when(plain, F.col("kwh"))).over(shard)).withColumn("first_row", (F.col("run") == 1))
-    kept = materialize(
-        x.where(F.col("impossible") | F.col("outlying") | F.col("edge") | ((F.col("run_n") >= stuck_run) & (F.col("kwh") != 0))),
-        "implausible",
-    )
-
+    src = materialize(usable.select("household_id", floor_div(F.col("at_us"), shard_us).alias("shard"), "at_us", "kwh"), "usable")
+    passes = max(2, 2 * shift)
+    kept = _flagged(_tested(src, least, outlier, shift, passes), low, high, stuck_run)
+    while not kept.where("late").isEmpty():
+        open_shards = kept.where("late").select("household_id", "shard").distinct()
+        passes *= 2
+        again = _flagged(_tested(src, least, outlier, shift, passes, open_shards), low, high, stuck_run)
+        kept = kept.join(open_shards, ["household_id", "shard"], "left_anti").unionByName(again)
     runs = kept.where("edge").groupBy("household_id", "shard", "run").agg(F.first("kwh").alias("kwh"), F.first("run_n").alias("run_n"))
     scan = Window.partitionBy("household_id").orderBy("shard", "run")
     joined = runs.withColumn("new", (F.coalesce(F.lag("kwh").over(scan) != F.col("kwh"), F.lit(True)) | (F.col("run") > 1)).cast("int"))
