@@ -70,8 +70,14 @@ def label_code(label: Column) -> Column:
 
 _LOG_HEAD = re.compile(r"^\s*(?:\[?\d{4}-\d\d-\d\d[ T]\d\d:\d\d(?::\d\d)?[^\s]*\s+(?:(?:TRACE|DEBUG|INFO|WARN|WARNING|ERROR|FATAL)\b\s*)?(?:\[[^\]]*\]\s*)?|\[\d\d:\d\d(?::\d\d)?\]\s*(?:#\d+|<[^>]*>)?\s*)")
 _CODE_LINE = re.compile(
-    r"^\s*\||[A-Za-z_]\((?!s\))|\(\*\)|^\s*(?:def|class|import|return|from\s+\w+\s+import)\b.*[:()=.]\s*|[-+*/<>=!]=|^\s*[{}\[\]]+\s*$|^\s*\{.*[:}]|\w\s*=\s*[{\[\w'\"]|;\s*$|^\s*(?:SELECT|INSERT|UPDATE|DELETE|CREATE|WITH)\s.*(?:\bFROM\b|[;*])|^```"
+    r"^\s*\||[A-Za-z_]\((?!s\))|\(\*\)|^\s*(?:def|class|import|return|from\s+\w+\s+import)\b.*[:()=.]\s*|[-+*/<>=!]=|^\s*[{}\[\]]+\s*$|^\s*\{.*[:}]|\w\s*=\s*[{\[\w'\"]|;\s*$|^\s*SELECT\s.*(?:\bFROM\b|[;*])|^\s*DELETE\s+FROM\b|^\s*(?:INSERT|UPDATE|DELETE|CREATE|WITH)\s.*[(=;*]|^```"
 )
+# Lines that are program text as a whole, however many words they hold.
+_STATEMENT = re.compile(r"^\s*(?:[|{}\[\]#/*]|(?:def|class|import|return|from|if|for|while|else|elif|try|with|print|SELECT|INSERT|UPDATE|DELETE|CREATE|WITH)\b.*[(=;*:]|SELECT\s|DELETE\s+FROM\b)|\bFROM\b.*\b(?:WHERE|JOIN|GROUP)\b")
+# Calls, comparisons, assignments and a closing semicolon inside a line of prose.
+_CODE_PART = re.compile(r"\S*[A-Za-z]\((?:[^()]|\([^()]*\))*\)\S*|\S+\s*(?:[-+*/<>=!]=|=)\s*\S+|;\s*$")
+_CODE_LEFT = re.compile(r"[=|{}\[\]<>();]")
+PROSE_WORDS = 6
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>")
 _NOISE = re.compile(r"(?<![A-Za-z])[A-Za-z]*+\d[A-Za-z0-9_.,:/-]*|https?://\S+|(?<!\S)[^\s@]++@\S+|\b[\w-]++\.(?:csv|zip|json|parquet|txt|xml|sql|py|log)\b|`[^`\n]*`|\b[^\W_]++_\w+|\bk[Ww]+h\b|\bHH\?")
 _SENTENCE = re.compile(r"(?<=[.!?。！？…])[\"'»”)]*(?:\s+|(?<=[。！？]))")
@@ -107,10 +113,19 @@ def repaired(text: str) -> str:
     return _HIGH_RUN.sub(undo, text)
 
 
+def _prose_left(line: str) -> str:
+    """What is left of a line with program text: its prose of ``PROSE_WORDS`` words or more, else nothing."""
+    if _STATEMENT.search(line):
+        return ""
+    rest = _CODE_PART.sub(" ", line)
+    return rest if len(_WORDS.findall(rest)) >= PROSE_WORDS and not _CODE_LEFT.search(rest) else ""
+
+
 def prose_segments(text: str) -> list[tuple[int, str]]:
     """(line number, cleaned lower-case words) of each sentence of prose.
 
-    Log heads, codes, figures, mark-up and program lines are dropped; pieces of fewer than
+    Log heads, codes, figures, mark-up and program lines are dropped, of a line of prose with program
+    text in it only that text; pieces of fewer than
     ``SHORT`` letters join the sentence before them on their line, or after.
     """
     out: list[tuple[int, str]] = []
@@ -128,7 +143,7 @@ def prose_segments(text: str) -> list[tuple[int, str]]:
             body = _TAG.sub(" ", body)
         body = body.rstrip()
         if _CODE_LINE.search(body):
-            continue
+            body = _prose_left(body)
         pieces: list[str] = []
         waiting = ""
         for sentence in _SENTENCE.split(body):
