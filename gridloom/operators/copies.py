@@ -18,7 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType, IntegralType, StructField, StructType
 
+from gridloom.shipping import ship
 from gridloom.storage import materialize
 
 ROLL = 4
@@ -120,6 +122,7 @@ def _unmatched_rows(mask: int, region_rows: int):
 
 def suspicious_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], columns: Sequence[str], chunk_rows: int = 16, region_rows: int = REGION_ROWS) -> DataFrame:
     """Keys of rows that lie in an unmatched chunk and have no identical row in one of the other side."""
+    ship(left.sparkSession)
     names = [f"_k{i}" for i in range(len(keys))]
 
     def hashed(df: DataFrame, side: int) -> DataFrame:
@@ -135,18 +138,53 @@ def suspicious_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], colu
     return materialize(alone.select(*names).distinct(), "suspects")
 
 
+def schema_differences(left: DataFrame, right: DataFrame) -> list[tuple[str, str, str | None, str | None]]:
+    """(column, kind, left type, right type) of columns only one side has, or whose types differ."""
+    l, r = dict(left.dtypes), dict(right.dtypes)
+    kind = lambda c: "missing_in_right" if c not in r else "missing_in_left" if c not in l else "type_differs"
+    return [(c, kind(c), l.get(c), r.get(c)) for c in [*l, *(c for c in r if c not in l)] if l.get(c) != r.get(c)]
+
+
+def aligned(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides cut to the columns they share, in types that compare, and those columns.
+
+    Decimals go to the scale and digits that hold both sides exactly where 38 digits do; other
+    types that differ are compared as text.
+    """
+    right_types = {f.name: f.dataType for f in right.schema}
+    casts: dict[str, str] = {}
+    for f in left.schema:
+        other = right_types.get(f.name)
+        if other is None or other == f.dataType:
+            continue
+        both = (f.dataType, other)
+        if all(isinstance(t, DecimalType) for t in both):
+            scale, whole = max(t.scale for t in both), max(t.precision - t.scale for t in both)
+            casts[f.name] = f"decimal({scale + whole},{scale})" if scale + whole <= 38 else "string"
+        elif all(isinstance(t, IntegralType) for t in both):
+            casts[f.name] = "bigint"
+        else:
+            casts[f.name] = "string"
+    columns = [f.name for f in left.schema if f.name in right_types]
+    cut = lambda df: df.select(*[F.col(c).cast(casts[c]).alias(c) if c in casts else F.col(c) for c in columns])
+    return cut(left), cut(right), columns
+
+
 def diff_copies(left: DataFrame, right: DataFrame, keys: Sequence[str], chunk_rows: int = 16, region_rows: int = REGION_ROWS) -> DataFrame:
-    """(keys..., difference, left_values, right_values): what two copies of a dataset disagree in.
-
-    difference is ``missing_in_right``, ``missing_in_left`` or a differing column's name; the value
-    arrays hold the distinct values of the differing field that only that side has, as text, null
-    for nulls. Keys and values compare exactly as stored and null equals null, also in keys;
-    identical repeats on a side are one row. Where a key has several rows on a side, a field
-    differs if one side has a value of it the other lacks; if all fields agree so but the rows do
-    not, each field with more than one value is reported. Columns found on one side only are left
-    out. Two empty inputs give no rows.
+    """(keys..., difference, left_value, right_value, left_values, right_values): what two copies of a dataset disagree in.
+
+    difference is ``missing_in_right``, ``missing_in_left`` or a differing column's name. For a
+    column, left_value is the smallest value, as text, that only that side has at the key (null
+    for a null, and where it has none), and left_values counts such values; likewise right. Keys
+    and values compare exactly as stored and null equals null, also in keys; decimals of another
+    scale compare by value; identical repeats on a side are one row. Where a key has several rows
+    on a side, a field differs if one side has a value of it the other lacks; if all fields agree
+    so but the rows do not, each field with more than one value is reported. A column that only
+    one side has gives one row with null keys, the difference ``column_missing_in_right: name`` (or
+    left), and is compared no further. Two empty inputs of one schema give no rows.
     """
-    columns = [c for c in left.columns if c in set(right.columns)]
+    lone = [(c, kind) for c, kind, _, _ in schema_differences(left, right) if kind != "type_differs"]
+    left, right, columns = aligned(left, right)
     names = [f"_k{i}" for i in range(len(keys))]
     suspects = suspicious_keys(left, right, keys, columns, chunk_rows, region_rows)
     fields = [c for c in columns if c not in keys]
@@ -158,28 +196,29 @@ def diff_copies(left: DataFrame, right: DataFrame, keys: Sequence[str], chunk_ro
 
     rows = full(left, 0).unionByName(full(right, 1))
     by_key = rows.groupBy(*names).agg(F.min("side").alias("a"), F.max("side").alias("b"))
-    missing = by_key.where("a = b").select(
-        *names,
-        F.when(F.col("a") == 0, "missing_in_right").otherwise("missing_in_left").alias("difference"),
-        F.lit(None).cast("array<string>").alias("left_values"),
-        F.lit(None).cast("array<string>").alias("right_values"),
-    )
-    cells = rows.select(*names, "side", F.posexplode(F.array(*[F.struct(F.col(f"_v{i}").alias("value")) for i in range(len(fields))])).alias("field", "cell"))
-    cells = cells.groupBy(*names, "field", "cell").agg(F.min("side").alias("a"), F.max("side").alias("b"))
-    value = F.col("cell.value")
-    text = F.coalesce(value, F.lit("null"))
-    per_field = cells.groupBy(*names, "field").agg(
-        F.min("a").alias("a"),
-        F.max("b").alias("b"),
-        F.count("*").alias("values"),
-        F.count_if(F.col("a") == F.col("b")).alias("one_sided"),
-        F.array_sort(F.collect_set(F.when((F.col("a") == 0) & (F.col("b") == 0), text))).alias("left_values"),
-        F.array_sort(F.collect_set(F.when((F.col("a") == 1) & (F.col("b") == 1), text))).alias("right_values"),
-    )
-    both = per_field.where("a != b")
-    clear = both.groupBy(*names).agg(F.max("one_sided").alias("most"))
-    same = reduce(lambda a, b: a & b, [both[n].eqNullSafe(clear[n]) for n in names])
-    differing = both.join(clear.where("most = 0"), same, "left_semi").where("values > 1").unionByName(both.where("one_sided > 0"))
-    label = F.element_at(F.array(*[F.lit(c) for c in fields]), F.col("field") + 1)
-    found = differing.select(*names, label.alias("difference"), "left_values", "right_values").unionByName(missing)
-    return found.select(*[F.col(n).alias(k) for n, k in zip(names, keys)], "difference", "left_values", "right_values")
+    nothing = [F.lit(None).cast("string").alias("left_value"), F.lit(None).cast("string").alias("right_value"), F.lit(0).cast("bigint").alias("left_values"), F.lit(0).cast("bigint").alias("right_values")]
+    found = by_key.where("a = b").select(*names, F.when(F.col("a") == 0, "missing_in_right").otherwise("missing_in_left").alias("difference"), *nothing)
+    if fields:
+        cells = rows.select(*names, "side", F.posexplode(F.array(*[F.struct(F.col(f"_v{i}").alias("value")) for i in range(len(fields))])).alias("field", "cell"))
+        cells = cells.groupBy(*names, "field", "cell").agg(F.min("side").alias("a"), F.max("side").alias("b"))
+        only = lambda s: (F.col("a") == s) & (F.col("b") == s)
+        per_field = cells.groupBy(*names, "field").agg(
+            F.count("*").alias("values"),
+            F.count_if(F.col("a") == F.col("b")).alias("one_sided"),
+            F.min("a").alias("first"),
+            F.max("b").alias("last"),
+            F.min(F.when(only(0), F.col("cell.value"))).alias("left_value"),
+            F.min(F.when(only(1), F.col("cell.value"))).alias("right_value"),
+            F.count_if(only(0)).alias("left_values"),
+            F.count_if(only(1)).alias("right_values"),
+        )
+        both = per_field.where("first != last")
+        clear = both.groupBy(*names).agg(F.max("one_sided").alias("most"))
+        same = reduce(lambda a, b: a & b, [both[n].eqNullSafe(clear[n]) for n in names])
+        differing = both.join(clear.where("most = 0"), same, "left_semi").where("values > 1").unionByName(both.where("one_sided > 0"))
+        label = F.element_at(F.array(*[F.lit(c) for c in fields]), F.col("field") + 1)
+        found = differing.select(*names, label.alias("difference"), "left_value", "right_value", "left_values", "right_values").unionByName(found)
+    if lone:
+        text = [(*[None] * len(keys), f"column_{kind}: {c}", None, None, 0, 0) for c, kind in lone]
+        found = found.unionByName(left.sparkSession.createDataFrame(text, StructType([StructField(f.name, f.dataType) for f in found.schema])))
+    return found.select(*[F.col(n).alias(k) for n, k in zip(names, keys)], "difference", "left_value", "right_value", "left_values", "right_values")

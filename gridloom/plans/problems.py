@@ -23,7 +23,7 @@ def _usable(spark, d):
 def p1_differences(spark, d):
     found = copies.diff_copies(table(spark, d, FACT), table(spark, d, REPLICA), FACT_KEYS)
     named = F.replace(F.replace("difference", F.lit("missing_in_right"), F.lit("missing_in_replica")), F.lit("missing_in_left"), F.lit("missing_in_fact"))
-    return found.select(*FACT_KEYS, named.alias("difference"), F.array_join("left_values", " | ").alias("fact_value"), F.array_join("right_values", " | ").alias("replica_value"))
+    return found.select(*FACT_KEYS, named.alias("difference"), F.col("left_value").alias("fact_value"), F.col("right_value").alias("replica_value"), F.col("left_values").alias("fact_values"), F.col("right_values").alias("replica_values"))
 
 
 def p1_found(spark, d):

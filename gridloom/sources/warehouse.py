@@ -10,7 +10,7 @@ import hashlib
 import pathlib
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.text import strip
@@ -18,7 +18,7 @@ from gridloom.operators.profile import value_category
 from gridloom.operators.rejects import _number_reason, _timestamp_reason
 from gridloom.sources import members
 
-REGISTRY = "load_id string, archive_name string, member_name string, member_content_sha256 string, pipeline_fingerprint string, loaded_at_utc timestamp_ntz, records_read bigint, records_published bigint, records_rejected bigint, status string"
+REGISTRY = "load_id string, archive_name string, member_name string, member_content_sha256 string, pipeline_fingerprint string, loaded_at_utc timestamp_ntz, records_read bigint, records_published bigint, records_rejected bigint, status string, problem string, superseded_at_utc timestamp_ntz"
 
 
 def pipeline_fingerprint() -> str:
@@ -32,11 +32,11 @@ def pipeline_fingerprint() -> str:
 
 
 def judged_records(records: DataFrame) -> DataFrame:
-    """Parsed records with the reason they are rejected for, or null: field count, label, then value."""
+    """Parsed records with the reason they are rejected for, or null: header, field count, label, then value."""
     four = F.size("fields") == 4
     stamp, amount = F.get("fields", F.lit(2)), F.get("fields", F.lit(3))
-    reason = F.when(~F.col("complete"), "unreadable").when(~four, "wrong_field_count").otherwise(F.coalesce(_timestamp_reason(stamp), _number_reason(amount)))
-    return records.where("source_record_no > 0").withColumn("reason", reason)
+    reason = F.when(F.col("source_record_no") == 0, "unexpected_header").when(~F.col("complete"), "unreadable").when(~four, "wrong_field_count").otherwise(F.coalesce(_timestamp_reason(stamp), _number_reason(amount)))
+    return records.withColumn("reason", reason)
 
 
 def published(judged: DataFrame) -> DataFrame:
@@ -62,17 +62,22 @@ def published(judged: DataFrame) -> DataFrame:
 
 
 def registry(spark: SparkSession, root: str) -> DataFrame:
-    """All loads so far; empty before the first."""
+    """All loads so far; empty before the first.
+
+    The stored rows are only ever appended. A published load that a later one of its member has
+    replaced reads as ``superseded``, since the moment that one was loaded.
+    """
     try:
-        return spark.read.schema(REGISTRY).parquet(f"{root}/load_registry")
+        rows = spark.read.schema(REGISTRY).parquet(f"{root}/load_registry")
     except AnalysisException:
         return spark.createDataFrame([], REGISTRY)
+    later = F.lead(F.when(F.col("status") == "published", F.col("loaded_at_utc")), 1).over(Window.partitionBy("archive_name", "member_name", "status").orderBy("loaded_at_utc", "load_id"))
+    return rows.withColumn("superseded_at_utc", later).withColumn("status", F.when(F.col("superseded_at_utc").isNotNull(), "superseded").otherwise(F.col("status")))
 
 
 def current(spark: SparkSession, root: str) -> DataFrame:
     """(load_id) of the latest published load of each member."""
-    latest = F.max_by("load_id", F.struct("loaded_at_utc", "load_id"))
-    return registry(spark, root).where("status = 'published'").groupBy("archive_name", "member_name").agg(latest.alias("load_id")).select("load_id")
+    return registry(spark, root).where("status = 'published'").select("load_id")
 
 
 def load(spark: SparkSession, archives: str, root: str, now: dt.datetime | None = None) -> DataFrame:
@@ -80,7 +85,8 @@ def load(spark: SparkSession, archives: str, root: str, now: dt.datetime | None
 
     A load's id is the digest of its member's bytes and of the code, and names its partition: a load
     broken off half way is done again in the same place, and readers see a member change at once,
-    when the registry names the new load. A member that cannot be read to its end publishes nothing.
+    when the registry names the new load. A member that cannot be read to its end, or whose header
+    is not the contract's, publishes nothing; its registry row says why.
     Loading the same bytes by the same code again does nothing.
     """
     code, parts = pipeline_fingerprint(), ["archive_name", "member_name"]
@@ -93,7 +99,7 @@ def load(spark: SparkSession, archives: str, root: str, now: dt.datetime | None
         if todo.isEmpty():
             return spark.createDataFrame([], REGISTRY)
         judged = judged_records(members.read_records(spark, archives)).join(todo.select(*parts, "load_id"), parts)
-        counts = judged.groupBy("load_id").agg(F.count("*").alias("n"), F.count_if(F.col("reason").isNull()).alias("ok"), F.max(~F.col("complete")).alias("failed")).cache()
+        counts = judged.groupBy("load_id").agg(F.count_if(F.col("source_record_no") > 0).alias("n"), F.count_if(F.col("reason").isNull()).alias("ok"), F.max(~F.col("complete")).alias("failed"), F.min("problem").alias("problem")).cache()
         whole = judged.join(counts.where("failed").select("load_id"), "load_id", "left_anti")
         write = lambda df, name: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("load_id").parquet(f"{root}/{name}")
         write(published(whole), "readings")
@@ -109,6 +115,8 @@ def load(spark: SparkSession, archives: str, root: str, now: dt.datetime | None
             F.when(failed, 0).otherwise(ok).cast("bigint").alias("records_published"),
             F.when(failed, 0).otherwise(n - ok).cast("bigint").alias("records_rejected"),
             F.when(failed, "failed").otherwise("published").alias("status"),
+            "problem",
+            F.lit(None).cast("timestamp_ntz").alias("superseded_at_utc"),
         )
         fresh = spark.createDataFrame(rows.collect(), REGISTRY)  # one row a member of this load
         fresh.write.mode("append").parquet(f"{root}/load_registry")

@@ -105,4 +105,25 @@ def test_empty_sides(spark):
 
 def test_values_of_both_sides_are_reported(spark):
     d = diff_copies(table(spark, [("h", "t", None, "a", 1)]), table(spark, [("h", "t", None, None, 1)]), ["a", "b"])
-    assert rows(d) == [("h", "t", "y", ["a"], ["null"])]
+    assert rows(d) == [("h", "t", "y", "a", None, 1, 1)]
+
+
+def test_a_column_on_one_side_is_reported(spark):
+    left = table(spark, [("h", "t", None, "a", 1)])
+    found = diff_copies(left, left.drop("y").withColumn("z", left.x), ["a", "b"])
+    assert rows(found.select("a", "b", "difference")) == [(None, None, "column_missing_in_left: z"), (None, None, "column_missing_in_right: y")]
+
+
+def test_tables_of_keys_alone(spark):
+    left, right = (spark.createDataFrame([(x, "t") for x in data], "a string, b string") for data in (["h", "i", "i"], ["h", "j"]))
+    assert rows(diff_copies(left, right, ["a", "b"]).select("a", "b", "difference")) == [("i", "t", "missing_in_right"), ("j", "t", "missing_in_left")]
+
+
+def test_decimals_of_another_scale_and_wider_integers_compare_by_value(spark):
+    from decimal import Decimal
+
+    left = table(spark, [("h", str(i), Decimal(i) / 8, "u", i) for i in range(40)])
+    right = left.selectExpr("a", "b", "CAST(x AS decimal(20,6)) AS x", "y", "CAST(shard AS bigint) AS shard")
+    assert rows(diff_copies(left, right, ["a", "b"])) == []
+    changed = right.withColumn("x", right.x + Decimal("0.000001"))
+    assert diff_copies(left, changed, ["a", "b"]).where("difference = 'x'").count() == 40
