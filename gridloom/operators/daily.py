@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators.policy import signature
@@ -50,31 +50,68 @@ def longest_runs(days: DataFrame) -> DataFrame:
 
 
 def feasibility(days: DataFrame) -> DataFrame:
-    """One row: household-days, usable ones, and shortest, upper-median and longest of the longest runs."""
-    usable = days.where(F.col("unusable_reason").isNull())
-    lengths = longest_runs(usable)
-    # The upper median by rank of per-household lengths, on a histogram of lengths.
-    hist = lengths.groupBy("days").agg(F.count("*").alias("n"))
-    ranked = hist.select("days", "n", F.sum("n").over(Window.orderBy("days")).alias("upto"), F.sum("n").over(Window.partitionBy(F.lit(1))).alias("all"))
-    median = ranked.where(F.col("upto") > F.floor(F.col("all") / 2)).agg(F.min("days").alias("median_run"), F.max(F.col("days")).alias("longest_run"))
-    counts = days.agg(F.count("*").alias("household_days"), F.count_if(F.col("unusable_reason").isNull()).alias("usable_days"))
-    return counts.select("*", hist.agg(F.min("days")).scalar().alias("shortest_run"), median.select("median_run").scalar().alias("median_run"), median.select("longest_run").scalar().alias("longest_run"))
+    """One row: household-days, usable ones, and shortest, upper-median and longest of the longest runs.
+
+    Households come down to a histogram of run lengths, which is no longer than the calendar.
+    """
+    usable = F.col("unusable_reason").isNull()
+    place = F.row_number().over(Window.partitionBy("household_id", "u").orderBy("source_date"))
+    d = days.select("household_id", "source_date", usable.alias("u")).withColumn("island", F.date_sub("source_date", place))
+    per = d.groupBy("household_id", "u", "island").agg(F.count("*").alias("n")).groupBy("household_id").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("u"), F.col("n"))).alias("usable"), F.max(F.when(F.col("u"), F.col("n"))).alias("run"))
+    hist = per.groupBy("run").agg(F.count("*").alias("h"), F.sum("all").alias("all"), F.sum("usable").alias("usable"))
+    stairs = F.array_sort(F.collect_list(F.when(F.col("run").isNotNull(), F.struct("run", "h"))))
+    one = hist.agg(F.coalesce(F.sum("all"), F.lit(0)).alias("household_days"), F.coalesce(F.sum("usable"), F.lit(0)).alias("usable_days"), F.min("run").alias("shortest_run"), F.max("run").alias("longest_run"), stairs.alias("stairs"), F.sum(F.when(F.col("run").isNotNull(), F.col("h"))).alias("houses"))
+    upto = lambda x: F.aggregate(F.filter("stairs", lambda y: y["run"] <= x["run"]), F.lit(0).cast("bigint"), lambda a, y: a + y["h"])
+    median = F.get(F.filter("stairs", lambda x: upto(x) > F.floor(F.col("houses") / 2)), F.lit(0))["run"]
+    return one.select("household_days", "usable_days", "shortest_run", median.alias("median_run"), "longest_run")
 
 
 def zero_runs(days: DataFrame) -> DataFrame:
     """Runs of usable days with a total of exactly zero, with what lies before and after each.
 
     The neighbours are ``nonzero_usable``, ``unusable:`` and the reason, ``absent`` or
-    ``recorded_span_edge``; a run is bounded between two nonzero usable days.
+    ``recorded_span_edge``; a run is bounded between two nonzero usable days. Neighbours come from
+    windows over a household's days, which are read once.
     """
-    zero = days.where(F.col("unusable_reason").isNull() & (F.col("kwh") == 0))
-    found = runs(zero)
-    span = days.groupBy("household_id").agg(F.min("source_date").alias("lo"), F.max("source_date").alias("hi"))
-    state = days.select("household_id", F.col("source_date").alias("at"), F.coalesce(F.concat(F.lit("unusable:"), "unusable_reason"), F.lit("nonzero_usable")).alias("state"))
-    out = found.join(span, "household_id")
-    for side, at in (("before", F.date_sub("start", 1)), ("after", F.date_add("end", 1))):
-        out = out.withColumn("at", at).join(state, ["household_id", "at"], "left")
-        edge = (F.col("at") < F.col("lo")) | (F.col("at") > F.col("hi"))
-        out = out.withColumn(side, F.when(edge, "recorded_span_edge").otherwise(F.coalesce("state", F.lit("absent")))).drop("at", "state")
-    bucket = F.when(F.col("days") == 1, "1").when(F.col("days") <= 6, "2-6").when(F.col("days") <= 27, "7-27").otherwise("28+")
-    return out.select("household_id", "start", "end", "days", "before", "after", ((F.col("before") == "nonzero_usable") & (F.col("after") == "nonzero_usable")).alias("bounded"), bucket.alias("bucket"))
+    zero = F.coalesce(F.col("unusable_reason").isNull() & (F.col("kwh") == 0), F.lit(False))
+    line = Window.partitionBy("household_id").orderBy("source_date")
+    d = days.select("household_id", "source_date", zero.alias("zero"), F.coalesce(F.concat(F.lit("unusable:"), "unusable_reason"), F.lit("nonzero_usable")).alias("state"))
+
+    def neighbour(move, days_away: int):
+        at, state = move("source_date").over(line), move("state").over(line)
+        return F.when(at.isNull(), "recorded_span_edge").when(F.datediff(at, F.col("source_date")) == days_away, state).otherwise("absent")
+
+    place = F.row_number().over(Window.partitionBy("household_id", "zero").orderBy("source_date"))
+    d = d.withColumns({"before": neighbour(F.lag, -1), "after": neighbour(F.lead, 1), "island": F.date_sub("source_date", place)}).where("zero")
+    out = d.groupBy("household_id", "island").agg(
+        F.min("source_date").alias("start"), F.max("source_date").alias("end"), F.count("*").alias("days"), F.min_by("before", "source_date").alias("before"), F.max_by("after", "source_date").alias("after")
+    )
+    return out.select("household_id", "start", "end", "days", "before", "after", ((F.col("before") == "nonzero_usable") & (F.col("after") == "nonzero_usable")).alias("bounded"), run_bucket(F.col("days")).alias("bucket"))
+
+
+# The least lengths of the buckets of runs.
+BUCKETS = {"28+": 28, "7-27": 7, "2-6": 2, "1": 1}
+
+
+def run_bucket(days: Column) -> Column:
+    """The bucket of a run's length."""
+    return F.coalesce(*[F.when(days >= least, name) for name, least in BUCKETS.items()])
+
+
+def zero_days_by_household(zero: DataFrame) -> DataFrame:
+    """Per household: zero days, runs, bounded runs, the longest run and runs by bucket."""
+    return zero.groupBy("household_id").agg(
+        F.sum("days").alias("zero_days"),
+        F.count("*").alias("runs"),
+        F.count_if("bounded").alias("bounded_runs"),
+        F.max("days").alias("longest_run"),
+        *[F.count_if(F.col("bucket") == b).alias(f"runs_{b.replace('-', '_').replace('+', '_up')}") for b in reversed(BUCKETS)],
+    )
+
+
+def zero_days_summary(zero: DataFrame) -> DataFrame:
+    """One row over all households: the same counts, households, and the longest run, the larger id of equals."""
+    per = zero_days_by_household(zero)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    sums = [c for c in per.columns if c not in ("household_id", "longest_run")]
+    return per.agg(F.count("*").alias("households"), *map(total, sums), F.max("longest_run").alias("longest_run"), F.max_by("household_id", F.struct("longest_run", "household_id")).alias("longest_household"))

@@ -6,12 +6,19 @@ from pyspark.sql import functions as F
 
 from gridloom.operators import analytics, daily, digests, expansion, explore, forecast, policy, profile, terrain
 from gridloom.sources.tables import table
+from gridloom.storage import materialize
 
 # Intervals of a usable day, intervals of a day that may be a zero day, schedule, and weeks to sweep.
 FULL = (48, 48, forecast.Schedule(), (1, 2, 4, 8))  # the reference's
 # A reduced form, registered as ``short_...``: it runs the same code where tables have few whole days.
 SHORT = (24, 1, forecast.Schedule(horizon=2, warmup=3, holdout=2, step=1, min_run=5, weeks=1, window=14, min_usable=3), (1, 2))
 BASE_ARCHIVE = "meter-archive-a.zip"
+FACT = "fact_interval_charge_scenario"
+FACT_COLUMNS = [
+    "run_id", "household_id", "tariff_group", "source_timestamp_text", "observed_at_naive", "source_date", "source_hour", "source_month",
+    "band_label", "consumption_kwh", "price_pence_per_kwh", "energy_charge_gbp", "assumption_id",
+]
+SCHEDULE_COLUMNS = ["schedule_label_naive", "schedule_label_text", "band_label", "schedule_year", "on_half_hour_grid", "schedule_source", "source_sha256", "loaded_at_utc"]
 
 
 def _r(spark, d):
@@ -101,13 +108,24 @@ _Q = {
     "source_diff_repeats": lambda s, d: expansion.repeated_readings(*_sets(s, d)),
     "new_conflicts": lambda s, d: expansion.new_conflicts(*_sets(s, d)),
     "resolved_conflicts": lambda s, d: expansion.resolved_conflicts(*_sets(s, d)),
-    "canonical_row_hashes": lambda s, d: digests.row_hashes(table(s, d, "dim_tariff_price"), ["tariff_group", "band_label", "price_pence_per_kwh", "effective_from", "evidence_label"]),
-    "fact_bucket_digests": lambda s, d: digests.bucket_digests(_fact(s, d), ["household_id", "source_timestamp_text", "band_label", "consumption_kwh", "energy_charge_gbp"]),
+    "canonical_row_hashes": lambda s, d: digests.row_hashes(_fact(s, d), FACT_COLUMNS),
+    "fact_bucket_digests": lambda s, d: digests.bucket_digests(_fact(s, d), FACT_COLUMNS),
+    "fact_evidence": lambda s, d: digests.evidence(_fact(s, d).select(*FACT_COLUMNS), FACT, ("run_id",)),
+    "schedule_evidence": lambda s, d: digests.evidence(_sched(s, d).select(*SCHEDULE_COLUMNS), "dim_tariff_band_schedule", ("loaded_at_utc",)),
+    "series_digests": lambda s, d: digests.series_digests(daily.with_usability(daily.daily_records(_r(s, d)), 24)),
     "fact_totals_by_band": lambda s, d: digests.grouped_totals(_fact(s, d), "band_label"),
+    "fact_totals_by_household": lambda s, d: digests.grouped_totals(_fact(s, d), "household_id"),
+    "fact_totals_by_month": lambda s, d: digests.grouped_totals(_fact(s, d), "source_month"),
+    "fact_described": lambda s, d: digests.described(_fact(s, d)),
+    "fact_wrong_charges": lambda s, d: digests.wrong_products(_fact(s, d), table(s, d, "dim_tariff_price")),
+    "fact_copies_both_ways": lambda s, d: digests.both_ways(_fact(s, d), table(s, d, "fact_interval_charge_replica"), FACT_COLUMNS),
+    "fact_required_bands": lambda s, d: digests.required_values(_fact(s, d), ["band_label"], [("Low",), ("Normal",), ("High",)]),
+    "archives_share_labels": lambda s, d: digests.shared_keys(_r(s, d).where(F.col("archive_name") == BASE_ARCHIVE), _r(s, d).where(F.col("archive_name") != BASE_ARCHIVE), ["household_id", "source_timestamp_text"]),
     "fact_not_unique": lambda s, d: digests.not_unique(_fact(s, d), ["household_id", "source_timestamp_text"]),
-    "fact_null_counts": lambda s, d: digests.null_counts(_fact(s, d), ["household_id", "observed_at_naive", "band_label", "consumption_kwh", "energy_charge_gbp"]),
+    "fact_null_counts": lambda s, d: digests.null_counts(_fact(s, d), FACT_COLUMNS),
     "bands_not_accepted": lambda s, d: digests.not_accepted(_fact(s, d), "band_label", ["Low", "Normal"]),
     "fk_violations": lambda s, d: digests.orphans(_r(s, d), _sched(s, d), "observed_at_naive", "schedule_label_naive"),
+    "fact_fk_violations": lambda s, d: digests.orphans(_fact(s, d), _sched(s, d), "observed_at_naive", "schedule_label_naive"),
     "accounting_membership": lambda s, d: digests.membership(policy.distinct_raw_readings(_r(s, d)), _fact(s, d).join(_r(s, d).select("household_id", "source_timestamp_text", "consumption_raw_text"), ["household_id", "source_timestamp_text"]), policy.RAW_KEY),
 }
 
@@ -118,25 +136,34 @@ def _scheduled(intervals: int, zero_intervals: int, schedule: forecast.Schedule,
     def days(spark, d, n=intervals):
         return daily.with_usability(daily.daily_records(_r(spark, d)), n)
 
+    def written(spark, d):
+        """The daily records, written once for those that need the calendar of all households first."""
+        return materialize(days(spark, d).select("household_id", "source_date", "kwh", "unusable_reason"), "days")
+
     return {
         "usable_day_reasons": lambda s, d: days(s, d).groupBy(F.coalesce("unusable_reason", F.lit("usable")).alias("reason")).agg(F.count("*").alias("days")),
         "longest_usable_run": lambda s, d: daily.longest_runs(days(s, d).where("unusable_reason is null")),
         "feasibility": lambda s, d: daily.feasibility(days(s, d)),
         "zero_day_runs": lambda s, d: daily.zero_runs(days(s, d, zero_intervals)),
+        "zero_days_by_household": lambda s, d: daily.zero_days_by_household(daily.zero_runs(days(s, d, zero_intervals))),
+        "zero_days_summary": lambda s, d: daily.zero_days_summary(daily.zero_runs(days(s, d, zero_intervals))),
         "forecast_origins": lambda s, d: forecast.origins(days(s, d), schedule),
         "forecast_predictions": lambda s, d: _rounded(forecast.backtest(days(s, d), schedule), "actual", "predicted", "abs_error"),
         "forecast_mae": lambda s, d: forecast.errors(forecast.backtest(days(s, d), schedule), ["split", "model", "horizon"]),
-        "forecast_common_frame": lambda s, d: forecast.errors(forecast.common_frame(forecast.backtest(days(s, d), schedule)), ["model"]),
+        "forecast_common_frame": lambda s, d: forecast.errors(forecast.common_frame(forecast.wide_cases(days(s, d), schedule)), ["model"]),
         "forecast_exclusions": lambda s, d: forecast.exclusions(forecast.backtest(days(s, d), schedule)),
-        "forecast_split_counts": lambda s, d: forecast.split_counts(forecast.backtest(days(s, d), schedule)),
-        "forecast_overlap": lambda s, d: forecast.overlap(forecast.backtest(days(s, d), schedule), forecast.prior_cases(days(s, d), schedule)),
+        "forecast_split_counts": lambda s, d: forecast.split_counts(forecast.wide_cases(days(s, d), schedule), schedule),
+        "forecast_overlap": lambda s, d: forecast.overlap(written(s, d), schedule),
         "cohort_composition": lambda s, d: forecast.cohort_composition(_r(s, d), days(s, d), schedule),
-        "forecast_wide": lambda s, d: _rounded(forecast.observed_vs_predicted(forecast.backtest(days(s, d), schedule)), "actual", *forecast.MODELS),
+        "forecast_wide": lambda s, d: _rounded(forecast.observed_vs_predicted(forecast.wide_cases(days(s, d), schedule)), "actual", *forecast.MODELS),
         "weeks_sweep": lambda s, d: forecast.weeks_sweep(days(s, d), schedule, sweep),
+        "best_weeks": lambda s, d: forecast.best_weeks(forecast.weeks_sweep(days(s, d), schedule, sweep)),
         "worst_days": lambda s, d: forecast.worst_cases(forecast.backtest(days(s, d), schedule)).select("household_id", "origin", "horizon", "model", F.round("abs_error", 6).alias("abs_error")),
+        "first_eligible": lambda s, d: forecast.first_eligible(days(s, d), schedule),
         "origin_calendar": lambda s, d: forecast.origin_calendar(days(s, d), schedule),
-        "prior_eligibility_cases": lambda s, d: _rounded(forecast.prior_cases(days(s, d), schedule).where("prediction_state = 'issued'").select("household_id", "origin", "horizon", "target_date", "target_state", *forecast.MODELS), *forecast.MODELS),
-        "prior_coverage": lambda s, d: forecast.prior_coverage(days(s, d), schedule),
+        "prior_eligibility_cases": lambda s, d: _rounded(forecast.prior_cases(written(s, d), schedule), *forecast.MODELS),
+        "prior_coverage": lambda s, d: forecast.prior_coverage(written(s, d), schedule),
+        "prior_report": lambda s, d: forecast.prior_report(written(s, d), schedule),
     }
 
 
@@ -189,6 +216,14 @@ daily AS (SELECT household_id, source_date, CAST(coalesce(raw_rows, 0) AS BIGINT
 """
 
 
+_DIGEST = "count(*) AS row_count, sha256(count(*) || ',' || " + " || ',' || ".join(f"coalesce(sum(CAST('0x' || h[{16 * i + 1}:{16 * i + 16}] AS UBIGINT)), 0)" for i in range(4)) + ") AS digest"
+_TYPES = {"observed_at_naive": "timestamp_ntz", "source_date": "date", "source_hour": "smallint", "source_month": "smallint", "consumption_kwh": "decimal(28,10)", "price_pence_per_kwh": "decimal(9,4)", "energy_charge_gbp": "decimal(38,16)", "schedule_label_naive": "timestamp_ntz", "schedule_year": "int", "on_half_hour_grid": "boolean"}
+
+
+def _types(cols: list[str]) -> str:
+    return ", ".join(f"{c} {_TYPES.get(c, 'string')}" for c in cols)
+
+
 def _hash(cols: list[str]) -> str:
     one = " || ".join(f"CASE WHEN {c} IS NULL THEN 'N;' ELSE length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR) || ';' END" for c in cols)
     return f"sha256({one})"
@@ -266,11 +301,23 @@ ORACLES = {
     "resolved_conflicts": _CONF_SETS + "SELECT * FROM cb EXCEPT SELECT * FROM cw",
 }
 ORACLES |= {
-    "canonical_row_hashes": f"SELECT {_hash(['tariff_group', 'band_label', 'price_pence_per_kwh', 'effective_from', 'evidence_label'])} AS row_hash FROM dim_tariff_price",
-    "fact_bucket_digests": f"SELECT h[1:2] AS bucket, CAST(sum(n) AS BIGINT) AS row_count, sha256(string_agg(h || 'x' || n, ',' ORDER BY h)) AS digest FROM (SELECT {_hash(['household_id', 'source_timestamp_text', 'band_label', 'consumption_kwh', 'energy_charge_gbp'])} AS h, count(*) AS n FROM {_FACT} GROUP BY 1) GROUP BY 1",
+    "canonical_row_hashes": f"SELECT {_hash(FACT_COLUMNS)} AS row_hash FROM {_FACT}",
+    "fact_bucket_digests": f"SELECT h[1:2] AS bucket, {_DIGEST} FROM (SELECT {_hash(FACT_COLUMNS)} AS h FROM {_FACT}) GROUP BY 1",
+    "fact_evidence": f"SELECT '{_FACT}' AS relation, '{_types(FACT_COLUMNS[1:])}' AS schema, {_DIGEST} FROM (SELECT {_hash(FACT_COLUMNS[1:])} AS h FROM {_FACT})",
+    "schedule_evidence": f"SELECT 'dim_tariff_band_schedule' AS relation, '{_types(SCHEDULE_COLUMNS[:-1])}' AS schema, {_DIGEST} FROM (SELECT {_hash(SCHEDULE_COLUMNS[:-1])} AS h FROM dim_tariff_band_schedule)",
+    "series_digests": _judged(24)
+    + f", s AS (SELECT household_id, {_DIGEST} FROM (SELECT household_id, {_hash(['source_date', 'kwh'])} AS h FROM judged WHERE unusable_reason IS NULL) GROUP BY 1), t AS (SELECT household_id, {_DIGEST} FROM (SELECT household_id, {_hash(['source_date'])} AS h FROM judged WHERE unusable_reason IS NULL) GROUP BY 1) SELECT household_id, s.row_count AS usable_days, s.digest AS series_digest, t.digest AS dates_digest FROM s JOIN t USING (household_id)",
+    "fact_totals_by_household": f"SELECT household_id AS key, count(*) AS row_count, CAST(sum(consumption_kwh) AS VARCHAR) AS kwh, CAST(sum(energy_charge_gbp) AS VARCHAR) AS amount FROM {_FACT} GROUP BY 1",
+    "fact_totals_by_month": f"SELECT source_month AS key, count(*) AS row_count, CAST(sum(consumption_kwh) AS VARCHAR) AS kwh, CAST(sum(energy_charge_gbp) AS VARCHAR) AS amount FROM {_FACT} GROUP BY 1",
+    "fact_described": f"SELECT count(*) AS row_count, count(DISTINCT household_id) AS households, min(source_date) AS first_date, max(source_date) AS last_date, CAST(coalesce(sum(consumption_kwh), 0) AS VARCHAR) AS kwh, CAST(coalesce(sum(energy_charge_gbp), 0) AS VARCHAR) AS amount FROM {_FACT}",
+    "fact_wrong_charges": f"SELECT DISTINCT household_id, source_timestamp_text, band_label, energy_charge_gbp, CAST(consumption_kwh * price_gbp_per_kwh AS DECIMAL(38,16)) AS expected_gbp FROM {_FACT} JOIN (SELECT tariff_group, band_label, price_gbp_per_kwh FROM dim_tariff_price) USING (tariff_group, band_label) WHERE energy_charge_gbp <> CAST(consumption_kwh * price_gbp_per_kwh AS DECIMAL(38,16))",
+    "fact_copies_both_ways": f"WITH a AS (SELECT {', '.join(FACT_COLUMNS)} FROM {_FACT}), b AS (SELECT {', '.join(FACT_COLUMNS)} FROM fact_interval_charge_replica) SELECT *, 'left' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'right' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)",
+    "fact_required_bands": f"SELECT *, 'missing' AS problem FROM (SELECT unnest(['Low', 'Normal', 'High']) AS band_label EXCEPT SELECT band_label FROM {_FACT}) UNION ALL SELECT *, 'unexpected' FROM (SELECT band_label FROM {_FACT} EXCEPT SELECT unnest(['Low', 'Normal', 'High']))",
+    "archives_share_labels": f"SELECT household_id, source_timestamp_text FROM readings WHERE archive_name = '{BASE_ARCHIVE}' AND household_id IS NOT NULL AND source_timestamp_text IS NOT NULL INTERSECT SELECT household_id, source_timestamp_text FROM readings WHERE archive_name <> '{BASE_ARCHIVE}'",
+    "fact_fk_violations": f"SELECT DISTINCT observed_at_naive AS key FROM {_FACT} WHERE observed_at_naive IS NOT NULL AND observed_at_naive NOT IN (SELECT schedule_label_naive FROM dim_tariff_band_schedule)",
     "fact_totals_by_band": f"SELECT band_label AS key, count(*) AS row_count, CAST(sum(consumption_kwh) AS VARCHAR) AS kwh, CAST(sum(energy_charge_gbp) AS VARCHAR) AS amount FROM {_FACT} GROUP BY 1",
     "fact_not_unique": f"SELECT household_id, source_timestamp_text, count(*) AS row_count FROM {_FACT} GROUP BY 1, 2 HAVING count(*) > 1",
-    "fact_null_counts": " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) FILTER ({c} IS NULL) AS nulls FROM {_FACT}" for c in ("household_id", "observed_at_naive", "band_label", "consumption_kwh", "energy_charge_gbp")),
+    "fact_null_counts": " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) FILTER ({c} IS NULL) AS nulls FROM {_FACT}" for c in FACT_COLUMNS),
     "bands_not_accepted": f"SELECT band_label AS value, count(*) AS row_count FROM {_FACT} WHERE band_label NOT IN ('Low', 'Normal') GROUP BY 1",
     "fk_violations": "SELECT DISTINCT observed_at_naive AS key FROM readings WHERE observed_at_naive IS NOT NULL AND observed_at_naive NOT IN (SELECT schedule_label_naive FROM dim_tariff_band_schedule)",
     "accounting_membership": f"""WITH a AS (SELECT household_id, tariff_group, source_timestamp_text, consumption_raw_text FROM readings), b AS (SELECT f.household_id, f.tariff_group, f.source_timestamp_text, r.consumption_raw_text FROM {_FACT} f JOIN readings r ON r.household_id = f.household_id AND r.source_timestamp_text = f.source_timestamp_text)
@@ -278,6 +325,15 @@ ORACLES |= {
 }
 
 
+_zero_sql = """, z AS (SELECT household_id, source_date, source_date - CAST(row_number() OVER (PARTITION BY household_id ORDER BY source_date) AS INTEGER) AS k FROM judged WHERE unusable_reason IS NULL AND kwh = 0),
+r AS (SELECT household_id, min(source_date) AS start, max(source_date) AS "end", count(*) AS days FROM z GROUP BY household_id, k), sp AS (SELECT household_id, min(source_date) AS lo, max(source_date) AS hi FROM judged GROUP BY 1),
+st AS (SELECT household_id, source_date, coalesce('unusable:' || unusable_reason, 'nonzero_usable') AS state FROM judged),
+o AS (SELECT r.*, CASE WHEN r.start - 1 < lo THEN 'recorded_span_edge' ELSE coalesce(b.state, 'absent') END AS before, CASE WHEN r."end" + 1 > hi THEN 'recorded_span_edge' ELSE coalesce(a.state, 'absent') END AS after FROM r JOIN sp USING (household_id) LEFT JOIN st b ON b.household_id = r.household_id AND b.source_date = r.start - 1 LEFT JOIN st a ON a.household_id = r.household_id AND a.source_date = r."end" + 1)
+, zr AS (SELECT *, before = 'nonzero_usable' AND after = 'nonzero_usable' AS bounded, CASE WHEN days = 1 THEN '1' WHEN days <= 6 THEN '2-6' WHEN days <= 27 THEN '7-27' ELSE '28+' END AS bucket FROM o)
+"""
+_bucket_sql = ", ".join(f"count(*) FILTER (bucket = '{b}') AS runs_{b.replace('-', '_').replace('+', '_up')}" for b in ("1", "2-6", "7-27", "28+"))
+
+
 def _scheduled_sql(intervals: int, zero_intervals: int, s: forecast.Schedule, sweep: tuple[int, ...]) -> dict[str, str]:
     """The SQL twins of ``_scheduled``."""
     origins = f""", fits AS (SELECT household_id, start AS run_start, "end" AS run_end, "end" - {s.holdout - 1} AS holdout_start FROM longest WHERE days >= {s.min_run}),
@@ -319,25 +375,26 @@ prior AS (SELECT w.*, coalesce(CASE WHEN t.household_id IS NULL THEN 'absent' EN
 """
     )
     first = _WORDS[sweep[0]][0]
-    return {
+    made = {
         "usable_day_reasons": _judged(intervals) + "SELECT coalesce(unusable_reason, 'usable') AS reason, count(*) AS days FROM judged GROUP BY 1",
         "longest_usable_run": _judged(intervals) + _RUNS + "SELECT * FROM longest",
         "feasibility": _judged(intervals)
         + _RUNS
         + "SELECT (SELECT count(*) FROM judged) AS household_days, (SELECT count(*) FROM usable) AS usable_days, min(days) AS shortest_run, list_sort(list(days))[count(*) // 2 + 1] AS median_run, max(days) AS longest_run FROM longest",
-        "zero_day_runs": _judged(zero_intervals)
-        + """, z AS (SELECT household_id, source_date, source_date - CAST(row_number() OVER (PARTITION BY household_id ORDER BY source_date) AS INTEGER) AS k FROM judged WHERE unusable_reason IS NULL AND kwh = 0),
-r AS (SELECT household_id, min(source_date) AS start, max(source_date) AS "end", count(*) AS days FROM z GROUP BY household_id, k), sp AS (SELECT household_id, min(source_date) AS lo, max(source_date) AS hi FROM judged GROUP BY 1),
-st AS (SELECT household_id, source_date, coalesce('unusable:' || unusable_reason, 'nonzero_usable') AS state FROM judged),
-o AS (SELECT r.*, CASE WHEN r.start - 1 < lo THEN 'recorded_span_edge' ELSE coalesce(b.state, 'absent') END AS before, CASE WHEN r."end" + 1 > hi THEN 'recorded_span_edge' ELSE coalesce(a.state, 'absent') END AS after FROM r JOIN sp USING (household_id) LEFT JOIN st b ON b.household_id = r.household_id AND b.source_date = r.start - 1 LEFT JOIN st a ON a.household_id = r.household_id AND a.source_date = r."end" + 1)
-SELECT *, before = 'nonzero_usable' AND after = 'nonzero_usable' AS bounded, CASE WHEN days = 1 THEN '1' WHEN days <= 6 THEN '2-6' WHEN days <= 27 THEN '7-27' ELSE '28+' END AS bucket FROM o""",
+        "zero_day_runs": _judged(zero_intervals) + _zero_sql + "SELECT * FROM zr",
+        "zero_days_by_household": _judged(zero_intervals) + _zero_sql + "SELECT household_id, CAST(sum(days) AS BIGINT) AS zero_days, count(*) AS runs, count(*) FILTER (bounded) AS bounded_runs, max(days) AS longest_run, " + _bucket_sql + " FROM zr GROUP BY 1",
+        "zero_days_summary": _judged(zero_intervals)
+        + _zero_sql
+        + "SELECT count(DISTINCT household_id) AS households, CAST(coalesce(sum(days), 0) AS BIGINT) AS zero_days, count(*) AS runs, count(*) FILTER (bounded) AS bounded_runs, "
+        + _bucket_sql
+        + ", max(days) AS longest_run, (SELECT household_id FROM zr ORDER BY days DESC, household_id DESC LIMIT 1) AS longest_household FROM zr",
         "forecast_origins": _judged(intervals) + _RUNS + origins + "SELECT * FROM origins",
         "forecast_predictions": cases + "SELECT household_id, split, origin, horizon, target_date, round(actual, 6) AS actual, model, round(predicted, 6) AS predicted, excluded_reason, round(abs_error, 6) AS abs_error FROM cases",
         "forecast_mae": cases + "SELECT split, model, horizon, count(*) AS scored, round(avg(abs_error), 6) AS mae, round(median(abs_error), 6) AS median_ae FROM cases WHERE abs_error IS NOT NULL GROUP BY 1, 2, 3",
         "forecast_common_frame": cases
         + "SELECT model, count(*) AS scored, round(avg(abs_error), 6) AS mae, round(median(abs_error), 6) AS median_ae FROM cases WHERE (household_id, origin, horizon) IN (SELECT (household_id, origin, horizon) FROM cases WHERE abs_error IS NOT NULL GROUP BY household_id, origin, horizon HAVING count(*) = 3) GROUP BY 1",
         "forecast_exclusions": cases + "SELECT split, model, coalesce(excluded_reason, 'scored') AS reason, count(*) AS cases FROM cases GROUP BY 1, 2, 3",
-        "forecast_split_counts": cases + "SELECT split, count(DISTINCT household_id) AS households, count(DISTINCT (household_id, origin)) AS origins, count(DISTINCT (household_id, target_date)) AS targets, count(DISTINCT target_date) AS target_dates FROM cases GROUP BY 1",
+        "forecast_split_counts": cases + "SELECT split, count(DISTINCT household_id) AS households, count(DISTINCT (household_id, origin)) AS origins, count(DISTINCT (household_id, target_date)) AS targets, count(DISTINCT (household_id, origin, horizon)) - count(DISTINCT (household_id, target_date)) AS repeated_targets, count(DISTINCT target_date) AS target_dates FROM cases GROUP BY 1",
         "forecast_overlap": prior
         + origins
         + f", mine AS (SELECT DISTINCT household_id, origin, horizon FROM origins, (SELECT unnest(generate_series(1, {s.horizon})) AS horizon)) SELECT CASE WHEN m.household_id IS NULL THEN 'new' ELSE 'shared' END AS kind, count(*) AS cases FROM (SELECT DISTINCT household_id, origin, horizon FROM prior WHERE prediction_state = 'issued') p LEFT JOIN mine m USING (household_id, origin, horizon) GROUP BY 1",
@@ -354,11 +411,17 @@ SELECT *, before = 'nonzero_usable' AND after = 'nonzero_usable' AS bounded, CAS
         + f", u AS (SELECT {first}.actual, {', '.join(f'{_WORDS[k][0]}.weekday_mean AS p{k}' for k in sweep)} FROM {_WORDS[sweep[0]]} {first} {' '.join(f'JOIN {_WORDS[k]} {_WORDS[k][0]} USING (household_id, origin, horizon)' for k in sweep[1:])} WHERE {first}.actual IS NOT NULL AND {' AND '.join(f'{_WORDS[k][0]}.weekday_mean IS NOT NULL' for k in sweep)}) SELECT * FROM ("
         + " UNION ALL ".join(f"SELECT {k}, count(*), round(avg(abs(p{k} - actual)), 6) FROM u" if i else f"SELECT CAST({k} AS BIGINT) AS weeks, count(*) AS scored, round(avg(abs(p{k} - actual)), 6) AS mae FROM u" for i, k in enumerate(sweep))
         + ") WHERE scored > 0",
+        "best_weeks": "",
+        "first_eligible": _judged(intervals) + _RUNS + f"SELECT household_id, days FROM longest WHERE days >= {s.min_run} ORDER BY household_id LIMIT 40",
         "worst_days": cases + "SELECT household_id, origin, horizon, model, round(abs_error, 6) AS abs_error FROM cases WHERE abs_error IS NOT NULL ORDER BY round(abs_error, 6) DESC, household_id, origin, horizon, model LIMIT 10",
         "origin_calendar": _judged(intervals) + f"SELECT CAST(unnest(generate_series(CAST(lo + {s.window - 1} AS TIMESTAMP), CAST(hi - {s.horizon} AS TIMESTAMP), INTERVAL {s.step} DAY)) AS DATE) AS origin FROM (SELECT min(source_date) AS lo, max(source_date) AS hi FROM judged)",
-        "prior_eligibility_cases": prior + "SELECT household_id, origin, horizon, target_date, target_state, round(seasonal_naive, 6) AS seasonal_naive, round(last_day, 6) AS last_day, round(weekday_mean, 6) AS weekday_mean FROM prior WHERE prediction_state = 'issued'",
+        "prior_eligibility_cases": prior + "SELECT household_id, origin, horizon, target_date, target_state, prediction_state, CASE WHEN prediction_state = 'issued' THEN round(seasonal_naive, 6) END AS seasonal_naive, CASE WHEN prediction_state = 'issued' THEN round(last_day, 6) END AS last_day, CASE WHEN prediction_state = 'issued' THEN round(weekday_mean, 6) END AS weekday_mean FROM prior",
+        "prior_report": prior
+        + "SELECT model, count(*) AS scheduled, count(*) FILTER (prediction_state = 'issued') AS issued, count(*) FILTER (prediction_state = 'issued' AND predicted IS NULL) AS declined, count(*) FILTER (prediction_state = 'issued' AND target_state = 'scoreable') AS scoreable, count(*) FILTER (prediction_state = 'issued' AND target_state = 'scoreable' AND predicted IS NOT NULL) AS scored, round(avg(abs(predicted - actual)) FILTER (prediction_state = 'issued' AND target_state = 'scoreable'), 6) AS mae FROM (SELECT *, 'seasonal_naive' AS model, seasonal_naive AS predicted FROM prior UNION ALL SELECT *, 'last_day', last_day FROM prior UNION ALL SELECT *, 'weekday_mean', weekday_mean FROM prior) GROUP BY 1",
         "prior_coverage": prior + "SELECT prediction_state, target_state, count(*) AS cases FROM prior GROUP BY 1, 2",
     }
+    made["best_weeks"] = f"SELECT weeks, mae FROM ({made['weeks_sweep']}) ORDER BY mae, weeks LIMIT 1"
+    return made
 
 
 ORACLES |= _scheduled_sql(*FULL) | {f"short_{name}": sql for name, sql in _scheduled_sql(*SHORT).items()}

@@ -116,7 +116,7 @@ def test_weekly_series_is_forecast_exactly(spark):
     c = forecast.backtest(series(spark), SHORT)
     assert c.where("model = 'seasonal_naive' and excluded_reason is null and abs_error > 0 and target_date <> date'2013-01-28'").where(F.col("target_date") != DAY + dt.timedelta(20)).count() == 0
     assert {r.split for r in c.select("split").distinct().collect()} == {"development", "holdout"}
-    assert forecast.common_frame(c).count() % 3 == 0
+    assert forecast.common_frame(forecast.wide_cases(series(spark), SHORT)).count() % 3 == 0
 
 
 def test_the_future_never_moves_a_prediction(spark):
@@ -127,8 +127,10 @@ def test_the_future_never_moves_a_prediction(spark):
 
 def test_weekday_mean_takes_the_latest_usable_days_not_fixed_lags(spark):
     d = days_frame(spark, [("a", o, o) for o in range(0, 40) if o not in (14, 21)])
-    cases = spark.createDataFrame([("a", DAY + dt.timedelta(27), DAY + dt.timedelta(28))], "household_id string, origin date, target_date date")
-    assert forecast.predicted(cases, d, 2, None).collect()[0].weekday_mean == (7 + 0) / 2
+    s = forecast.Schedule(horizon=1, step=1, weeks=2, window=28, min_usable=20)
+    got = {r.origin: r for r in forecast.prior_cases(d, s).collect()}
+    assert got[DAY + dt.timedelta(27)].weekday_mean == (7 + 0) / 2 and got[DAY + dt.timedelta(27)].last_day == 27
+    assert got[DAY + dt.timedelta(28)].weekday_mean == (22 + 15) / 2 and got[DAY + dt.timedelta(28)].target_state == "scoreable"
 
 
 def test_terrain_tells_zero_from_empty(spark):
@@ -149,6 +151,19 @@ def test_digests(spark):
     assert digest(base) == digest(base[::-1])
     others = [base[:2], [("x", ""), *base[1:]], [("x", "N"), *base[1:]], [("xy", None), ("", "z"), ("y", "z")], [("yz", ""), *base[1:]], []]
     assert len({digest(d) for d in [base, *others]}) == 7
+    buckets = lambda d: {r.bucket: (r.row_count, r.digest) for r in digests.bucket_digests(make(d), cols).collect()}
+    one, other = buckets(base), buckets([("x", "w"), *base[1:]])
+    assert sum(n for n, _ in one.values()) == 3 and {k for k in one if one[k] == other.get(k)} and one != other
+    plan = digests.bucket_digests(make(base), cols)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect" not in plan
+
+
+def test_multisets_both_ways_and_required_rows(spark):
+    make = lambda d: spark.createDataFrame(d, "a string, b string")
+    left, right = make([("x", None), ("x", None), ("y", "z")]), make([("x", None), ("w", "z")])
+    assert rows(digests.both_ways(left, right, ["a", "b"])) == [("w", "z", "right"), ("x", None, "left"), ("y", "z", "left")]
+    assert rows(digests.shared_keys(left, right, ["a"])) == [("x",)] and digests.shared_keys(left, make([]), ["a"]).count() == 0
+    assert rows(digests.required_values(left, ["a", "b"], [("y", "z"), ("q", "q")])) == [("q", "q", "missing"), ("x", None, "unexpected")]
 
 
 def test_step_order_carries_over_blocks(spark):
