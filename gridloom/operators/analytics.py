@@ -5,12 +5,14 @@ All sums stay decimal; shares are ratios of decimals turned into doubles once, a
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators.policy import conflicting_labels, distinct_readings
 
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16_000_000
 
 
 def share(part: Column, whole: Column) -> Column:
@@ -18,9 +20,12 @@ def share(part: Column, whole: Column) -> Column:
     return F.round(part.cast("double") / F.nullif(whole.cast("double"), F.lit(0.0)), 6)
 
 
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast if the table is checked to have at most ``most`` rows, else leave the join to Spark."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def small(df: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast if the table is checked to hold at most ``most`` rows and ``most_bytes`` of text and
+    numbers, else leave the join to Spark. The check is a job that reads at most ``most`` rows."""
+    size = [F.coalesce(F.octet_length(F.col(f.name)), F.lit(0)) if f.dataType.simpleString() in ("string", "binary") else F.lit(16) for f in df.schema]
+    held = df.limit(most + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(reduce(lambda a, b: a + b, size)), F.lit(0)).alias("b")).first()
+    return F.broadcast(df) if held.n <= most and held.b <= most_bytes else df
 
 
 def banded_readings(readings: DataFrame, schedule: DataFrame, prices: DataFrame) -> DataFrame:

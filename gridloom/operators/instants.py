@@ -3,14 +3,13 @@
 Texts are rewritten format by format into one field order inside the JVM. What the text leaves open
 is estimated per load by counting violations: the order of day and month of numeric dates by dates
 that would not exist, then by distance from neighbouring records in sequence; the clock of texts
-without any zone by labels that clock skips, instants after ingestion and steps back in sequence.
-The candidate with the fewest violations is chosen, then the labels are converted.
+without any zone by the history of offsets that ingestion times and sequence contradict least
+(``clocks``). Then the labels are converted.
 """
 
 from __future__ import annotations
 
 import zoneinfo
-from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,9 +17,13 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.binding import let
 from gridloom.functions.text import WHITE, strip
-from gridloom.functions.timeline import from_micros, micros
+from gridloom.functions.timeline import floor_div, from_micros, micros
+from gridloom.operators.analytics import small
+from gridloom.operators.clocks import clock_histories, covered
+from gridloom.storage import materialize
 
 HOUR_US = 3_600_000_000
+LEAST_SUPPORT = 0.02
 # European zone abbreviations and their offsets in hours.
 ABBREVIATIONS = {
     "UTC": 0, "GMT": 0, "UT": 0, "WET": 0, "BST": 1, "IST": 1, "WEST": 1, "CET": 1, "MEZ": 1,
@@ -137,23 +140,26 @@ def day_orders(readings: DataFrame, block: int = 50_000) -> DataFrame:
         .groupBy("load_id")
         .agg(F.count_if((b > 12) & (a <= 12)).alias("against_day"), F.count_if((a > 12) & (b <= 12)).alias("against_month"))
     )
+    votes = materialize(votes, "dayvotes")  # one row a load that has numeric dates
     open_loads = votes.where(F.col("against_day") == F.col("against_month")).select("load_id")
+    told = F.col("against_day") < F.col("against_month")
+    if open_loads.isEmpty():
+        return votes.select("load_id", told.alias("day_first"))
     y = F.regexp_extract(t, NUMERIC_DATE, 3).try_cast("int")
     y = F.when(y < 100, y + 2000).otherwise(y)
     day = lambda m, d: micros(F.try_make_timestamp_ntz(y, m, d, F.lit(0), F.lit(0), F.lit(0)))
     line = Window.partitionBy("load_id", "block").orderBy("source_record_no")
     near = (
         readings.select("load_id", "source_record_no", "source_timestamp_text", "observed_at_naive")
-        .join(open_loads, "load_id", "left_semi")
-        .withColumn("block", F.call_function("div", F.col("source_record_no"), F.lit(block)))
+        .join(small(open_loads), "load_id", "left_semi")
+        .withColumn("block", floor_div(F.col("source_record_no"), block))
         .withColumn("last_us", micros(F.last("observed_at_naive", ignorenulls=True).over(line)))
         .where(t.rlike(NUMERIC_DATE))
         .groupBy("load_id")
         .agg(F.sum((F.abs(day(b, a) - F.col("last_us"))).cast("double")).alias("far_day"), F.sum((F.abs(day(a, b) - F.col("last_us"))).cast("double")).alias("far_month"))
     )
     return votes.join(near, "load_id", "left").select(
-        "load_id",
-        F.when(F.col("against_day") != F.col("against_month"), F.col("against_day") < F.col("against_month")).otherwise(F.coalesce(F.col("far_day") <= F.col("far_month"), F.lit(True))).alias("day_first"),
+        "load_id", F.when(F.col("against_day") != F.col("against_month"), told).otherwise(F.coalesce(F.col("far_day") <= F.col("far_month"), F.lit(True))).alias("day_first")
     )
 
 
@@ -187,7 +193,7 @@ def parsed_labels(readings: DataFrame, only_known: bool = False) -> DataFrame:
     if only_known:
         base = base.where(F.col("status_zone").isNotNull() | ~text.rlike(LOADER_FORMAT))
     numeric = F.coalesce(strip(text).rlike(NUMERIC_DATE), F.lit(False))
-    both = base.where(~numeric).withColumn("day_first", F.lit(True)).unionByName(base.where(numeric).join(day_orders(readings), "load_id", "left").select(*base.columns, F.coalesce("day_first", F.lit(True)).alias("day_first")))
+    both = base.where(~numeric).withColumn("day_first", F.lit(True)).unionByName(base.where(numeric).join(small(day_orders(readings)), "load_id", "left").select(*base.columns, F.coalesce("day_first", F.lit(True)).alias("day_first")))
     told = lambda x: x["epoch_us"].isNotNull() | x["fixed_us"].isNotNull() | x["region"].isNotNull() | F.col("status_zone").isNotNull()
     label = F.array(_label(text, F.col("day_first")))
     return both.select(
@@ -195,39 +201,22 @@ def parsed_labels(readings: DataFrame, only_known: bool = False) -> DataFrame:
     ).withColumnRenamed("region", "text_region")
 
 
-def estimated_clocks(labels: DataFrame, registry: DataFrame, clocks: Sequence[str] = ("Europe/London", "UTC", "Europe/Paris"), block: int = 50_000) -> DataFrame:
-    """(load_id, clock, violations): the clock with the fewest violations for labels without a zone.
-
-    A violation is a label the clock skips, an instant after the load's ingestion, or a step back
-    between neighbours of one household in sequence. Ties go to the earlier of ``clocks``.
-    """
-    loose = labels.where(F.col("wall_us").isNotNull() & F.col("fixed_us").isNull() & F.col("text_region").isNull() & F.col("status_zone").isNull())
-    loose = loose.join(registry.select("load_id", micros(F.col("loaded_at_utc")).alias("loaded_us")).dropDuplicates(["load_id"]), "load_id", "left")
-    line = Window.partitionBy("load_id", "household_id", F.call_function("div", F.col("source_record_no"), F.lit(block))).orderBy("source_record_no")
-    made = loose
-    for k, zone in enumerate(clocks):
-        made = made.withColumn(f"c{k}", _at_zone(F.col("wall_us"), F.lit(zone)))
-        made = made.withColumns({f"u{k}": F.col(f"c{k}.us"), f"odd{k}": F.coalesce(F.col(f"c{k}.odd") == "nonexistent", F.lit(False))})
-    for k in range(len(clocks)):
-        back = F.coalesce((F.col(f"u{k}") < F.lag(f"u{k}").over(line)) & (F.lag("wall_us").over(line) < F.col("wall_us")), F.lit(False))
-        late = F.coalesce(F.col(f"u{k}") > F.col("loaded_us"), F.lit(False))
-        made = made.withColumn(f"v{k}", F.col(f"odd{k}").cast("int") + back.cast("int") + late.cast("int"))
-    summed = made.groupBy("load_id").agg(*[F.sum(f"v{k}").alias(f"v{k}") for k in range(len(clocks))])
-    best = F.array_min(F.array(*[F.struct(F.col(f"v{k}").alias("violations"), F.lit(k).alias("k"), F.lit(z).alias("clock")) for k, z in enumerate(clocks)]))
-    return summed.select("load_id", best["clock"].alias("clock"), best["violations"].alias("violations"))
-
-
 def utc_instants(labels: DataFrame, clocks: DataFrame | None = None) -> DataFrame:
     """(source_record_no, instant_us, basis, problem) of parsed labels.
 
-    basis is ``text``, ``status``, ``estimated`` or ``none``; problem is ``unreadable``,
+    basis is ``text``, ``status``, ``estimated`` (by ``clocks``, a history of clocks a load),
+    ``assumed`` (nothing in the load tells the history's offset from others) or ``none``; problem is ``unreadable``,
     ``zone_unknown``, ``ambiguous``, ``nonexistent`` or null. Labels at an interval's end give the
     instant 30 minutes earlier. Null and empty texts are unreadable.
     """
-    x = labels.join(clocks.select("load_id", "clock"), "load_id", "left") if clocks is not None else labels.withColumn("clock", F.lit(None).cast("string"))
+    if clocks is None:
+        x = labels.withColumns({"clock": F.lit(None).cast("string"), "support": F.lit(None).cast("double")})
+    else:
+        held = clocks.select(F.col("load_id").alias("_load"), "from_no", "to_no", "clock", "support")
+        x = labels.join(held, (labels["load_id"] == F.col("_load")) & covered(labels["source_record_no"]), "left")
     x = x.withColumn("zone", F.when(F.col("epoch_us").isNull() & F.col("fixed_us").isNull(), F.coalesce("text_region", "status_zone", "clock")))
     text_known = F.col("epoch_us").isNotNull() | F.col("fixed_us").isNotNull() | F.col("text_region").isNotNull()
-    basis = F.when(text_known, "text").when(F.col("status_zone").isNotNull(), "status").when(F.col("clock").isNotNull(), "estimated").otherwise("none")
+    basis = F.when(text_known, "text").when(F.col("status_zone").isNotNull(), "status").when(F.col("support") >= LEAST_SUPPORT, "estimated").when(F.col("clock").isNotNull(), "assumed").otherwise("none")
     shift = F.when(F.col("interval_anchor_status") == "interval_end", F.lit(HOUR_US // 2)).otherwise(F.lit(0))
 
     def made(x: Column) -> Column:
@@ -254,5 +243,5 @@ def known_instants(readings: DataFrame) -> DataFrame:
 
 def all_instants(readings: DataFrame, registry: DataFrame) -> DataFrame:
     """(source_record_no, instant_utc, basis, problem) of every reading, zones estimated where missing."""
-    labels = parsed_labels(readings)
-    return utc_instants(labels, estimated_clocks(labels, registry)).select("source_record_no", iso_utc(F.col("instant_us")).alias("instant_utc"), "basis", "problem")
+    labels = materialize(parsed_labels(readings), "labels")
+    return utc_instants(labels, clock_histories(labels, registry)).select("source_record_no", iso_utc(F.col("instant_us")).alias("instant_utc"), "basis", "problem")

@@ -83,11 +83,74 @@ def test_day_order_from_neighbours_in_sequence(spark):
     assert got == {2: "2015-03-04T10:30:00.000000Z"}
 
 
-def test_missing_zone_is_estimated_by_violations(spark):
-    data = [reading(i, "HH1", None, 1, text=f"2015-03-29 0{h}:30:00", load="a") for i, h in enumerate((0, 1, 3))]
-    registry = spark.createDataFrame([("a", dt.datetime(2016, 1, 1))], "load_id string, loaded_at_utc timestamp_ntz")
-    got = {r.source_record_no: (r.instant_utc, r.basis) for r in instants.all_instants(readings(spark, data), registry).collect()}
-    assert got[1] == ("2015-03-29T01:30:00.000000Z", "estimated")  # London skips 01:30, UTC does not
+def registry(spark, loads):
+    return spark.createDataFrame(list(loads.items()), "load_id string, loaded_at_utc timestamp_ntz")
+
+
+def on_clock(utc, zone):
+    return utc.astimezone(ZoneInfo(zone)).replace(tzinfo=None)
+
+
+def series(load, zone, start, n, first_no, households=("HH1", "HH2", "HH3"), status="unresolved"):
+    """Half-hourly labels of a few households on a zone's clock, in order of time, with the true instants."""
+    data, true = [], {}
+    for i in range(n):
+        utc = start + dt.timedelta(minutes=30 * i)
+        for h in households:
+            no = first_no + len(data)
+            data.append(reading(no, h, None, 1, text=f"{on_clock(utc, zone).isoformat(sep=' ')}.0000000", load=load, status=status))
+            true[no] = utc.strftime("%Y-%m-%dT%H:%M:%S.000000Z")
+    return data, true
+
+
+def estimated(spark, data, loads):
+    return {r.source_record_no: r for r in instants.all_instants(readings(spark, data), registry(spark, loads)).collect()}
+
+
+def test_missing_zones_are_told_by_clock_changes(spark):
+    """Loads that run over a change of their clocks, long before they were ingested."""
+    spring = {"Europe/London": 29, "Europe/Paris": 29, "America/New_York": 8}
+    data, true = [], {}
+    for k, (zone, day) in enumerate(spring.items()):
+        more, own = series(f"l{k}", zone, dt.datetime(2015, 3, day - 1, tzinfo=dt.UTC), 120, 1 + 1000 * k)
+        data, true = data + more, true | own
+    got = estimated(spark, data, {f"l{k}": dt.datetime(2016, 1, 1) for k in range(3)})
+    assert {no for no in true if got[no].instant_utc != true[no]} == set()
+    # Other American clocks skip the same hour of the wall: New York is only the first named of them.
+    assert {got[no].basis for no in true if no < 2000} == {"estimated"} and {got[no].basis for no in true if no >= 2000} == {"assumed"}
+
+
+def test_missing_zones_are_told_by_the_lag_of_loads_with_known_zones(spark):
+    """Loads of one day, ingested ninety minutes after their last label, as loads with zones are."""
+    data, true, loads = [], {}, {}
+    start = dt.datetime(2015, 1, 10, tzinfo=dt.UTC)
+    for k in range(3):
+        loads[f"known{k}"] = dt.datetime(2015, 1, 12)
+        data.append(reading(1 + k, "HH9", None, 1, text="2015-01-11T22:30:00Z", load=f"known{k}", status="in_text"))
+    for k, zone in enumerate(("Europe/Paris", "America/New_York", "UTC", "Asia/Kolkata")):
+        more, own = series(f"l{k}", zone, start, 48, 1000 * (k + 1))
+        data, true = data + more, true | own
+        loads[f"l{k}"] = dt.datetime(2015, 1, 11, 1, 0)
+    got = estimated(spark, data, loads)
+    assert {no for no in true if got[no].instant_utc != true[no]} == set()
+
+
+def test_a_load_that_changes_its_clock_half_way(spark):
+    start = dt.datetime(2015, 1, 10, tzinfo=dt.UTC)
+    first, true = series("l", "UTC", start, 1000, 1)
+    second, more = series("l", "America/New_York", start + dt.timedelta(minutes=30 * 1000), 1000, 1 + len(first))
+    last = start + dt.timedelta(minutes=30 * 1999)
+    known = [reading(10_000_000, "HH9", None, 1, text="2015-01-11T22:30:00Z", load="known", status="in_text")]
+    got = estimated(spark, first + second + known, {"l": (last + dt.timedelta(minutes=90)).replace(tzinfo=None), "known": dt.datetime(2015, 1, 12)})
+    true |= more
+    assert {no for no in true if got[no].instant_utc != true[no]} == set()
+
+
+def test_nothing_tells_the_zone_of_a_late_load(spark):
+    data, true = series("l", "Europe/Paris", dt.datetime(2015, 1, 10, tzinfo=dt.UTC), 48, 1)
+    got = estimated(spark, data, {"l": dt.datetime(2016, 1, 1)})
+    assert {r.basis for r in got.values()} == {"assumed"} and len(got) == len(true)
+    assert {r.basis for r in estimated(spark, data, {}).values()} == {"assumed"}
 
 
 def test_empty(spark):
