@@ -8,13 +8,15 @@ touches, and only those are written again.
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.storage import materialize
+from gridloom.storage import listed, materialize, read_bytes, session_dir, write_bytes
 
 LOADER_FORMAT = r"^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}\.[0-9]{6}0$"
 SPACES = r"[\s\p{Z}\p{Cc}\p{Cf}]+"
@@ -58,65 +60,105 @@ def amount_key(col: Column) -> Column:
     return F.when(trimmed.rlike(r"^-?[0-9]+(?:\.[0-9]+)?$"), trimmed).when(text.rlike("[0-9]"), parts).otherwise(wordy)
 
 
-def keyed(records: DataFrame, fields: dict[str, str], record_no: str) -> DataFrame:
-    """(record_no, h1, h2): each record with a 96-bit hash of its canonical key.
+def keyed(records: DataFrame, fields: dict[str, str], record_no: str, *keep: str) -> DataFrame:
+    """(record_no, keep..., h1, h2): each record with a 96-bit hash of its canonical key.
 
     ``fields`` maps columns to ``identifier``, ``label`` or ``amount``. A null field agrees with
     null only; an empty or wordless field agrees with other such fields.
     """
     rules = {"identifier": identifier_key, "label": label_key, "amount": amount_key}
     parts = [F.coalesce(rules[kind](F.col(c)), F.lit("\u0000")) for c, kind in fields.items()]
-    return records.select(F.col(record_no).alias("record_no"), F.concat_ws("\u0001", *parts).alias("key")).select(
-        "record_no", F.xxhash64("key").alias("h1"), F.hash("key").alias("h2")
+    return records.select(F.col(record_no).alias("record_no"), *keep, F.concat_ws("\u0001", *parts).alias("key")).select(
+        "record_no", *keep, F.xxhash64("key").alias("h1"), F.hash("key").alias("h2")
     )
 
 
 class CopyLedger:
-    """Counts of canonical keys in buckets of files, updated batch by batch.
+    """Counts of canonical keys in buckets of files at a path, updated batch by batch, by any session.
 
-    Each ``update`` returns a new ledger; buckets a batch does not touch stay the files they were.
-    ``buckets`` should grow with the ledger so that a bucket stays a few hundred MB.
+    ``path/versions`` holds one small manifest a version, which names the folder each bucket lies
+    in; ``path/data`` holds those folders. An update writes new folders for the buckets it touches
+    and then, as one rename, the next manifest: readers see the ledger before or after, never in
+    between, and of two writers at once the second fails. Buckets double when they have grown beyond
+    ``keys_per_bucket`` keys on average, so a bucket stays a few hundred MB.
     """
 
-    def __init__(self, spark: SparkSession, buckets: int = 16, parts: dict[int, DataFrame] | None = None):
-        self.spark, self.buckets, self.parts = spark, buckets, parts or {}
+    def __init__(self, spark: SparkSession, path: str, manifest: dict):
+        self.spark, self.path, self.manifest = spark, path.rstrip("/"), manifest
+        self.buckets: int = manifest["buckets"]
 
-    def entries(self, buckets: Iterable[int] | None = None) -> DataFrame:
-        """(bucket, h1, h2, copies, first_no) of the keys seen so far, in all or some buckets."""
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, buckets: int = 16, keys_per_bucket: int = 20_000_000) -> CopyLedger:
+        """The latest version of the ledger at ``path``, or an empty one."""
+        names = [n for n in listed(spark, f"{path}/versions") if n.endswith(".json")]
+        if names:
+            return cls(spark, path, json.loads(read_bytes(spark, f"{path}/versions/{names[-1]}")))
+        return cls(spark, path, {"version": 0, "buckets": buckets, "keys_per_bucket": keys_per_bucket, "keys": 0, "folders": {}})
+
+    def entries(self, buckets: Iterable[int] | None = None, repeated: bool = False) -> DataFrame:
+        """(bucket, h1, h2, copies, first_no) of the keys seen so far, in all or some buckets, or of ``repeated`` keys only.
+
+        Buckets and the repeated keys are folders, so no file of the rest is read.
+        """
         wanted = set(range(self.buckets) if buckets is None else buckets)
-        tables = {id(t): t for t in self.parts.values()}.values()
-        read = [t.where(F.col("bucket").isin(own)).select(*COLUMNS) for t in tables if (own := sorted(b for b in wanted if self.parts.get(b) is t))]
+        folders: dict[str, list[int]] = {}
+        for b, folder in self.manifest["folders"].items():
+            if int(b) in wanted:
+                folders.setdefault(folder, []).append(int(b))
+        read = []
+        for folder, own in sorted(folders.items()):
+            t = self.spark.read.schema(f"{SCHEMA}, repeated boolean").parquet(f"{self.path}/data/{folder}").where(F.col("bucket").isin(own))
+            read.append((t.where("repeated") if repeated else t).select(*COLUMNS))
         return reduce(DataFrame.unionByName, read) if read else self.spark.createDataFrame([], SCHEMA)
 
     def update(self, batch: DataFrame, small: bool = False) -> CopyLedger:
-        """Add a batch of (record_no, h1, h2) rows.
+        """Add a batch of (record_no, h1, h2) rows and return the new version.
 
-        A ``small`` batch first lists the buckets it touches, in a pass of its own, and leaves the
+        The batch is aggregated map-side and full-outer-joined with the buckets it matches. A
+        ``small`` batch first lists the buckets it touches, in a pass of its own, and leaves the
         files of all others alone; a large one touches them all.
         """
-        bucket = F.pmod("h1", F.lit(self.buckets)).cast("int").alias("bucket")
+        buckets, per = self.buckets, self.manifest["keys_per_bucket"]
+        while self.manifest["keys"] > buckets * per:
+            buckets *= 2
+        bucket = F.pmod("h1", F.lit(buckets)).cast("int").alias("bucket")
         new = batch.groupBy(bucket, "h1", "h2").agg(F.count("*").alias("n"), F.min("record_no").alias("no"))
-        touched = {r.bucket for r in batch.select(bucket).distinct().collect()} if small else set(range(self.buckets))
-        old = self.entries(touched)
-        merged = old.join(new, ["bucket", "h1", "h2"], "full_outer") if self.parts else new.withColumns({"copies": F.lit(0), "first_no": F.lit(None).cast("bigint")})
+        few = small and buckets == self.buckets
+        touched = {r.bucket for r in batch.select(bucket).distinct().collect()} if few else set(range(buckets))
+        if not touched:
+            return self
+        if self.manifest["folders"]:
+            old = self.entries(touched if few else None).withColumn("bucket", bucket)
+            merged = old.join(new, ["bucket", "h1", "h2"], "full_outer")
+        else:
+            merged = new.withColumns({"copies": F.lit(0), "first_no": F.lit(None).cast("bigint")})
         merged = merged.select(
-            "bucket",
             "h1",
             "h2",
             (F.coalesce("copies", F.lit(0)) + F.coalesce("n", F.lit(0))).cast("bigint").alias("copies"),
             F.least("first_no", "no").alias("first_no"),
-        )
-        written = materialize(merged, "ledger", "bucket")
-        return CopyLedger(self.spark, self.buckets, self.parts | dict.fromkeys(touched, written))
-
-
-def copy_pairs(rows: DataFrame, ledger: CopyLedger, hot_share: int = 1000) -> DataFrame:
+            "bucket",
+        ).withColumn("repeated", F.col("copies") > 1)
+        folder = uuid.uuid4().hex
+        merged.write.partitionBy("bucket", "repeated").parquet(f"{self.path}/data/{folder}")
+        version = self.manifest["version"] + 1
+        kept = {b: f for b, f in self.manifest["folders"].items() if few and int(b) not in touched}
+        manifest = {"version": version, "buckets": buckets, "keys_per_bucket": per, "keys": 0, "folders": kept | {str(b): folder for b in sorted(touched)}}
+        made = CopyLedger(self.spark, self.path, manifest)
+        manifest["keys"] = made.entries().count()  # from the files' footers
+        if not write_bytes(self.spark, f"{self.path}/versions/{version:012d}.json", json.dumps(manifest, sort_keys=True).encode(), overwrite=False):
+            raise RuntimeError(f"another writer has made version {version} of {self.path}")
+        return made
+
+
+def copy_pairs(rows: DataFrame, ledger: CopyLedger, hot_share: int = 100_000) -> DataFrame:
     """(kept_record_no, copy_record_no): the earliest record of each key with each further one.
 
     Keys holding more than one in ``hot_share`` rows number fewer than ``hot_share``: they are
-    broadcast, so no group is gathered in one task. The rest meet their rows by a shuffle join.
+    broadcast (24 bytes each), so no group is gathered in one task. The rest meet their rows by a
+    shuffle join, each a hundred-thousandth of all rows at most, or 10,000 where that is more.
     """
-    repeated = ledger.entries().where("copies > 1")
+    repeated = materialize(ledger.entries(repeated=True), "repeated")
     total = repeated.agg(F.sum("copies")).first()[0] or 0
     hot_from = max(10_000, total // hot_share)
     hot = repeated.where(F.col("copies") > hot_from).select("h1", "h2", F.col("first_no").alias("hot_no"))
@@ -127,9 +169,9 @@ def copy_pairs(rows: DataFrame, ledger: CopyLedger, hot_share: int = 1000) -> Da
     return of_hot.unionByName(of_cold).where(F.col("kept_record_no") != F.col("copy_record_no"))
 
 
-def ledger_of(spark: SparkSession, batches: Iterable[DataFrame], buckets: int = 16) -> CopyLedger:
-    """A ledger built from batches of keyed rows in turn."""
-    ledger = CopyLedger(spark, buckets)
+def ledger_of(spark: SparkSession, batches: Iterable[DataFrame], path: str | None = None, buckets: int = 16) -> CopyLedger:
+    """A ledger grown by batches of keyed rows in turn; without a path it lives as long as the session."""
+    ledger = CopyLedger.open(spark, path or f"{session_dir(spark)}/ledger-{uuid.uuid4().hex}", buckets)
     for batch in batches:
         ledger = ledger.update(batch)
     return ledger
