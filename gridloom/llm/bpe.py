@@ -17,10 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.shipping import ship
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the published word pattern of this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE_WORDS = 300_000
+CACHE_WORDS, CACHE_CHARS = 300_000, 30_000_000
 
 
 class SpeculativeBpe:
@@ -34,6 +36,7 @@ class SpeculativeBpe:
         self.longest = max(map(len, self.rank))
         self._tables()
         self.words: dict[str, tuple[int, ...]] = {}
+        self.chars = 0
 
     def _tables(self) -> None:
         """For each token the two tokens its last merge joined (itself for single bytes), and the reverse."""
@@ -138,12 +141,14 @@ class SpeculativeBpe:
 
     def encode_batch(self, texts: list[str | None]) -> list[list[int]]:
         """Token ids of each text; none for empty and null texts."""
-        if len(self.words) > CACHE_WORDS:
+        if len(self.words) > CACHE_WORDS or self.chars > CACHE_CHARS:
             self.words.clear()
+            self.chars = 0
         split = [self.findall(t) if t else [] for t in texts]
         new = set(chain.from_iterable(split)) - self.words.keys()
         if new:
             self.learn(list(new))
+            self.chars += sum(map(len, new))
         get = self.words.__getitem__
         return [list(chain.from_iterable(map(get, ws))) for ws in split]
 
@@ -160,6 +165,7 @@ def _encoder(rank_file: bytes) -> SpeculativeBpe:
 
 def _mapped(documents: DataFrame, keep: list[str], text: str, vocabulary: str, counts: bool, step: int = 256) -> DataFrame:
     spark = documents.sparkSession
+    ship(spark)
     with open(vocabulary, "rb") as f:
         shipped = spark.sparkContext.broadcast(f.read())  # about 1 MB, fixed by the vocabulary
 

@@ -20,13 +20,18 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.shipping import ship
+
 DIMENSIONS = 2048
 NGRAM = 3
 SAMPLE_PER_LABEL = 400
+LEAST_ROWS = 5
+MOST_SEGMENTS, SEGMENT_CHARS = 60_000, 400
 MARGIN = 0.07
+FULL = 24
 # ISO 639-1, 639-2 codes, English and own names of languages, one language a line.
 LANGUAGES = """
 en eng english
@@ -54,6 +59,34 @@ ar ara arabic العربية
 hu hun hungarian magyar
 ro ron rum romanian română
 """
+# The first article of the Universal Declaration of Human Rights, which is in the public
+# domain, in these languages; seeds of the prototypes where no document has a label.
+SEEDS = """
+en All human beings are born free and equal in dignity and rights. They are endowed with reason and conscience and should act towards one another in a spirit of brotherhood.
+de Alle Menschen sind frei und gleich an Würde und Rechten geboren. Sie sind mit Vernunft und Gewissen begabt und sollen einander im Geiste der Brüderlichkeit begegnen.
+fr Tous les êtres humains naissent libres et égaux en dignité et en droits. Ils sont doués de raison et de conscience et doivent agir les uns envers les autres dans un esprit de fraternité.
+es Todos los seres humanos nacen libres e iguales en dignidad y derechos y, dotados como están de razón y conciencia, deben comportarse fraternalmente los unos con los otros.
+it Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti. Essi sono dotati di ragione e di coscienza e devono agire gli uni verso gli altri in spirito di fratellanza.
+pt Todos os seres humanos nascem livres e iguais em dignidade e em direitos. Dotados de razão e de consciência, devem agir uns para com os outros em espírito de fraternidade.
+nl Alle mensen worden vrij en gelijk in waardigheid en rechten geboren. Zij zijn begiftigd met verstand en geweten, en behoren zich jegens elkander in een geest van broederschap te gedragen.
+sv Alla människor är födda fria och lika i värde och rättigheter. De är utrustade med förnuft och samvete och bör handla gentemot varandra i en anda av broderskap.
+da Alle mennesker er født frie og lige i værdighed og rettigheder. De er udstyret med fornuft og samvittighed, og de bør handle mod hverandre i en broderskabets ånd.
+no Alle mennesker er født frie og med samme menneskeverd og menneskerettigheter. De er utstyrt med fornuft og samvittighet og bør handle mot hverandre i brorskapets ånd.
+fi Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.
+pl Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.
+cs Všichni lidé rodí se svobodní a sobě rovní co do důstojnosti a práv. Jsou nadáni rozumem a svědomím a mají spolu jednat v duchu bratrství.
+uk Всі люди народжуються вільними і рівними у своїй гідності та правах. Вони наділені розумом і совістю і повинні діяти у відношенні один до одного в дусі братерства.
+ru Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства.
+cy Genir pawb yn rhydd ac yn gydradd â'i gilydd mewn urddas a hawliau. Fe'u cynysgaeddir â rheswm a chydwybod, a dylai pawb ymddwyn y naill at y llall mewn ysbryd cymodlon.
+ja すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である。人間は、理性と良心とを授けられており、互いに同胞の精神をもって行動しなければならない。
+zh 人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心,并应以兄弟关系的精神相对待。
+ko 모든 인간은 태어날 때부터 자유로우며 그 존엄과 권리에 있어 동등하다. 인간은 천부적으로 이성과 양심을 부여받았으며 서로 형제애의 정신으로 행동하여야 한다.
+tr Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler.
+el Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα. Είναι προικισμένοι με λογική και συνείδηση, και οφείλουν να συμπεριφέρονται μεταξύ τους με πνεύμα αδελφοσύνης.
+ar يولد جميع الناس أحرارا متساوين في الكرامة والحقوق وقد وهبوا عقلا وضميرا وعليهم أن يعامل بعضهم بعضا بروح الإخاء
+hu Minden emberi lény szabadon születik és egyenlő méltósága és joga van. Az emberek, ésszel és lelkiismerettel bírván, egymással szemben testvéri szellemben kell hogy viseltessenek.
+ro Toate ființele umane se nasc libere și egale în demnitate și în drepturi. Ele sunt înzestrate cu rațiune și conștiință și trebuie să se comporte unele față de altele în spiritul fraternității.
+"""
 # Labels that name no language.
 UNLABELLED = ["", "und", "unknown", "n/a", "na", "none", "null", "??", "?", "-", "zxx", "mis", "mul", "unk"]
 
@@ -78,12 +111,17 @@ _STATEMENT = re.compile(r"^\s*(?:[|{}\[\]#/*]|(?:def|class|import|return|from|if
 _CODE_PART = re.compile(r"\S*[A-Za-z]\((?:[^()]|\([^()]*\))*\)\S*|\S+\s*(?:[-+*/<>=!]=|=)\s*\S+|;\s*$")
 _CODE_LEFT = re.compile(r"[=|{}\[\]<>();]")
 PROSE_WORDS = 6
-_TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>")
+_TAG = re.compile(r"</?[A-Za-z][^<>\n]*>")
 _NOISE = re.compile(r"(?<![A-Za-z])[A-Za-z]*+\d[A-Za-z0-9_.,:/-]*|https?://\S+|(?<!\S)[^\s@]++@\S+|\b[\w-]++\.(?:csv|zip|json|parquet|txt|xml|sql|py|log)\b|`[^`\n]*`|\b[^\W_]++_\w+|\bk[Ww]+h\b|\bHH\?")
 _SENTENCE = re.compile(r"(?<=[.!?。！？…])[\"'»”)]*(?:\s+|(?<=[。！？]))")
 _WORDS = re.compile(r"[^\W\d_]+")
 SHORT = 16
 _HEADS = frozenset("[0123456789")
+# Without one of these a line is no program text.
+_CODE_SIGNS, _CODE_WORDS = frozenset("|(=;{}[]*`"), ("def", "class", "import", "return", "from", "SELECT", "DELETE", "INSERT", "UPDATE", "CREATE", "WITH")
+_TICKED = re.compile(r"`[^`\n]*`")
+CACHED_WORDS, CACHED_SEGMENTS, CACHED_CHARS = 400_000, 100_000, 40_000_000
+_clean: dict[str, str] = {}
 
 
 _HIGH_RUN = re.compile(r"[^\x00-\x7f]{2,}")
@@ -121,6 +159,29 @@ def _prose_left(line: str) -> str:
     return rest if len(_WORDS.findall(rest)) >= PROSE_WORDS and not _CODE_LEFT.search(rest) else ""
 
 
+def _letters(word: str) -> str:
+    """The lower-case runs of letters of a piece of text without codes and figures; short pieces are kept for the next time."""
+    if len(word) > 40:
+        return " ".join(_WORDS.findall(_NOISE.sub(" ", word).lower()))
+    if len(_clean) > CACHED_WORDS:
+        _clean.clear()
+    found = _clean[word] = " ".join(_WORDS.findall(_NOISE.sub(" ", word).lower()))
+    return found
+
+
+def _cleaned(sentence: str) -> str:
+    """The words of a sentence. No pattern of noise but quoted code reaches over white space, so words are cleaned one by one."""
+    known = _clean.get
+    out = []
+    for word in sentence.split():
+        found = known(word)
+        if found is None:
+            found = _letters(word)
+        if found:
+            out.append(found)
+    return " ".join(out)
+
+
 def prose_segments(text: str) -> list[tuple[int, str]]:
     """(line number, cleaned lower-case words) of each sentence of prose.
 
@@ -130,29 +191,36 @@ def prose_segments(text: str) -> list[tuple[int, str]]:
     """
     out: list[tuple[int, str]] = []
     fenced = False
-    for no, line in enumerate(repaired(text).split("\n"), 1):
-        if line.lstrip().startswith("```"):
+    if not text.isascii():
+        text = repaired(text)
+    for no, line in enumerate(text.split("\n"), 1):
+        start = line.lstrip()
+        if not start:
+            continue
+        if start.startswith("```"):
             fenced = not fenced
             continue
         if fenced:
             continue
-        body = _LOG_HEAD.sub("", line, count=1) if line.lstrip()[:1] in _HEADS else line
+        body = _LOG_HEAD.sub("", line, count=1) if start[0] in _HEADS else line
         if "&" in body:
             body = html.unescape(body)
         if "<" in body:
             body = _TAG.sub(" ", body)
         body = body.rstrip()
-        if _CODE_LINE.search(body):
+        if (not _CODE_SIGNS.isdisjoint(body) or body.lstrip().startswith(_CODE_WORDS)) and _CODE_LINE.search(body):
             body = _prose_left(body)
+        if "`" in body:
+            body = _TICKED.sub(" ", body)
         pieces: list[str] = []
         waiting = ""
         for sentence in _SENTENCE.split(body):
-            words = " ".join(_WORDS.findall(_NOISE.sub(" ", sentence).lower()))
+            words = _cleaned(sentence)
             if not words:
                 continue
-            words = f"{waiting} {words}".strip()
-            waiting = ""
-            if len(words.encode()) < SHORT:
+            if waiting:
+                words, waiting = f"{waiting} {words}", ""
+            if len(words) < SHORT and len(words.encode()) < SHORT:
                 if pieces:
                     pieces[-1] += " " + words
                 else:
@@ -173,10 +241,11 @@ class Profiles:
     prototypes: np.ndarray  # languages x dimensions, centred and of unit length
     seed: int = 7
     letters: dict[int, np.ndarray] = field(default_factory=dict)
-    known: dict[int, int] = field(default_factory=dict)
-    dots: np.ndarray | None = None
-    used: int = 0
-    seen: dict[str, np.ndarray] = field(default_factory=dict)
+    grams: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # known n-grams, sorted
+    dots: np.ndarray | None = None  # their dot products, in the same order
+    seen: dict[str, int] = field(default_factory=dict)
+    kept: np.ndarray | None = None  # cosines of seen segments
+    chars: int = 0
 
     def letter(self, code: int) -> np.ndarray:
         v = self.letters.get(code)
@@ -185,31 +254,33 @@ class Profiles:
             v = self.letters[code] = bits * np.int8(2) - np.int8(1)
         return v
 
-    def ngram(self, gram: int) -> np.ndarray:
-        """Bound vector of an n-gram packed as 21 bits a character."""
-        a, b, c = gram >> 42, (gram >> 21) & 0x1FFFFF, gram & 0x1FFFFF
-        return np.roll(self.letter(a), 2) * np.roll(self.letter(b), 1) * self.letter(c)
+    def ngrams(self, grams: np.ndarray) -> np.ndarray:
+        """Bound vectors of n-grams packed as 21 bits a character: each character's vector rolled by its place."""
+        parts = [grams >> 42, (grams >> 21) & 0x1FFFFF, grams & 0x1FFFFF]
+        codes, at = np.unique(np.concatenate(parts), return_inverse=True)
+        vectors = np.stack([self.letter(int(c)) for c in codes])
+        n = len(grams)
+        return np.roll(vectors, 2, axis=1)[at[:n]] * np.roll(vectors, 1, axis=1)[at[n : 2 * n]] * vectors[at[2 * n :]]
 
     def rows_of(self, grams: np.ndarray) -> np.ndarray:
-        """Row of each distinct n-gram in the table of dot products, made where missing."""
-        if self.used > 2_000_000:  # a memory bound, not a limit of vocabulary: entries are made again
-            self.known, self.dots, self.used = {}, None, 0
-        fresh = [g for g in grams.tolist() if g not in self.known]
-        if fresh:
+        """Dot products with the prototypes of sorted distinct n-grams, made where missing."""
+        if len(self.grams) > 1_000_000:  # a memory bound, not a limit of vocabulary: entries are made again
+            self.grams, self.dots = np.zeros(0, np.int64), None
+        at = np.searchsorted(self.grams, grams)
+        missing = np.ones(len(grams), bool)
+        inside = at < len(self.grams)
+        missing[inside] = self.grams[at[inside]] != grams[inside]
+        if missing.any():
+            fresh = grams[missing]
             made = np.empty((len(fresh), len(self.langs)), np.float32)
-            for at in range(0, len(fresh), 1024):
-                block = np.stack([self.ngram(g) for g in fresh[at : at + 1024]]).astype(np.float32)
-                made[at : at + 1024] = block @ self.prototypes.T
-            need = self.used + len(fresh)
-            if self.dots is None or need > len(self.dots):
-                grown = np.zeros((max(need, 2 * (0 if self.dots is None else len(self.dots)), 4096), len(self.langs)), np.float32)
-                if self.dots is not None:
-                    grown[: self.used] = self.dots[: self.used]
-                self.dots = grown
-            self.dots[self.used : need] = made
-            self.known.update(zip(fresh, range(self.used, need)))
-            self.used = need
-        return np.fromiter((self.known[g] for g in grams.tolist()), np.int64, len(grams))
+            for i in range(0, len(fresh), 2048):
+                made[i : i + 2048] = self.ngrams(fresh[i : i + 2048]).astype(np.float32) @ self.prototypes.T
+            if self.dots is None:
+                self.grams, self.dots = fresh, made
+            else:
+                self.grams, self.dots = np.insert(self.grams, at[missing], fresh), np.insert(self.dots, at[missing], made, axis=0)
+            at = np.searchsorted(self.grams, grams)
+        return self.dots[at]
 
     def cosines(self, segments: list[str]) -> np.ndarray:
         """segments x languages cosines; a segment's length is taken from its n-gram counts,
@@ -220,8 +291,7 @@ class Profiles:
         distinct, back = np.unique(grams, return_inverse=True)
         pairs, counts = np.unique(owner * len(distinct) + back, return_counts=True)
         owner, back = pairs // len(distinct), pairs % len(distinct)
-        rows = self.rows_of(distinct)
-        weighted = self.dots[rows][back] * np.sqrt(counts).astype(np.float32)[:, None]
+        weighted = self.rows_of(distinct)[back] * np.sqrt(counts).astype(np.float32)[:, None]
         starts = np.searchsorted(owner, np.arange(len(segments)))
         sums = np.add.reduceat(weighted, starts, axis=0)  # each segment has an n-gram: it is padded
         norm = np.sqrt(np.bincount(owner, counts, len(segments)) * DIMENSIONS)
@@ -229,11 +299,17 @@ class Profiles:
 
     def cached_cosines(self, segments: list[str]) -> np.ndarray:
         """The same, for segments that recur: their rows are kept for the next batches."""
-        if len(self.seen) > 200_000:
-            self.seen.clear()
+        if self.kept is None or len(self.seen) > CACHED_SEGMENTS or self.chars > CACHED_CHARS:
+            self.seen, self.kept, self.chars = {}, np.zeros((4096, len(self.langs)), np.float32), 0
         fresh = [s for s in dict.fromkeys(segments) if s not in self.seen]
-        self.seen.update(zip(fresh, self.cosines(fresh)))
-        return np.array([self.seen[s] for s in segments], np.float32).reshape(len(segments), len(self.langs))
+        if fresh:
+            used, need = len(self.seen), len(self.seen) + len(fresh)
+            if need > len(self.kept):
+                self.kept = np.concatenate([self.kept[:used], np.zeros((max(need, 2 * used) - used, len(self.langs)), np.float32)])
+            self.kept[used:need] = self.cosines(fresh)
+            self.seen.update(zip(fresh, range(used, need)))
+            self.chars += sum(map(len, fresh))
+        return self.kept[np.fromiter(map(self.seen.__getitem__, segments), np.int64, len(segments))]
 
 
 def packed_ngrams(segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -256,8 +332,7 @@ def _bundle(maker: Profiles, segments: list[str], times: np.ndarray, label: np.n
     roots = np.sqrt(counts).astype(np.float32)
     total = np.zeros((classes, DIMENSIONS), np.float32)
     for at in range(0, len(distinct), 2048):
-        vectors = np.stack([maker.ngram(int(g)) for g in distinct[at : at + 2048]]).astype(np.float32)
-        total += roots[:, at : at + 2048] @ vectors
+        total += roots[:, at : at + 2048] @ maker.ngrams(distinct[at : at + 2048]).astype(np.float32)
     return total
 
 
@@ -279,20 +354,24 @@ def _recentred(raw: np.ndarray, unit: np.ndarray, among: list[int]) -> np.ndarra
     return (picked - picked.mean(axis=1, keepdims=True)) / length
 
 
-def train(labelled: list[tuple[str, str]], sizes: dict[str, int] | None = None, rounds: int = 4, explained: float = 0.75) -> Profiles:
-    """Prototypes from (label, text) pairs with noisy labels.
+def train(labelled: list[tuple[str, str]], sizes: dict[str, int] | None = None, **kw) -> Profiles:
+    """Prototypes from (label, text) pairs with noisy labels."""
+    pairs = Counter((label, s) for label, text in labelled for s in dict.fromkeys(s for _, s in prose_segments(text)))
+    return train_segments([(label, s, n) for (label, s), n in pairs.items()], sizes or Counter(label for label, _ in labelled), **kw)
+
+
+def train_segments(counted: list[tuple[str, str, int]], sizes: dict[str, int], rounds: int = 4, explained: float = 0.75) -> Profiles:
+    """Prototypes from (label, segment, documents) with noisy labels.
 
     Each round moves segments that another prototype fits better by ``MARGIN`` and bundles the
     prototypes anew. A class is given up, smallest first, when its labelled segments fit larger
     classes nearly as well (``explained``) as those classes' own do: then its label is a wrong
-    name for them. ``sizes`` are the labels' frequencies in the corpus, else those in the sample.
+    name for them. ``sizes`` are the labels' frequencies in the corpus.
     """
-    pairs = Counter((label, s) for label, text in labelled for s in dict.fromkeys(s for _, s in prose_segments(text)))
-    labels, segments, times = [label for label, _ in pairs], [s for _, s in pairs], np.array(list(pairs.values()))
+    labels, segments, times = [c for c, _, _ in counted], [s for _, s, _ in counted], np.array([n for _, _, n in counted])
     langs = sorted({*labels})
     if not langs:
         return Profiles(["und"], np.zeros((1, DIMENSIONS), np.float32))
-    sizes = sizes or Counter(label for label, _ in labelled)
     given = np.array([langs.index(c) for c in labels])
     assigned = given.copy()
     maker = Profiles([], np.zeros((0, DIMENSIONS), np.float32))
@@ -326,51 +405,123 @@ def train(labelled: list[tuple[str, str]], sizes: dict[str, int] | None = None,
     return Profiles(langs, _centred(_bundle(maker, segments, times, assigned, len(langs))))
 
 
-def judge(texts: list[str | None], profiles: Profiles, margin: float = MARGIN, level: float = 0.18, letters: int = 24) -> list[list[tuple[int, str, float]]]:
+def train_unlabelled(segments: list[tuple[str, int]], rounds: int = 1, least_share: float = 0.003) -> Profiles:
+    """Prototypes where no document has a label: clusters of (segment, documents), begun from ``SEEDS``.
+
+    Each round bundles the prototypes anew from their seeds and the segments that fit one of them
+    more clearly than the median segment does. A language that fits fewer than ``least_share`` of
+    those at first is given up.
+    """
+    seeds = [line.split(" ", 1) for line in SEEDS.strip().splitlines()]
+    langs, first = [c for c, _ in seeds], [_cleaned(t) for _, t in seeds]
+    texts, times = [s for s, _ in segments], np.array([n for _, n in segments], np.int64)
+    maker = Profiles([], np.zeros((0, DIMENSIONS), np.float32))
+    unit = _centred(_bundle(maker, first, np.ones(len(first), np.int64), np.arange(len(langs)), len(langs)))
+    for turn in range(rounds if segments else 0):
+        scores = Profiles(langs, unit, letters=maker.letters).cosines(texts)
+        ranked = np.sort(scores, axis=1)
+        gap = ranked[:, -1] - ranked[:, -2] if len(langs) > 1 else ranked[:, -1]
+        best, usual = scores.argmax(axis=1), np.median(gap)
+        sure = gap >= usual
+        held = np.bincount(best[sure], times[sure], len(langs))
+        alive = np.flatnonzero(held >= least_share * held.sum()) if not turn else np.arange(len(langs))
+        number = np.full(len(langs), -1)
+        number[alive] = np.arange(len(alive))
+        first, langs = [first[c] for c in alive], [langs[c] for c in alive]
+        at = np.flatnonzero(sure & (number[best] >= 0))
+        unit = _centred(_bundle(maker, [*first, *[texts[i] for i in at]], np.concatenate([np.ones(len(first), np.int64), times[at]]), np.concatenate([np.arange(len(first)), number[best[at]]]), len(langs)))
+    return Profiles(langs, unit)
+
+
+def margins(weight: np.ndarray, margin: float = MARGIN, full: int = FULL) -> np.ndarray:
+    """By how much of cosine a segment of so many bytes must fit another language better to be in it: the
+    shorter it is below ``full`` bytes, the more, as cosines of few n-grams scatter more."""
+    return margin * np.maximum(1.0, full / np.maximum(weight, 1))
+
+
+def judge(texts: list[str | None], profiles: Profiles, margin: float = MARGIN, level: float = 0.18) -> list[list[tuple[int, str, float]]]:
     """For each text its (line number, language, confidence) rows; line 0 is the whole text.
 
-    Lines appear only where prose of at least ``letters`` letters stands in a second language by
-    ``margin`` of cosine, at a cosine of ``level`` or more. Texts without words give no rows.
+    Lines appear only where prose stands in a second language, better by ``margins`` than in the
+    first, at a cosine of ``level`` or more. A line's confidence is that of all its prose in the
+    language. Texts without words give no rows.
     """
     pieces = [prose_segments(t) if t else [] for t in texts]
-    scores = profiles.cached_cosines([s for own in pieces for _, s in own])
-    out, langs, at = [], profiles.langs, 0
-    for own in pieces:
-        if not own:
-            out.append([])
-            continue
-        rows = scores[at : at + len(own)]
-        at += len(own)
-        size = np.array([sum(map(str.isalpha, s)) for _, s in own])
-        weight = np.array([len(s.encode()) for _, s in own])
-        overall = (rows * weight[:, None]).sum(axis=0)
-        leader = int(overall.argmax())
-        best = rows.argmax(axis=1)
-        firm = (rows.max(axis=1) - rows[:, leader] > margin) & (rows.max(axis=1) > level) & (weight >= letters)
-        lang = np.where(firm, best, leader)
-        amount = np.bincount(lang, size, len(langs))
-        main = int(amount.argmax())
-        share = amount[main] / max(amount.sum(), 1)
-        sure = lambda r, c: float(1 / np.exp(12 * (r - r[c])).sum())
-        found = [(0, langs[main], round(sure(overall / weight.sum(), main) * float(share), 4))]
-        if (amount > 0).sum() > 1:
-            by_line: dict[tuple[int, int], float] = {}
-            for (no, _), r, c in zip(own, rows, lang):
-                by_line[no, int(c)] = max(by_line.get((no, int(c)), 0), sure(r, c))
-            found += [(no, langs[c], round(v, 4)) for (no, c), v in sorted(by_line.items())]
-        out.append(found)
+    flat = [s for own in pieces for _, s in own]
+    count = np.array([len(own) for own in pieces], np.int64)
+    out: list[list[tuple[int, str, float]]] = [[] for _ in texts]
+    if not flat:
+        return out
+    langs, rows = profiles.langs, profiles.cached_cosines(flat)
+    held = np.flatnonzero(count)
+    owner = np.repeat(np.arange(len(held)), count[held])
+    starts = np.concatenate([[0], np.cumsum(count[held])[:-1]])
+    size = np.array([len(s) - s.count(" ") for s in flat])
+    weight = np.array([len(s.encode()) for s in flat])
+    overall = np.add.reduceat(rows * weight[:, None], starts, axis=0) / np.add.reduceat(weight, starts)[:, None]
+    leader = overall.argmax(axis=1)
+    top, first = rows.max(axis=1), rows[np.arange(len(rows)), leader[owner]]
+    firm = (top - first > margins(weight, margin)) & (top > level)
+    lang = np.where(firm, rows.argmax(axis=1), leader[owner])
+    amount = np.zeros((len(held), len(langs)))
+    np.add.at(amount, (owner, lang), size)
+    main = amount.argmax(axis=1)
+    share = amount.max(axis=1) / np.maximum(amount.sum(axis=1), 1)
+    sure = lambda r, c: 1 / np.exp(12 * (r - r[np.arange(len(r)), c][:, None])).sum(axis=1)
+    whole = sure(overall, main) * share
+    mixed = (amount > 0).sum(axis=1) > 1
+    for i, doc in enumerate(held):
+        out[doc].append((0, langs[main[i]], round(float(whole[i]), 4)))
+        if mixed[i]:
+            lo = starts[i]
+            by_line: dict[tuple[int, int], list[int]] = {}
+            for k, (no, _) in enumerate(pieces[doc]):
+                by_line.setdefault((no, int(lang[lo + k])), []).append(lo + k)
+            for (no, c), at in sorted(by_line.items()):
+                own = weight[at] @ rows[at] / weight[at].sum()
+                out[doc].append((no, langs[c], round(float(sure(own[None, :], np.array([c]))[0]), 4)))
     return out
 
 
-def fit_profiles(documents: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", per_label: int = SAMPLE_PER_LABEL) -> Profiles:
-    """Train on about ``per_label`` documents of each label code, chosen by a hash of their key."""
-    coded = documents.select(F.col(key).alias("k"), label_code(F.col(label)).alias("c"), F.col(text).alias("t")).where(F.col("c").isNotNull() & (F.length("t") > 0))
-    sizes = {r.c: r.n for r in coded.groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "c").limit(200).collect()}
+def _segments_of(coded: DataFrame, per_class: int, chars: int = SEGMENT_CHARS) -> list:
+    """At most ``per_class`` distinct segments of each class of (c, t) rows, with the documents they are in.
+
+    Segments are cut out on the executors, the longest into pieces of ``chars`` characters, counted
+    there, and chosen by a hash, so the driver receives a bounded sample whatever the texts' lengths.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                out = Counter((c, s[i : i + chars]) for c, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) for s in {s for _, s in prose_segments(t)} for i in range(0, len(s), chars))
+                yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in out], pa.string()), pa.array([s for _, s in out], pa.string()), pa.array(list(out.values()), pa.int64())], names=["c", "s", "n"])
+
+    counted = coded.mapInArrow(run, "c string, s string, n bigint").groupBy("c", "s").agg(F.sum("n").alias("n"))
+    place = F.row_number().over(Window.partitionBy("c").orderBy(F.xxhash64("s", F.lit(23)), "s"))
+    return counted.withColumn("place", place).where(F.col("place") <= per_class).orderBy("c", "s").select("c", "s", "n").collect()
+
+
+def fit_profiles(documents: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", per_label: int = SAMPLE_PER_LABEL, least: int = LEAST_ROWS, most_segments: int = MOST_SEGMENTS) -> Profiles:
+    """Train on about ``per_label`` documents of each label code, chosen by a hash of their key.
+
+    Every code of at least ``least`` documents is a class, or every code where none has so many;
+    the codes share ``most_segments`` distinct segments, at least 50 each. Without any label,
+    prototypes are grown from seeds on as many segments of the corpus (``train_unlabelled``).
+    """
+    ship(documents.sparkSession)
+    coded = documents.select(F.col(key).alias("k"), label_code(F.col(label)).alias("c"), F.col(text).alias("t")).where(F.length("t") > 0)
+    named = coded.where(F.col("c").isNotNull()).groupBy("c").agg(F.count("*").alias("n"))
+    sizes = {r.c: r.n for r in named.where(F.col("n") >= least).collect()} or {r.c: r.n for r in named.orderBy("c").collect()}
     if not sizes:
-        return train([])
-    share = F.create_map(*[x for c, n in sizes.items() for x in (F.lit(c), F.lit(min(1.0, per_label / n)))])
-    drawn = F.pmod(F.xxhash64("k", F.lit(11)), F.lit(1_000_000)) < F.try_element_at(share, F.col("c")) * 1_000_000
-    return train([(r.c, r.t) for r in coded.where(drawn).orderBy("k", "c").collect()], sizes)
+        total = coded.count()
+        drawn = coded.where(F.pmod(F.xxhash64("k", F.lit(11)), F.lit(1_000_000)) < F.lit(min(1.0, 40 * per_label / max(total, 1)) * 1_000_000))
+        found = _segments_of(drawn.select(F.lit("").alias("c"), "t"), most_segments)
+        return train_unlabelled([(r.s, r.n) for r in found])
+    share = documents.sparkSession.createDataFrame([(c, min(1.0, per_label / n) * 1_000_000) for c, n in sizes.items()], "c string, share double")
+    drawn = coded.join(F.broadcast(share), "c").where(F.pmod(F.xxhash64("k", F.lit(11)), F.lit(1_000_000)) < F.col("share"))
+    found = _segments_of(drawn.select("c", "t"), max(50, most_segments // len(sizes)))
+    return train_segments([(r.c, r.s, r.n) for r in found], sizes)
 
 
 def languages(documents: DataFrame, profiles: Profiles, text: str = "text", label: str = "lang", key: str = "doc_id", step: int = 256) -> DataFrame:
@@ -378,6 +529,7 @@ def languages(documents: DataFrame, profiles: Profiles, text: str = "text", labe
 
     Null, empty and wordless texts give no rows; whole texts are judged, however long.
     """
+    ship(documents.sparkSession)
     shipped = documents.sparkSession.sparkContext.broadcast((profiles.langs, profiles.prototypes))  # languages x 2048 floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

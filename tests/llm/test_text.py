@@ -267,6 +267,33 @@ def test_languages_over_a_table(spark):
     assert langid.languages(df.where("false"), langid.fit_profiles(df.where("false"))).count() == 0
 
 
+def test_a_short_line_in_another_language_is_found():
+    p = langid.train([(label, text) for _, _, label, text in corpus()])
+    note = ". ".join(PHRASES["en"]) + "\nKlemmen trocken"
+    assert {(n, lang) for n, lang, _ in langid.judge([note], p)[0]} == {(0, "en"), (1, "en"), (2, "de")}
+    assert (langid.margins(np.array([6, 12, 24, 400])) == langid.MARGIN * np.array([4, 2, 1, 1])).all()
+
+
+def test_more_than_two_hundred_label_codes(spark):
+    """Every code that names documents of its own is a class, however many there are."""
+    rng = random.Random(5)
+    words = {c: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(6)] for c in range(201)}
+    data = [(201 * k + c, f"l{c:03d}", " ".join(rng.choice(words[c]) for _ in range(12))) for c in range(201) for k in range(6)]
+    df = spark.createDataFrame(data, "doc_id bigint, lang string, text string")
+    p = langid.fit_profiles(df)
+    assert len(p.langs) == 201
+    judged = langid.judge([t for _, _, t in data], p)
+    assert np.mean([j[0][1] == c for j, (_, c, _) in zip(judged, data)]) > 0.99
+
+
+def test_languages_without_any_label(spark):
+    """From the seeds alone; three phrases are too few to find Japanese by, so two languages are asked for."""
+    data = [r for r in corpus(n=260) if r[1] != "ja"]
+    df = spark.createDataFrame([(i, None, text) for i, _, _, text in data], "doc_id bigint, lang string, text string")
+    got = {r.doc_id: r.lang for r in langid.languages(df, langid.fit_profiles(df)).where("line_no = 0").collect()}
+    assert np.mean([got[i] == true for i, true, _, _ in data]) > 0.95
+
+
 def test_pattern_is_the_published_one():
     public = pytest.importorskip("public_tokenizers")
     assert public.PATTERN == bpe.PATTERN
