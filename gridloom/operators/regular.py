@@ -22,21 +22,22 @@ def slot_values(usable: DataFrame, step_us: int = HALF_HOUR_US) -> DataFrame:
     )
 
 
-def with_carry(slots: DataFrame, shard_slots: int = SHARD_SLOTS) -> DataFrame:
-    """Add ``before``: the source's previous occupied slot, null at its first.
+def with_carry(slots: DataFrame, shard_slots: int = SHARD_SLOTS, *carry: str) -> DataFrame:
+    """Add ``before``: the source's previous occupied slot, null at its first, and ``before_`` and the name of
+    each column in ``carry``: its value there.
 
     Inside a shard it is the neighbour in slot order. A shard's first and last row are its
     summary: the scan over them, at most two a shard, carries each shard's last slot to the head
     of the next. Both parts read one shuffle by (source, shard), and no join brings them together.
     """
     shard = Window.partitionBy("household_id", "_shard")
-    inside = shard.orderBy("slot")
-    cut = slots.withColumn("_shard", floor_div(F.col("slot"), shard_slots)).withColumns({"before": F.lag("slot").over(inside), "_next": F.lead("slot").over(inside)})
+    inside, scan = shard.orderBy("slot"), Window.partitionBy("household_id").orderBy("slot")
+    taken = {"before": "slot"} | {f"before_{c}": c for c in carry}
+    cut = slots.withColumn("_shard", floor_div(F.col("slot"), shard_slots)).withColumns({n: F.lag(c).over(inside) for n, c in taken.items()} | {"_next": F.lead("slot").over(inside)})
     ends = cut.where(F.col("before").isNull() | F.col("_next").isNull())
-    scan = Window.partitionBy("household_id").orderBy("slot")
-    heads = ends.withColumn("_scanned", F.lag("slot").over(scan)).where(F.col("before").isNull()).withColumn("before", F.col("_scanned"))
+    heads = ends.withColumns({f"_{n}": F.lag(c).over(scan) for n, c in taken.items()}).where(F.col("before").isNull()).withColumns({n: F.col(f"_{n}") for n in taken})
     rest = cut.where(F.col("before").isNotNull())
-    return rest.drop("_shard", "_next").unionByName(heads.drop("_shard", "_next", "_scanned"))
+    return rest.drop("_shard", "_next").unionByName(heads.drop("_shard", "_next", *[f"_{n}" for n in taken]))
 
 
 def gaps(slots: DataFrame, step_us: int = HALF_HOUR_US, shard_slots: int = SHARD_SLOTS) -> DataFrame:
@@ -57,22 +58,27 @@ def regular_grid(slots: DataFrame, step_us: int = HALF_HOUR_US, shard_slots: int
 
     Missing slots lie between a source's first and last reading; they are marked and carry null
     (``fill="mark"``), the last slot's value (``"carry"``) or a straight line between their
-    neighbours (``"line"``). Filled values stay marked. An empty input gives no rows.
+    neighbours (``"line"``). Filled values stay marked. A gap of any length is filled shard by shard, so
+    one label in a far year costs no long array. An empty input gives no rows.
     """
     if fill not in ("mark", "carry", "line"):
         raise ValueError(f"unknown fill {fill!r}")
-    carried = with_carry(slots, shard_slots)
+    carried = with_carry(slots, shard_slots, *(() if fill == "mark" else ("kwh",)))
     if fill == "mark":
         carried = carried.withColumn("before_kwh", F.lit(None).cast("decimal(38,10)"))
-    else:
-        values = slots.select("household_id", F.col("slot").alias("before"), F.col("kwh").alias("before_kwh"))
-        carried = carried.join(values, ["household_id", "before"], "left")
+    first, last = F.col("before") + 1, F.col("slot") - 1
+    shard_of = lambda c: floor_div(c, shard_slots)
+    wide = F.coalesce(shard_of(last) > shard_of(first), F.lit(False))
+    # A gap within a shard is filled with the slot after it; a longer one by each shard it reaches into.
+    near = carried.withColumns({"from": F.when(wide, F.col("slot")).otherwise(F.coalesce(first, F.col("slot"))), "upto": F.col("slot")})
+    far = carried.where(wide).withColumn("_shard", F.explode(F.sequence(shard_of(first), shard_of(last)))).repartition("household_id", "_shard")
+    far = far.select(*carried.columns, F.greatest(first, F.col("_shard") * shard_slots).alias("from"), F.least(last, (F.col("_shard") + 1) * shard_slots - 1).alias("upto"))
+    every = near.unionByName(far).withColumn("s", F.explode(F.sequence("from", "upto")))
     filled = {
         "mark": F.lit(None).cast("decimal(38,10)"),
         "carry": F.col("before_kwh"),
         "line": (F.col("before_kwh").cast("double") + (F.col("kwh") - F.col("before_kwh")).cast("double") * (F.col("s") - F.col("before")) / (F.col("slot") - F.col("before"))).cast("decimal(38,10)"),
     }[fill]
-    every = carried.withColumn("s", F.explode(F.sequence(F.coalesce(F.col("before") + 1, F.col("slot")), F.col("slot"))))
     own = F.col("s") == F.col("slot")
     return every.select(
         "household_id",

@@ -1,14 +1,13 @@
 """Spikes, stuck runs and impossible values per source (problem 5).
 
-A robust AR(1) is fitted per source and time shard: values are standardised by the source's
-median and interquartile range, winsorised, and regressed on their predecessor. Additive-outlier
-tests run until a pass flags nothing new, each against neighbours cleaned of all outliers so far; a
+A robust AR(1) is fitted per source: values are standardised by the source's median and
+interquartile range, winsorised, and regressed on their predecessor. Additive-outlier tests run until a pass flags nothing new, each against neighbours cleaned of all outliers so far; a
 value whose neighbours stay at its level is a level shift, not an outlier, so a run of 6 or more
 readings at one level is ordinary and one of up to 5 is not. What the tests leave as ordinary fixes
 the source's highest ordinary value, against which the exact rule decides.
 
-No step gathers a source in one task: window work runs per (source, time shard), and what crosses
-shards afterwards is flagged rows, shard maxima and at most two boundary runs a shard, which are
+No step gathers a source in one task: window work runs per (source, time shard), each shard with a
+few readings of its neighbours as a halo, and what crosses shards afterwards is flagged rows, shard maxima and at most two boundary runs a shard, which are
 joined across shards where a value goes on.
 """
 
@@ -26,13 +25,21 @@ DAY_US = 86_400_000_000
 REACH = 5
 
 
-def _tested(src: DataFrame, least: int, outlier: float, shift: int, passes: int, only: DataFrame | None = None) -> DataFrame:
-    """Every usable reading of sources with ``least`` readings, with its run, its outlier flag and whether the last pass set it.
+def _sharded(usable: DataFrame, shard_us: int) -> DataFrame:
+    """The readings with their shard, the value before them in it and their places from its start and from its end."""
+    shard = Window.partitionBy("household_id", "shard")
+    forth, back = shard.orderBy("at_us", "kwh"), shard.orderBy(F.desc("at_us"), F.desc("kwh"))
+    src = usable.select("household_id", floor_div(F.col("at_us"), shard_us).alias("shard"), "at_us", "kwh")
+    return src.withColumns({"prev": F.lag("kwh").over(forth), "first": F.row_number().over(forth), "last": F.row_number().over(back)})
+
+
+def _fitted(src: DataFrame, least: int) -> DataFrame:
+    """(household_id, shard, mid, unit, phi) of sources with ``least`` readings: level, scale and AR(1) of the whole source.
 
-    ``only`` names the shards to test, where not all are.
+    phi is regressed over all of a source's readings on the ones before them, both winsorised; each
+    shard sums for itself first. Fits go to the readings by (source, shard), never by source alone.
     """
     level = src.groupBy("household_id").agg(F.count("*").alias("total"), F.percentile_approx(F.col("kwh").cast("double"), [0.25, 0.5, 0.75], 2000).alias("q")).where(F.col("total") >= least)
-    # Levels go to the readings by (source, shard), never by source alone.
     levels = (
         src.select("household_id", "shard")
         .distinct()
@@ -44,17 +51,45 @@ def _tested(src: DataFrame, least: int, outlier: float, shift: int, passes: int,
             F.greatest((F.col("q")[2] - F.col("q")[0]) / 1.349, F.abs(F.col("q")[1]) * 0.05, F.lit(1e-6)).alias("unit"),
         )
     )
-    shard = Window.partitionBy("household_id", "shard")
-    w = shard.orderBy("at_us", "kwh")
-    clip = lambda c: F.greatest(F.lit(-3.0), F.least(F.lit(3.0), c))
-    # Beyond a shard's ends a reading's neighbour is taken to be at the source's median.
-    x = src if only is None else src.join(only, ["household_id", "shard"], "left_semi")
-    x = x.join(levels, ["household_id", "shard"]).select("household_id", "shard", "at_us", "kwh", F.col("kwh").cast("double").alias("v"), ((F.col("kwh").cast("double") - F.col("mid")) / F.col("unit")).alias("z"))
+    z = lambda c: F.greatest(F.lit(-3.0), F.least(F.lit(3.0), (F.col(c).cast("double") - F.col("mid")) / F.col("unit")))
+    pairs = src.where(F.col("prev").isNotNull()).join(levels, ["household_id", "shard"])
+    slope = pairs.groupBy("household_id").agg((F.sum(z("kwh") * z("prev")) / F.nullif(F.sum(z("prev") * z("prev")), F.lit(0.0))).alias("slope"))
+    phi = F.greatest(F.lit(0.0), F.least(F.lit(0.95), F.coalesce("slope", F.lit(0.0)))).alias("phi")
+    return levels.join(slope, "household_id", "left").select("household_id", "shard", "mid", "unit", phi)
+
+
+def _with_halo(src: DataFrame, reach: int) -> DataFrame:
+    """The readings, and as ``halo`` rows the ``reach`` last ones of the shard before and first ones of the next."""
+    own = src.withColumn("halo", F.lit(False))
+    sides = F.filter(F.array(F.when(F.col("first") <= reach, F.col("shard") - 1), F.when(F.col("last") <= reach, F.col("shard") + 1)), lambda k: k.isNotNull())
+    ends = src.where((F.col("first") <= reach) | (F.col("last") <= reach)).withColumn("to", F.explode(sides))
+    return own.unionByName(ends.withColumn("shard", F.col("to")).withColumn("halo", F.lit(True)).drop("to"))
+
+
+def _tested(src: DataFrame, fits: DataFrame, outlier: float, shift: int, passes: int, only: DataFrame | None = None) -> DataFrame:
+    """Every usable reading of fitted sources, with its run, its outlier flag and whether the last pass set it.
+
+    ``only`` names the shards to test, where not all are. Neighbours over a shard's end are halo
+    rows; beyond those a neighbour is taken to be at the source's median.
+    """
+    w = Window.partitionBy("household_id", "shard").orderBy("at_us", "kwh")
+    x = _with_halo(src, 2 * shift)
+    x = x if only is None else x.join(only, ["household_id", "shard"], "left_semi")
+    x = x.join(fits, ["household_id", "shard"]).select(
+        "household_id",
+        "shard",
+        "at_us",
+        "kwh",
+        "halo",
+        "phi",
+        F.coalesce(F.col("prev") != F.col("kwh"), F.lit(True)).cast("int").alias("starts"),
+        F.col("kwh").cast("double").alias("v"),
+        ((F.col("kwh").cast("double") - F.col("mid")) / F.col("unit")).alias("z"),
+    )
     x = x.select(
         "*",
         F.coalesce(F.lag("z").over(w), F.lit(0.0)).alias("z0"),
         F.coalesce(F.lead("z").over(w), F.lit(0.0)).alias("z1"),
-        F.coalesce(F.lag("kwh").over(w) != F.col("kwh"), F.lit(True)).cast("int").alias("starts"),
         *[F.lag("v", k).over(w).alias(f"b{k}") for k in range(1, REACH + 1)],
         *[F.lead("v", k).over(w).alias(f"f{k}") for k in range(1, REACH + 1)],
     )
@@ -64,20 +99,7 @@ def _tested(src: DataFrame, least: int, outlier: float, shift: int, passes: int,
         level_kept = [reduce(lambda a, b: a & b, [F.coalesce(F.col(f"{side}{j}") * 3 >= F.col("v"), F.lit(False)) for j in range(1, k + 1)]) for k in range(1, REACH + 1)]
         return reduce(lambda a, b: a + b, [c.cast("int") for c in level_kept])
 
-    phi = F.coalesce(F.sum(clip(F.col("z")) * clip(F.col("z0"))).over(shard) / F.nullif(F.sum(clip(F.col("z0")) * clip(F.col("z0"))).over(shard), F.lit(0.0)), F.lit(0.0))
-    x = x.select(
-        "household_id",
-        "shard",
-        "at_us",
-        "kwh",
-        "z",
-        "z0",
-        "z1",
-        F.sum("starts").over(w).alias("run"),
-        F.sum("starts").over(shard).alias("runs"),
-        F.greatest(F.lit(0.0), F.least(F.lit(0.95), phi)).alias("phi"),
-        (steady("b") + steady("f") >= shift).alias("shifted"),
-    )
+    x = x.select("household_id", "shard", "at_us", "kwh", "halo", "starts", "phi", "z", "z0", "z1", (steady("b") + steady("f") >= shift).alias("shifted"))
 
     def statistic(before: Column, after: Column) -> Column:
         """Additive-outlier statistic of a value against its neighbours under the AR(1)."""
@@ -89,7 +111,8 @@ def _tested(src: DataFrame, least: int, outlier: float, shift: int, passes: int,
         x = x.withColumn("clean", F.when(F.col("outlying"), F.lit(0.0)).otherwise(F.col("z")))
         x = x.withColumns({"c0": F.coalesce(F.lag("clean").over(w), F.lit(0.0)), "c1": F.coalesce(F.lead("clean").over(w), F.lit(0.0))})
         x = x.withColumn("late", ~F.col("outlying") & (statistic(F.col("c0"), F.col("c1")) > outlier) & ~F.col("shifted")).withColumn("outlying", F.col("outlying") | F.col("late"))
-    return x.select("household_id", "shard", "at_us", "kwh", "run", "runs", "outlying", "late")
+    x = x.where(~F.col("halo"))
+    return x.select("household_id", "shard", "at_us", "kwh", F.sum("starts").over(w).alias("run"), F.sum("starts").over(Window.partitionBy("household_id", "shard")).alias("runs"), "outlying", "late")
 
 
 def _flagged(x: DataFrame, low: float, high: str, stuck_run: int) -> DataFrame:
@@ -127,13 +150,14 @@ def implausible(
     are written once to the shared folder, since several steps read them. The outlier tests take
     twice ``shift`` passes, and twice as many again in the shards where the last one flags a reading.
     """
-    src = materialize(usable.select("household_id", floor_div(F.col("at_us"), shard_us).alias("shard"), "at_us", "kwh"), "usable")
+    src = materialize(_sharded(usable, shard_us), "usable")
+    fits = materialize(_fitted(src, least), "fits")
     passes = max(2, 2 * shift)
-    kept = _flagged(_tested(src, least, outlier, shift, passes), low, high, stuck_run)
+    kept = _flagged(_tested(src, fits, outlier, shift, passes), low, high, stuck_run)
     while not kept.where("late").isEmpty():
         open_shards = kept.where("late").select("household_id", "shard").distinct()
         passes *= 2
-        again = _flagged(_tested(src, least, outlier, shift, passes, open_shards), low, high, stuck_run)
+        again = _flagged(_tested(src, fits, outlier, shift, passes, open_shards), low, high, stuck_run)
         kept = kept.join(open_shards, ["household_id", "shard"], "left_anti").unionByName(again)
     runs = kept.where("edge").groupBy("household_id", "shard", "run").agg(F.first("kwh").alias("kwh"), F.first("run_n").alias("run_n"))
     scan = Window.partitionBy("household_id").orderBy("shard", "run")

@@ -40,8 +40,18 @@ def test_a_staircase_of_spikes_is_cleaned_from_its_top(spark):
 
 def test_shards_the_first_passes_leave_open_are_tested_again(spark):
     """Two passes leave the staircase open; testing its shard again, alone, gives what enough passes give."""
-    src = spark.createDataFrame([("a", 0, k, round(0.3 + 0.2 * math.sin(2 * math.pi * k / 48), 4)) for k in range(600)] + [("a", 0, 600 + j, v) for j, v in enumerate((9.0, 5.5, 3.4, 2.1, 1.6))] + [("a", 0, k, 0.3) for k in range(605, 1300)], "household_id string, shard bigint, at_us bigint, kwh double")
-    few, many = (spikes._tested(src.withColumn("kwh", F.col("kwh").cast("decimal(28,10)")), 20, 4.0, 5, n) for n in (2, 10))
+    data = [("a", k, round(0.3 + 0.2 * math.sin(2 * math.pi * k / 48), 4)) for k in range(600)] + [("a", 600 + j, v) for j, v in enumerate((9.0, 5.5, 3.4, 2.1, 1.6))] + [("a", k, 0.3) for k in range(605, 1300)]
+    src = spikes._sharded(spark.createDataFrame(data, "household_id string, at_us bigint, kwh double").withColumn("kwh", F.col("kwh").cast("decimal(28,10)")), 10_000)
+    fits = spikes._fitted(src, 20)
+    few, many = (spikes._tested(src, fits, 4.0, 5, n) for n in (2, 10))
     assert few.where("late").count() > 0 and many.where("late").count() == 0
-    one = spikes._tested(src.withColumn("kwh", F.col("kwh").cast("decimal(28,10)")), 20, 4.0, 5, 10, src.select("household_id", "shard").distinct())
+    one = spikes._tested(src, fits, 4.0, 5, 10, src.select("household_id", "shard").distinct())
     assert one.where("outlying").count() == many.where("outlying").count() == 5
+
+
+def test_a_block_counts_alike_wherever_a_shard_ends(spark):
+    """Seven readings at one level are ordinary inside a shard and across its end; five are spikes in both places."""
+    inside = {"HH0000001": {600 + j: 1.6 for j in range(7)}, "HH0000002": {600 + j: 1.6 + j / 1000 for j in range(5)}}
+    across = {"HH0000003": {1341 + j: 1.6 for j in range(7)}, "HH0000004": {1341 + j: 1.6 + j / 1000 for j in range(5)}}
+    found = spiky(spark, inside | across, n=2000)
+    assert {h: len(v) for h, v in found.items()} == {"HH0000001": 0, "HH0000002": 5, "HH0000003": 0, "HH0000004": 5}
