@@ -10,14 +10,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.functions.display import ENERGY, MONEY, PRICE, band_order, displayed, ratio, share_percent
 from gridloom.operators.policy import conflicting_labels, distinct_readings
 
+from gridloom.storage import materialize
+
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16_000_000
 
 
-def share(part: Column, whole: Column) -> Column:
-    """part / whole as a double, rounded half up to 6 places; null for a whole of 0."""
-    return F.round(part.cast("double") / F.nullif(whole.cast("double"), F.lit(0.0)), 6)
+def share(part: Column, whole: Column, scale: int = 10) -> Column:
+    """part / whole as a double, rounded once, half up, to 6 places from the exact values; null for a whole of 0."""
+    return ratio(part, whole, 6, scale).cast("double")
 
 
 def small(df: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -57,7 +60,7 @@ def band_summary(fact: DataFrame) -> DataFrame:
     """Per band: rows, households, exact kWh and amount, and both shares of the same rows."""
     g = fact.groupBy("band_label").agg(F.count("*").alias("row_count"), F.countDistinct("household_id").alias("households"), F.sum("consumption_kwh").alias("kwh"), F.sum("energy_charge_gbp").alias("amount_gbp"))
     all_ = Window.partitionBy(F.lit(1))  # over the few bands, after the aggregation
-    return g.withColumns({"kwh_share": share(F.col("kwh"), F.sum("kwh").over(all_)), "amount_share": share(F.col("amount_gbp"), F.sum("amount_gbp").over(all_))})
+    return g.withColumns({"kwh_share": share(F.col("kwh"), F.sum("kwh").over(all_)), "amount_share": share(F.col("amount_gbp"), F.sum("amount_gbp").over(all_), 16)})
 
 
 def band_by_hour(fact: DataFrame) -> DataFrame:
@@ -76,15 +79,15 @@ def household_totals(fact: DataFrame) -> DataFrame:
 def high_rank(fact: DataFrame, band: str = "High") -> DataFrame:
     """Households ranked by their share of kWh in a band, ids breaking ties.
 
-    The global rank is built from a range partitioning: each range is ranked alone and shifted by
-    the sizes of the ranges before it, so no task sees all households.
+    Sorted as a whole by range partitioning on (share, id), so equal shares spread too; each
+    partition is then ranked by itself and shifted by the sizes of those before it, one row each.
     """
     g = fact.groupBy("household_id").agg(share(F.coalesce(F.sum(F.when(F.col("band_label") == band, F.col("consumption_kwh"))), F.lit(0)), F.sum("consumption_kwh")).alias("band_share")).where(F.col("band_share").isNotNull())
-    step = g.withColumn("cell", F.floor(-F.col("band_share") * 1000).cast("bigint"))
-    sizes = step.groupBy("cell").agg(F.count("*").alias("n"))
-    offsets = sizes.select("cell", F.coalesce(F.sum("n").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    inside = F.row_number().over(Window.partitionBy("cell").orderBy(F.desc("band_share"), "household_id"))
-    return step.join(F.broadcast(offsets), "cell").select("household_id", "band_share", (inside + F.col("before")).alias("rank"))
+    placed = materialize(g.repartitionByRange(F.desc("band_share"), F.asc_nulls_first("household_id")).withColumn("part", F.spark_partition_id()), "ranked")
+    sizes = placed.groupBy("part").agg(F.count("*").alias("n"))
+    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("part").orderBy(F.desc("band_share"), "household_id"))
+    return placed.join(small(before), "part").select("household_id", "band_share", (inside + F.col("before")).alias("rank"))
 
 
 def schedule_distribution(schedule: DataFrame) -> DataFrame:
@@ -103,7 +106,7 @@ def schedule_steps(schedule: DataFrame) -> DataFrame:
     heads = m.groupBy("m").agg(F.min("at").alias("head"))
     heads = heads.select("m", F.lead("head").over(Window.orderBy("m")).alias("head"))
     nxt = F.coalesce(F.lead("at").over(Window.partitionBy("m").orderBy("at")), F.col("head"))
-    steps = m.join(F.broadcast(heads), "m").withColumn("next", nxt).where(F.col("next").isNotNull())
+    steps = m.join(small(heads), "m").withColumn("next", nxt).where(F.col("next").isNotNull())
     return steps.groupBy(F.timestamp_diff("SECOND", F.col("at"), F.col("next")).alias("step_seconds")).agg(F.count("*").alias("steps"))
 
 
@@ -125,3 +128,27 @@ def long_shares(fact: DataFrame) -> DataFrame:
 def band_by_hour_wide(fact: DataFrame, bands: list[str]) -> DataFrame:
     """kWh per hour with one column a band."""
     return band_by_hour(fact).groupBy("source_hour").pivot("band_label", bands).agg(F.sum("kwh"))
+
+
+def band_display(fact: DataFrame, prices: DataFrame | None = None) -> DataFrame:
+    """Per band, in band order: exact and displayed kWh, amount, both shares in percent and the mean price in pence.
+
+    Each displayed value is rounded once from exact decimals; the price of the band is the least
+    and greatest of its rows' prices.
+    """
+    g = fact.groupBy("band_label").agg(F.sum("consumption_kwh").alias("kwh"), F.sum("energy_charge_gbp").alias("amount_gbp"), F.min("price_pence_per_kwh").alias("least_pence"), F.max("price_pence_per_kwh").alias("greatest_pence"))
+    all_ = Window.partitionBy(F.lit(1))  # over the few bands, after the aggregation
+    k, a = displayed(F.col("kwh"), ENERGY), displayed(F.col("amount_gbp"), MONEY)
+    return g.select(
+        "band_label",
+        band_order(F.col("band_label")).cast("bigint").alias("place"),
+        k["exact"].alias("kwh_exact"),
+        k["display"].alias("kwh_display"),
+        a["exact"].alias("amount_exact"),
+        a["display"].alias("amount_display"),
+        share_percent(F.col("kwh"), F.sum("kwh").over(all_)).alias("kwh_percent"),
+        share_percent(F.col("amount_gbp"), F.sum("amount_gbp").over(all_), scale=16).alias("amount_percent"),
+        ratio(F.col("amount_gbp") * 100, F.col("kwh"), PRICE[1], 14).cast("decimal(20,3)").alias("pence_per_kwh"),
+        "least_pence",
+        "greatest_pence",
+    )

@@ -61,11 +61,52 @@ def ladder(base: DataFrame, wider: DataFrame) -> DataFrame:
     """(side, row_count, distinct_readings, households, members): the two sets side by side."""
 
     def one(df: DataFrame, side: str) -> DataFrame:
-        return df.agg(F.count("*").alias("row_count"), F.countDistinct(F.struct("household_id", "source_timestamp_text", signature())).alias("distinct_readings"), F.countDistinct("household_id").alias("households"), F.countDistinct("member_name").alias("members")).select(F.lit(side).alias("side"), "*")
+        per = df.groupBy(*LABEL, signature().alias("sig"), "member_name").agg(F.count("*").alias("n"))
+        houses = per.select("household_id").distinct().agg(F.count("household_id"))
+        members = per.select("member_name").distinct().agg(F.count("member_name"))
+        readings = per.groupBy(*LABEL, "sig").agg(F.sum("n").alias("n"))
+        return readings.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"), F.count("*").alias("distinct_readings")).select(F.lit(side).alias("side"), "*", houses.scalar().alias("households"), members.scalar().alias("members"))
 
     return one(base, "base").unionByName(one(wider, "wider"))
 
 
+def removed_sources(base: DataFrame, wider: DataFrame) -> DataFrame:
+    """Why a label the smaller set had settled is settled no more: its reason and each row the larger set holds at it.
+
+    Reasons: ``conflict``, ``no_number`` or ``absent`` (then without rows), one row a source row.
+    """
+    gone = removed(base, wider).select(*LABEL, F.col("kwh").alias("base_kwh"))
+    held = wider.where(F.col("household_id").isNotNull() & F.col("source_timestamp_text").isNotNull())
+    now = held.groupBy(*LABEL).agg((F.min(signature()) != F.max(signature())).alias("conflict"))
+    judged = gone.join(now, LABEL, "left").withColumn("reason", F.when(F.col("conflict").isNull(), "absent").when(F.col("conflict"), "conflict").otherwise("no_number"))
+    rows = held.select(*LABEL, "member_name", "source_record_no", "consumption_raw_text", "value_category")
+    return judged.drop("conflict").join(rows, LABEL, "left")
+
+
+def reason_counts(base: DataFrame, wider: DataFrame) -> DataFrame:
+    """(kind, reason, labels, kwh): added, removed by reason and changed labels, with what each adds to the total."""
+    zero = F.lit(0).cast("decimal(38,10)")
+    plus = added(base, wider).select(F.lit("added").alias("kind"), F.lit("settled").alias("reason"), F.col("kwh").alias("d"))
+    minus = removed_sources(base, wider).select(*LABEL, "reason", "base_kwh").distinct().select(F.lit("removed").alias("kind"), "reason", (-F.col("base_kwh")).alias("d"))
+    moved = changed(base, wider).select(F.lit("changed").alias("kind"), F.lit("value").alias("reason"), (F.col("kwh") - F.col("base_kwh")).alias("d"))
+    return plus.unionByName(minus).unionByName(moved).groupBy("kind", "reason").agg(F.count("*").alias("labels"), F.coalesce(F.sum("d"), zero).cast("decimal(38,10)").alias("kwh"))
+
+
+def report(base: DataFrame, wider: DataFrame) -> dict[str, DataFrame]:
+    """The sections of a comparison of two sets, by name; ``bundles.write_report`` turns them into files."""
+    return {
+        "ladder": ladder(base, wider),
+        "reasons": reason_counts(base, wider),
+        "reconciliation": reconciliation(base, wider),
+        "removed_sources": removed_sources(base, wider),
+        "supplied_by": supplied_by(base, wider),
+        "new_households": new_households(base, wider),
+        "repeated_readings": repeated_readings(base, wider),
+        "new_conflicts": new_conflicts(base, wider),
+        "resolved_conflicts": resolved_conflicts(base, wider),
+    }
+
+
 def supplied_by(base: DataFrame, wider: DataFrame) -> DataFrame:
     """Which member supplied each household's added labels, in one join instead of one query a household."""
     new = added(base, wider).select(*LABEL)

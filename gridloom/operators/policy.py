@@ -79,16 +79,21 @@ def label_agreement(readings: DataFrame) -> DataFrame:
     kind is ``conflict`` (several signatures), ``equivalent_representation`` (several texts of one
     signature) or ``exact_duplicate``.
     """
-    g = (
+    distinct = (
         readings.select(*LABEL, "member_name", "source_record_no", F.col("consumption_raw_text").alias("text"), signature().alias("sig"))
-        .groupBy(*LABEL)
+        .groupBy(*LABEL, "text", "sig", "member_name")
+        .agg(F.count("*").alias("n"), F.min("source_record_no").alias("no"))
+    )
+    # Distinct values meet map-side in sets: a label's texts are few, and repeats are gone by now.
+    g = (
+        distinct.groupBy(*LABEL)
         .agg(
-            F.count("*").alias("rows_raw"),
-            F.countDistinct("text").alias("distinct_texts"),
-            F.countDistinct("sig").alias("distinct_signatures"),
-            F.countDistinct("member_name").alias("members_involved"),
+            F.sum("n").alias("rows_raw"),
+            F.size(F.collect_set("text")).cast("bigint").alias("distinct_texts"),
+            F.size(F.collect_set("sig")).cast("bigint").alias("distinct_signatures"),
+            F.size(F.collect_set("member_name")).cast("bigint").alias("members_involved"),
             F.min("member_name").alias("first_member"),
-            F.min("source_record_no").alias("first_record_no"),
+            F.min("no").alias("first_record_no"),
             joined("text").alias("texts"),
         )
         .where("rows_raw > 1")
@@ -99,14 +104,13 @@ def label_agreement(readings: DataFrame) -> DataFrame:
 
 def dataset_summary(readings: DataFrame) -> DataFrame:
     """One row on a whole table: rows, households with and without the variable group, members, label span."""
-    return readings.agg(
-        F.count("*").alias("row_count"),
-        F.countDistinct("household_id").alias("households"),
-        F.countDistinct(F.when(F.col("tariff_group") == "ToU", F.col("household_id"))).alias("variable_households"),
-        F.countDistinct("member_name").alias("members"),
-        F.min("observed_at_naive").alias("first_at"),
-        F.max("observed_at_naive").alias("last_at"),
-    )
+    per = readings.groupBy("household_id", "member_name").agg(F.count("*").alias("n"), F.max((F.coalesce("tariff_group", F.lit("")) == "ToU").cast("int")).alias("v"), F.min("observed_at_naive").alias("a"), F.max("observed_at_naive").alias("b"))
+    houses = per.groupBy("household_id").agg(F.max("v").alias("v")).where(F.col("household_id").isNotNull()).agg(F.count("*").alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v"))
+    members = per.select("member_name").distinct().agg(F.count("member_name"))
+    # Rows come down to households and members before anything is counted as distinct.
+    return per.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"), F.min("a").alias("first_at"), F.max("b").alias("last_at")
+    ).select("row_count", houses.select("n").scalar().alias("households"), houses.select("v").scalar().alias("variable_households"), members.scalar().alias("members"), "first_at", "last_at")
 
 
 def quality_summary(readings: DataFrame) -> DataFrame:

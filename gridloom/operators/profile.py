@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.text import strip
+from gridloom.operators.analytics import small
 from gridloom.operators.policy import RAW_KEY
 from gridloom.operators.rejects import FINITE, LOADER_FORMAT
+from gridloom.storage import materialize
 
 NON_FINITE = r"(?i)^[+-]?(?:inf|infinity|s?nan[0-9]*)$"
 
@@ -72,26 +74,41 @@ def collision_stats(readings: DataFrame) -> DataFrame:
 def nearest_rank_percentiles(readings: DataFrame, percents: tuple[int, ...] = (1, 5, 25, 50, 75, 95, 99)) -> DataFrame:
     """(percent, rank, value): the observed value at rank ceil(p n / 100), exact.
 
-    Ranks come from running counts over distinct values in two levels: value cells, then the
-    values inside a cell, so the column is never sorted in one task.
+    Ranks come from running counts over distinct values in two levels: ranges of a range
+    partitioning, one summary row each, then the values inside a range, so the column is never
+    sorted in one task.
     """
     values = readings.where(F.col("consumption_kwh").isNotNull()).groupBy("consumption_kwh").agg(F.count("*").alias("n"))
-    cut = values.withColumn("cell", F.floor(F.col("consumption_kwh") * 100).cast("decimal(38,0)"))
-    cells = cut.groupBy("cell").agg(F.sum("n").alias("c"))
-    # Cells of one hundredth of a unit: few for measurements, whatever the number of rows.
-    before = cells.select("cell", F.coalesce(F.sum("c").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    upto = F.col("before") + F.sum("n").over(Window.partitionBy("cell").orderBy("consumption_kwh").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = cut.join(before, "cell").select("consumption_kwh", upto.alias("upto"), "n")
-    ranked = ranked.withColumn("total", values.agg(F.sum("n")).scalar())
+    placed = materialize(values.repartitionByRange("consumption_kwh").withColumn("part", F.spark_partition_id()), "values")
+    parts = placed.groupBy("part").agg(F.sum("n").alias("c"))
+    before = parts.select("part", F.coalesce(F.sum("c").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("c").over(Window.partitionBy(F.lit(1))).alias("total"))
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy("part").orderBy("consumption_kwh").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = placed.join(small(before), "part").select("consumption_kwh", upto.alias("upto"), "n", "total")
     wanted = F.array(*[F.struct(F.lit(p).cast("bigint").alias("percent"), F.ceil(F.lit(p) * F.col("total") / 100).alias("rank")) for p in percents])
     hit = lambda w: (w["rank"] <= F.col("upto")) & (w["rank"] > F.col("upto") - F.col("n"))
     return ranked.select(F.inline(F.filter(wanted, hit)), F.col("consumption_kwh").alias("value"))
 
 
+def interquartile_range(readings: DataFrame) -> DataFrame:
+    """One row: nearest-rank quartiles and their difference, exact; no row without values."""
+    p = nearest_rank_percentiles(readings, (25, 75)).agg(F.max(F.when(F.col("percent") == 25, F.col("value"))).alias("q25"), F.max(F.when(F.col("percent") == 75, F.col("value"))).alias("q75"))
+    return p.where("q25 is not null").select("q25", "q75", (F.col("q75") - F.col("q25")).cast("decimal(38,10)").alias("iqr"))
+
+
 def distribution(readings: DataFrame) -> DataFrame:
-    """One row: count, least, greatest, range, exact sum and mean of the finite values (mean to 9 places, half even)."""
+    """One row: count, least, greatest, range, exact sum and mean of the finite values.
+
+    The mean has 9 places, rounded half even from the exact sum: the quotient is taken in integers.
+    """
     v = F.col("consumption_kwh")
-    return readings.agg(F.count(v).alias("finite_values"), F.min(v).alias("least"), F.max(v).alias("greatest"), (F.max(v) - F.min(v)).cast("decimal(38,10)").alias("value_range"), F.sum(v).alias("total"), F.bround(F.sum(v).cast("double") / F.count(v), 6).alias("mean"))
+    one = readings.agg(F.count(v).alias("finite_values"), F.min(v).alias("least"), F.max(v).alias("greatest"), (F.max(v) - F.min(v)).cast("decimal(38,10)").alias("value_range"), F.sum(v).alias("total"))
+    # The sum in units of 10^-10, divided by ten counts: the integer part is the mean in units of 10^-9.
+    units, by = (F.abs("total") * F.lit(10**10).cast("decimal(11,0)")).cast("decimal(38,0)"), (F.nullif("finite_values", F.lit(0)) * 10).cast("decimal(20,0)")
+    whole = F.floor(units / by).cast("decimal(38,0)")
+    twice = (units - whole * by) * 2
+    up = F.when((twice > by) | ((twice == by) & (whole % 2 == 1)), 1).otherwise(0)
+    mean = (F.when(F.col("total") < 0, -1).otherwise(1) * (whole + up)).cast("decimal(28,0)") * F.lit("0.000000001").cast("decimal(9,9)")
+    return one.select("*", mean.cast("decimal(28,9)").alias("mean"))
 
 
 def extreme_values(readings: DataFrame, limit: int = 5, largest: bool = True) -> DataFrame:

@@ -262,7 +262,7 @@ ORACLES = {
     "duplicate_stats": "SELECT count(*) AS groups, CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS extra_rows, CAST(coalesce(sum(n), 0) AS BIGINT) AS rows_involved FROM (SELECT count(*) AS n FROM readings GROUP BY household_id, tariff_group, source_timestamp_text, consumption_raw_text HAVING count(*) > 1)",
     "collision_stats": "SELECT count(*) AS keys, CAST(coalesce(sum(n), 0) AS BIGINT) AS rows_involved, count(*) FILTER (v > 1 OR t > 1) AS disagreeing_keys FROM (SELECT count(*) AS n, count(DISTINCT coalesce('num:' || CAST(consumption_kwh AS VARCHAR), 'raw:' || consumption_raw_text)) AS v, count(DISTINCT tariff_group) AS t FROM readings GROUP BY household_id, source_timestamp_text HAVING count(*) > 1)",
     "nearest_rank_percentiles": "WITH v AS (SELECT consumption_kwh AS value, row_number() OVER (ORDER BY consumption_kwh) AS rn, count(*) OVER () AS n FROM readings WHERE consumption_kwh IS NOT NULL), p AS (SELECT CAST(unnest([1, 5, 25, 50, 75, 95, 99]) AS BIGINT) AS percent) SELECT percent, rn AS rank, value FROM v, p WHERE rn = (percent * n + 99) // 100",
-    "distribution": "SELECT count(consumption_kwh) AS finite_values, min(consumption_kwh) AS least, max(consumption_kwh) AS greatest, CAST(max(consumption_kwh) - min(consumption_kwh) AS DECIMAL(38,10)) AS value_range, sum(consumption_kwh) AS total, round(CAST(sum(consumption_kwh) AS DOUBLE) / count(consumption_kwh), 6) AS mean FROM readings",
+    "distribution": "SELECT count(consumption_kwh) AS finite_values, min(consumption_kwh) AS least, max(consumption_kwh) AS greatest, CAST(max(consumption_kwh) - min(consumption_kwh) AS DECIMAL(38,10)) AS value_range, sum(consumption_kwh) AS total, CAST(CASE WHEN count(consumption_kwh) > 0 THEN round(CAST(sum(consumption_kwh) AS DOUBLE) / count(consumption_kwh), 9) END AS DECIMAL(28,9)) AS mean FROM readings",
     "extreme_values": "SELECT source_record_no, household_id, consumption_kwh FROM readings WHERE consumption_kwh IS NOT NULL ORDER BY consumption_kwh DESC, source_record_no LIMIT 5",
     "group_values": "SELECT tariff_group, count(*) AS row_count, count(DISTINCT household_id) AS households FROM readings GROUP BY 1",
     "member_profile": "SELECT archive_name, member_name, count(*) AS row_count, count(DISTINCT household_id) AS households, min(observed_at_naive) AS first_at, max(observed_at_naive) AS last_at, count(consumption_kwh) AS finite_values, sum(consumption_kwh) AS total_kwh FROM readings GROUP BY 1, 2",

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from gridloom.plans import problems, reference
+from gridloom.plans import problems, reference, reports
 
-_MODULES = [problems, reference]
+_MODULES = [problems, reference, reports]
 
 
 def queries() -> dict:

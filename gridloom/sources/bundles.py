@@ -8,6 +8,7 @@ import hashlib
 import json
 import os
 import pathlib
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -74,3 +75,35 @@ def verify_bundle(folder: str) -> list[str]:
         elif hashlib.sha256(path.read_bytes()).hexdigest() != entry["sha256"]:
             problems.append(f"{name}: changed")
     return problems
+
+
+def write_report(folder: str, title: str, sections: dict[str, tuple[DataFrame, list[str]]]) -> dict:
+    """A report as JSON sections with a manifest and as one Markdown page beside them.
+
+    ``sections`` names (rows, order) pairs; each is refused above ``MOST_ROWS`` rows, not cut.
+    """
+    rows = {name: section(df, order) for name, (df, order) in sections.items()}
+    manifest = write_bundle(folder, rows)
+    lines = [f"# {title}", ""]
+    for name, own in rows.items():
+        lines += [f"## {name}", "", f"{len(own)} row(s)", ""]
+        if own:
+            lines += ["| " + " | ".join(own[0]) + " |", "|" + "-|" * len(own[0])]
+            lines += ["| " + " | ".join("" if v is None else str(v).replace("|", "\\|").replace("\n", " ") for v in r.values()) + " |" for r in own] + [""]
+    write_atomically(f"{folder}/report.md", "\n".join(lines).encode())
+    return manifest
+
+
+def snapshot(source: str, target: str) -> dict[str, str]:
+    """Copy a folder warehouse whole, under a temporary name that is renamed last; returns the SHA-256 of each file.
+
+    The target must not exist yet: a snapshot is never mixed with another.
+    """
+    if os.path.exists(target):
+        raise FileExistsError(target)
+    beside = f"{target}.part"
+    shutil.rmtree(beside, ignore_errors=True)
+    shutil.copytree(source, beside)
+    seen = {str(p.relative_to(beside)): hashlib.sha256(p.read_bytes()).hexdigest() for p in sorted(pathlib.Path(beside).rglob("*")) if p.is_file()}
+    os.rename(beside, target)
+    return seen
