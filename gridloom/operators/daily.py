@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.operators.policy import signature
-
 
 def daily_records(readings: DataFrame) -> DataFrame:
     """Per household and source date: on-grid intervals with a value, rows without one, off-grid rows, conflict, exact kWh.
@@ -15,11 +13,14 @@ def daily_records(readings: DataFrame) -> DataFrame:
     total counts each distinct value of an on-grid label once.
     """
     dated = readings.where(F.col("observed_at_naive").isNotNull() & F.col("household_id").isNotNull())
-    values = (
-        dated.groupBy("household_id", "observed_at_naive", F.coalesce("on_half_hour_grid", F.lit(False)).alias("grid"), signature().alias("sig"), "consumption_kwh").agg(F.count("*").alias("n"))
-    )
+    values = dated.groupBy(
+        "household_id", "observed_at_naive", F.coalesce("on_half_hour_grid", F.lit(False)).alias("grid"), "consumption_kwh", F.when(F.col("consumption_kwh").isNull(), F.col("value_category")).alias("category")
+    ).agg(F.count("*").alias("n"))
+    # Signatures differ if two values do, two categories without a value, or one has a value and one has none.
+    both = (F.count("consumption_kwh") > 0) & (F.count("category") > 0)
+    conflict = F.coalesce(F.min("consumption_kwh") != F.max("consumption_kwh"), F.lit(False)) | F.coalesce(F.min("category") != F.max("category"), F.lit(False)) | both
     labels = values.groupBy("household_id", "observed_at_naive", "grid").agg(
-        F.sum("n").alias("n"), F.sum(F.when(F.col("consumption_kwh").isNull(), F.col("n")).otherwise(0)).alias("blank"), (F.min("sig") != F.max("sig")).alias("conflict"), F.sum("consumption_kwh").alias("kwh")
+        F.sum("n").alias("n"), F.sum(F.when(F.col("consumption_kwh").isNull(), F.col("n")).otherwise(0)).alias("blank"), conflict.alias("conflict"), F.sum("consumption_kwh").alias("kwh")
     )
     return labels.groupBy("household_id", F.to_date("observed_at_naive").alias("source_date")).agg(
         F.sum(F.when(F.col("grid"), F.col("kwh"))).cast("decimal(38,10)").alias("kwh"),

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F
 
 from gridloom.operators import analytics, expansion, profile, review, terrain
-from gridloom.plans import reference
+from gridloom.plans import problems, reference
 from gridloom.sources import contract
 from gridloom.sources.tables import table
+from gridloom.storage import session_dir
+from gridloom.streaming import ingest
 
 HOUSEHOLD, START, END = "HH0000042", dt.date(2015, 2, 1), dt.date(2015, 4, 30)
 FACT, SCHEDULE = reference.FACT, "dim_tariff_band_schedule"
@@ -31,7 +34,17 @@ def _checks(s, d):
     return terrain.checks(reference._cells(s, d), _fact(s, d), table(s, d, SCHEDULE))
 
 
+def _streamed(spark, d):
+    """The raw records read as a stream, judged, written and read again: the rejected ones with their reason."""
+    root = f"{session_dir(spark)}/stream-{uuid.uuid4().hex}"
+    raw = ingest.raw_stream(spark, f"{d}/raw_records.parquet*")
+    ingest.to_tables(ingest.judged_stream(raw), root, f"{root}/checkpoint").awaitTermination()
+    rejected = spark.read.schema(f"{ingest.RAW}, fields array<string>, reason string").option("recursiveFileLookup", "true").parquet(f"{root}/rejected*")
+    return rejected.select("source_record_no", "reason")
+
+
 QUERIES = {
+    "stream_rejects": _streamed,
     "quality_record": lambda s, d: review.quality_record(_r(s, d)),
     "review_status": lambda s, d: review.review_status(review.quality_record(_r(s, d))),
     "day_report": lambda s, d: review.day_report(_r(s, d)),
@@ -100,6 +113,7 @@ why AS (SELECT g.household_id, g.source_timestamp_text, g.kwh AS base_kwh, CASE
 _CHECK = lambda name, a, b: f"SELECT '{name}' AS \"check\", CAST({a} AS VARCHAR) AS \"left\", CAST({b} AS VARCHAR) AS \"right\", CAST({a} AS VARCHAR) = CAST({b} AS VARCHAR) AS holds FROM c, f"
 
 ORACLES = {
+    "stream_rejects": problems.ORACLES["p3_found"].replace(" UNION ALL SELECT source_record_no, source_fields FROM rejected_records WHERE reason IS NULL", ""),
     "quality_record": _QUALITY + "SELECT * FROM quality",
     "review_status": _QUALITY
     + """SELECT household_id, CASE WHEN conflicting_keys > 0 THEN 'blocking' WHEN null_tokens + gaps + conflicting_keys + off_grid_observations > 0 THEN 'review' ELSE 'clear' END AS level, null_tokens + gaps + conflicting_keys + off_grid_observations AS items,
