@@ -1,13 +1,13 @@
 """Spikes, stuck runs and impossible values per source (problem 5).
 
 A robust AR(1) is fitted per source: values are standardised by the source's median and
-interquartile range, winsorised, and regressed on their predecessor. Additive-outlier tests run until a pass flags nothing new, each against neighbours cleaned of all outliers so far; a
+interquartile range, phi comes from the median step between neighbours. Additive-outlier tests run until a pass flags nothing new, each against neighbours cleaned of all outliers so far; a
 value whose neighbours stay at its level is a level shift, not an outlier, so a run of 6 or more
 readings at one level is ordinary and one of up to 5 is not. What the tests leave as ordinary fixes
 the source's highest ordinary value, against which the exact rule decides.
 
 No step gathers a source in one task: window work runs per (source, time shard), each shard with a
-few readings of its neighbours as a halo, and what crosses shards afterwards is flagged rows, shard maxima and at most two boundary runs a shard, which are
+day of its neighbours as a halo, and what crosses shards afterwards is flagged rows, shard maxima and at most two boundary runs a shard, which are
 joined across shards where a value goes on.
 """
 
@@ -19,70 +19,62 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.timeline import floor_div, from_micros, stamp
+from gridloom.operators.analytics import small
 from gridloom.storage import materialize
 
 DAY_US = 86_400_000_000
 REACH = 5
+FIRST_PASSES = 3
 
 
 def _sharded(usable: DataFrame, shard_us: int) -> DataFrame:
-    """The readings with their shard, the value before them in it and their places from its start and from its end."""
-    shard = Window.partitionBy("household_id", "shard")
-    forth, back = shard.orderBy("at_us", "kwh"), shard.orderBy(F.desc("at_us"), F.desc("kwh"))
-    src = usable.select("household_id", floor_div(F.col("at_us"), shard_us).alias("shard"), "at_us", "kwh")
-    return src.withColumns({"prev": F.lag("kwh").over(forth), "first": F.row_number().over(forth), "last": F.row_number().over(back)})
+    """The readings with the time shard they lie in."""
+    return usable.select("household_id", floor_div(F.col("at_us"), shard_us).alias("shard"), "at_us", "kwh")
 
 
-def _fitted(src: DataFrame, least: int) -> DataFrame:
-    """(household_id, shard, mid, unit, phi) of sources with ``least`` readings: level, scale and AR(1) of the whole source.
+def _with_halo(src: DataFrame, shard_us: int, halo_us: int = DAY_US, only: DataFrame | None = None) -> DataFrame:
+    """The readings, and as ``halo`` rows those within ``halo_us`` of a shard's end once more in the shard beyond it.
 
-    phi is regressed over all of a source's readings on the ones before them, both winsorised; each
-    shard sums for itself first. Fits go to the readings by (source, shard), never by source alone.
+    One shuffle by (source, shard), which all that follows reads; of the shards in ``only``, if given.
     """
-    level = src.groupBy("household_id").agg(F.count("*").alias("total"), F.percentile_approx(F.col("kwh").cast("double"), [0.25, 0.5, 0.75], 2000).alias("q")).where(F.col("total") >= least)
-    levels = (
-        src.select("household_id", "shard")
-        .distinct()
-        .join(level, "household_id")
-        .select(
-            "household_id",
-            "shard",
-            F.col("q")[1].alias("mid"),
-            F.greatest((F.col("q")[2] - F.col("q")[0]) / 1.349, F.abs(F.col("q")[1]) * 0.05, F.lit(1e-6)).alias("unit"),
-        )
-    )
-    z = lambda c: F.greatest(F.lit(-3.0), F.least(F.lit(3.0), (F.col(c).cast("double") - F.col("mid")) / F.col("unit")))
-    pairs = src.where(F.col("prev").isNotNull()).join(levels, ["household_id", "shard"])
-    slope = pairs.groupBy("household_id").agg((F.sum(z("kwh") * z("prev")) / F.nullif(F.sum(z("prev") * z("prev")), F.lit(0.0))).alias("slope"))
-    phi = F.greatest(F.lit(0.0), F.least(F.lit(0.95), F.coalesce("slope", F.lit(0.0)))).alias("phi")
-    return levels.join(slope, "household_id", "left").select("household_id", "shard", "mid", "unit", phi)
+    at = F.col("at_us") - F.col("shard") * shard_us
+    beyond = F.filter(F.array(F.lit(0), F.when(at < halo_us, F.lit(-1)), F.when(at >= shard_us - halo_us, F.lit(1))), lambda k: k.isNotNull())
+    x = src.select("household_id", "shard", "at_us", "kwh", F.explode(beyond).alias("side"))
+    x = x.select("household_id", (F.col("shard") + F.col("side")).alias("shard"), "at_us", "kwh", (F.col("side") != 0).alias("halo"))
+    x = x if only is None else x.join(small(only), ["household_id", "shard"], "left_semi")
+    return x.repartition("household_id", "shard")
 
 
-def _with_halo(src: DataFrame, reach: int) -> DataFrame:
-    """The readings, and as ``halo`` rows the ``reach`` last ones of the shard before and first ones of the next."""
-    own = src.withColumn("halo", F.lit(False))
-    sides = F.filter(F.array(F.when(F.col("first") <= reach, F.col("shard") - 1), F.when(F.col("last") <= reach, F.col("shard") + 1)), lambda k: k.isNotNull())
-    ends = src.where((F.col("first") <= reach) | (F.col("last") <= reach)).withColumn("to", F.explode(sides))
-    return own.unionByName(ends.withColumn("shard", F.col("to")).withColumn("halo", F.lit(True)).drop("to"))
+def _fitted(base: DataFrame, least: int) -> DataFrame:
+    """(household_id, shard, mid, unit, phi) of sources with ``least`` readings: level, scale and AR(1) of the whole source.
+
+    Fitted robustly: the scale from the quartiles of the values, phi from how much smaller than
+    theirs the spread of the steps between neighbours is (its square is 2 (1 - phi) of theirs under an
+    AR(1)), by the median of the steps' sizes. Fits go to the readings by (source, shard), never by source alone.
+    """
+    v = F.col("kwh").cast("double")
+    own = base.where(~F.col("halo")).select("household_id", "shard", v.alias("v"), F.abs(v - F.lag(v).over(Window.partitionBy("household_id", "shard").orderBy("at_us", "kwh"))).alias("step"))
+    level = own.groupBy("household_id").agg(F.count("*").alias("total"), F.percentile_approx("v", [0.25, 0.5, 0.75], 2000).alias("q"), F.percentile_approx("step", 0.5, 2000).alias("step")).where(F.col("total") >= least)
+    unit = F.greatest((F.col("q")[2] - F.col("q")[0]) / 1.349, F.abs(F.col("q")[1]) * 0.05, F.lit(1e-6))
+    phi = 1 - F.pow(F.coalesce("step", F.lit(0.0)) / 0.6745 / unit, 2) / 2
+    fit = level.select("household_id", F.col("q")[1].alias("mid"), unit.alias("unit"), F.greatest(F.lit(0.0), F.least(F.lit(0.95), phi)).alias("phi"))
+    return own.select("household_id", "shard").distinct().join(fit, "household_id")
 
 
-def _tested(src: DataFrame, fits: DataFrame, outlier: float, shift: int, passes: int, only: DataFrame | None = None) -> DataFrame:
+def _tested(base: DataFrame, fits: DataFrame, outlier: float, shift: int, passes: int) -> DataFrame:
     """Every usable reading of fitted sources, with its run, its outlier flag and whether the last pass set it.
 
-    ``only`` names the shards to test, where not all are. Neighbours over a shard's end are halo
+    Neighbours over a shard's end are halo
     rows; beyond those a neighbour is taken to be at the source's median.
     """
     w = Window.partitionBy("household_id", "shard").orderBy("at_us", "kwh")
-    x = _with_halo(src, 2 * shift)
-    x = x if only is None else x.join(only, ["household_id", "shard"], "left_semi")
-    x = x.join(fits, ["household_id", "shard"]).select(
+    x = base.join(fits, ["household_id", "shard"]).select(
         "household_id",
         "shard",
         "at_us",
         "kwh",
         "halo",
         "phi",
-        F.coalesce(F.col("prev") != F.col("kwh"), F.lit(True)).cast("int").alias("starts"),
         F.col("kwh").cast("double").alias("v"),
         ((F.col("kwh").cast("double") - F.col("mid")) / F.col("unit")).alias("z"),
     )
@@ -90,6 +82,8 @@ def _tested(src: DataFrame, fits: DataFrame, outlier: float, shift: int, passes:
         "*",
         F.coalesce(F.lag("z").over(w), F.lit(0.0)).alias("z0"),
         F.coalesce(F.lead("z").over(w), F.lit(0.0)).alias("z1"),
+        # A shard's runs begin anew at its first own row.
+        F.coalesce((F.lag("kwh").over(w) != F.col("kwh")) | F.lag("halo").over(w), F.lit(True)).cast("int").alias("starts"),
         *[F.lag("v", k).over(w).alias(f"b{k}") for k in range(1, REACH + 1)],
         *[F.lead("v", k).over(w).alias(f"f{k}") for k in range(1, REACH + 1)],
     )
@@ -148,16 +142,17 @@ def implausible(
     reading both impossible and stuck gives one row of each kind. Ties at one instant are taken in
     order of value. An empty input gives no rows. The distinct readings, and later the flagged rows,
     are written once to the shared folder, since several steps read them. The outlier tests take
-    twice ``shift`` passes, and twice as many again in the shards where the last one flags a reading.
+    ``FIRST_PASSES`` passes, and twice as many again in the shards where the last one flags a reading.
     """
     src = materialize(_sharded(usable, shard_us), "usable")
-    fits = materialize(_fitted(src, least), "fits")
-    passes = max(2, 2 * shift)
-    kept = _flagged(_tested(src, fits, outlier, shift, passes), low, high, stuck_run)
+    base = _with_halo(src, shard_us)
+    fits = materialize(_fitted(base, least), "fits")
+    passes = FIRST_PASSES
+    kept = _flagged(_tested(base, fits, outlier, shift, passes), low, high, stuck_run)
     while not kept.where("late").isEmpty():
         open_shards = kept.where("late").select("household_id", "shard").distinct()
         passes *= 2
-        again = _flagged(_tested(src, fits, outlier, shift, passes, open_shards), low, high, stuck_run)
+        again = _flagged(_tested(_with_halo(src, shard_us, only=open_shards), fits, outlier, shift, passes), low, high, stuck_run)
         kept = kept.join(open_shards, ["household_id", "shard"], "left_anti").unionByName(again)
     runs = kept.where("edge").groupBy("household_id", "shard", "run").agg(F.first("kwh").alias("kwh"), F.first("run_n").alias("run_n"))
     scan = Window.partitionBy("household_id").orderBy("shard", "run")

@@ -42,10 +42,11 @@ def test_shards_the_first_passes_leave_open_are_tested_again(spark):
     """Two passes leave the staircase open; testing its shard again, alone, gives what enough passes give."""
     data = [("a", k, round(0.3 + 0.2 * math.sin(2 * math.pi * k / 48), 4)) for k in range(600)] + [("a", 600 + j, v) for j, v in enumerate((9.0, 5.5, 3.4, 2.1, 1.6))] + [("a", k, 0.3) for k in range(605, 1300)]
     src = spikes._sharded(spark.createDataFrame(data, "household_id string, at_us bigint, kwh double").withColumn("kwh", F.col("kwh").cast("decimal(28,10)")), 10_000)
-    fits = spikes._fitted(src, 20)
-    few, many = (spikes._tested(src, fits, 4.0, 5, n) for n in (2, 10))
+    base = spikes._with_halo(src, 10_000, 100)
+    fits = spikes._fitted(base, 20)
+    few, many = (spikes._tested(base, fits, 4.0, 5, n) for n in (2, 10))
     assert few.where("late").count() > 0 and many.where("late").count() == 0
-    one = spikes._tested(src, fits, 4.0, 5, 10, src.select("household_id", "shard").distinct())
+    one = spikes._tested(spikes._with_halo(src, 10_000, 100, src.select("household_id", "shard").distinct()), fits, 4.0, 5, 10)
     assert one.where("outlying").count() == many.where("outlying").count() == 5
 
 
