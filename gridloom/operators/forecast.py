@@ -110,12 +110,15 @@ def origins(days: DataFrame, s: Schedule) -> DataFrame:
 
 
 def wide_cases(days: DataFrame, s: Schedule) -> DataFrame:
-    """(household_id, split, origin, horizon, target_date, actual, one column a model) of the main experiment."""
+    """(household_id, split, origin, horizon, target_date, actual, one column a model, sees_holdout) of the main experiment.
+
+    sees_holdout tells whether the origin, the latest day a model may use, lies in the holdout.
+    """
 
     def case(o: Column, h: int) -> Column:
         made = _predictions(o["origin"], h, s.weeks, F.col("run.start"))
         target = F.date_add(o["origin"], h)
-        return F.struct(o["split"].alias("split"), o["origin"].alias("origin"), F.lit(h).cast("bigint").alias("horizon"), target.alias("target_date"), _on(target)["kwh"].alias("actual"), *[c.alias(n) for n, c in made.items()])
+        return F.struct(o["split"].alias("split"), o["origin"].alias("origin"), F.lit(h).cast("bigint").alias("horizon"), target.alias("target_date"), _on(target)["kwh"].alias("actual"), *[c.alias(n) for n, c in made.items()], (o["origin"] >= F.date_sub(F.col("run.end"), s.holdout - 1)).alias("sees_holdout"))
 
     every = F.flatten(F.transform(_main_origins(s), lambda o: F.array(*[case(o, h) for h in range(1, s.horizon + 1)])))
     return series(days, s).select("household_id", F.inline(every))
@@ -243,15 +246,15 @@ def exclusions(cases: DataFrame) -> DataFrame:
     return cases.groupBy("split", "model", F.coalesce("excluded_reason", F.lit("scored")).alias("reason")).agg(F.count("*").alias("cases"))
 
 
-def split_counts(wide: DataFrame, s: Schedule) -> DataFrame:
+def split_counts(wide: DataFrame) -> DataFrame:
     """Per split: households, origins, distinct targets and target dates, repeated targets, and cases
-    whose history reaches into the holdout.
+    whose inputs reach into the holdout.
 
     Counted in two levels: per household first, where nothing repeats across households.
     """
-    per = wide.groupBy("split", "household_id").agg(F.collect_set("origin").alias("o"), F.collect_set("target_date").alias("t"), F.count("*").alias("n"))
+    per = wide.groupBy("split", "household_id").agg(F.collect_set("origin").alias("o"), F.collect_set("target_date").alias("t"), F.count("*").alias("n"), F.count_if("sees_holdout").alias("seen"))
     dates = per.select("split", F.explode("t").alias("date")).distinct().groupBy("split").agg(F.count("*").alias("target_dates"))
-    counts = per.groupBy("split").agg(F.count("*").alias("households"), F.sum(F.size("o")).alias("origins"), F.sum(F.size("t")).alias("targets"), F.sum(F.col("n") - F.size("t")).alias("repeated_targets"))
+    counts = per.groupBy("split").agg(F.count("*").alias("households"), F.sum(F.size("o")).alias("origins"), F.sum(F.size("t")).alias("targets"), F.sum(F.col("n") - F.size("t")).alias("repeated_targets"), F.sum("seen").alias("holdout_inputs"))
     return counts.join(dates, "split")
 
 

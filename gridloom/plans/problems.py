@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gridloom.operators import copies, instants, regular, rejects, rolling, spikes
 from gridloom.operators.usable import usable_readings
+from gridloom.plans.zones_sql import P7_SQL
 from gridloom.sources.tables import table
 
 FACT, REPLICA = "fact_interval_charge_scenario", "fact_interval_charge_replica"
@@ -158,6 +159,7 @@ ORACLES = {
     "p3_details": _P3_SQL + _P3_DETAIL,
     "p3_loaded": _P3_SQL + _P3_LOADED,
     "p5_found": _P5_SQL,
+    "p7_found": P7_SQL,
     "p6_found": _SLOTS_SQL
     + """SELECT household_id, strftime(before + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S') AS gap_start, strftime(slot - INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S') AS gap_end
  FROM (SELECT *, lag(slot) OVER (PARTITION BY household_id ORDER BY slot) AS before FROM slots) WHERE slot > before + INTERVAL 30 MINUTE""",

@@ -123,7 +123,7 @@ _Q = {
     "archives_share_labels": lambda s, d: digests.shared_keys(_r(s, d).where(F.col("archive_name") == BASE_ARCHIVE), _r(s, d).where(F.col("archive_name") != BASE_ARCHIVE), ["household_id", "source_timestamp_text"]),
     "fact_not_unique": lambda s, d: digests.not_unique(_fact(s, d), ["household_id", "source_timestamp_text"]),
     "fact_null_counts": lambda s, d: digests.null_counts(_fact(s, d), FACT_COLUMNS),
-    "bands_not_accepted": lambda s, d: digests.not_accepted(_fact(s, d), "band_label", ["Low", "Normal"]),
+    "bands_not_accepted": lambda s, d: digests.not_accepted(_fact(s, d), "band_label", ["Low", "Normal", "High"]),
     "fk_violations": lambda s, d: digests.orphans(_r(s, d), _sched(s, d), "observed_at_naive", "schedule_label_naive"),
     "fact_fk_violations": lambda s, d: digests.orphans(_fact(s, d), _sched(s, d), "observed_at_naive", "schedule_label_naive"),
     "accounting_membership": lambda s, d: digests.membership(policy.distinct_raw_readings(_r(s, d)), _fact(s, d).join(_r(s, d).select("household_id", "source_timestamp_text", "consumption_raw_text"), ["household_id", "source_timestamp_text"]), policy.RAW_KEY),
@@ -152,7 +152,7 @@ def _scheduled(intervals: int, zero_intervals: int, schedule: forecast.Schedule,
         "forecast_mae": lambda s, d: forecast.errors(forecast.backtest(days(s, d), schedule), ["split", "model", "horizon"]),
         "forecast_common_frame": lambda s, d: forecast.errors(forecast.common_frame(forecast.wide_cases(days(s, d), schedule)), ["model"]),
         "forecast_exclusions": lambda s, d: forecast.exclusions(forecast.backtest(days(s, d), schedule)),
-        "forecast_split_counts": lambda s, d: forecast.split_counts(forecast.wide_cases(days(s, d), schedule), schedule),
+        "forecast_split_counts": lambda s, d: forecast.split_counts(forecast.wide_cases(days(s, d), schedule)),
         "forecast_overlap": lambda s, d: forecast.overlap(written(s, d), schedule),
         "cohort_composition": lambda s, d: forecast.cohort_composition(_r(s, d), days(s, d), schedule),
         "forecast_wide": lambda s, d: _rounded(forecast.observed_vs_predicted(forecast.wide_cases(days(s, d), schedule)), "actual", *forecast.MODELS),
@@ -318,7 +318,7 @@ ORACLES |= {
     "fact_totals_by_band": f"SELECT band_label AS key, count(*) AS row_count, CAST(sum(consumption_kwh) AS VARCHAR) AS kwh, CAST(sum(energy_charge_gbp) AS VARCHAR) AS amount FROM {_FACT} GROUP BY 1",
     "fact_not_unique": f"SELECT household_id, source_timestamp_text, count(*) AS row_count FROM {_FACT} GROUP BY 1, 2 HAVING count(*) > 1",
     "fact_null_counts": " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) FILTER ({c} IS NULL) AS nulls FROM {_FACT}" for c in FACT_COLUMNS),
-    "bands_not_accepted": f"SELECT band_label AS value, count(*) AS row_count FROM {_FACT} WHERE band_label NOT IN ('Low', 'Normal') GROUP BY 1",
+    "bands_not_accepted": f"SELECT band_label AS value, count(*) AS row_count FROM {_FACT} WHERE band_label NOT IN ('Low', 'Normal', 'High') GROUP BY 1",
     "fk_violations": "SELECT DISTINCT observed_at_naive AS key FROM readings WHERE observed_at_naive IS NOT NULL AND observed_at_naive NOT IN (SELECT schedule_label_naive FROM dim_tariff_band_schedule)",
     "accounting_membership": f"""WITH a AS (SELECT household_id, tariff_group, source_timestamp_text, consumption_raw_text FROM readings), b AS (SELECT f.household_id, f.tariff_group, f.source_timestamp_text, r.consumption_raw_text FROM {_FACT} f JOIN readings r ON r.household_id = f.household_id AND r.source_timestamp_text = f.source_timestamp_text)
  SELECT *, 'unaccounted' AS side FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT *, 'unexpected' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""",
@@ -394,7 +394,7 @@ prior AS (SELECT w.*, coalesce(CASE WHEN t.household_id IS NULL THEN 'absent' EN
         "forecast_common_frame": cases
         + "SELECT model, count(*) AS scored, round(avg(abs_error), 6) AS mae, round(median(abs_error), 6) AS median_ae FROM cases WHERE (household_id, origin, horizon) IN (SELECT (household_id, origin, horizon) FROM cases WHERE abs_error IS NOT NULL GROUP BY household_id, origin, horizon HAVING count(*) = 3) GROUP BY 1",
         "forecast_exclusions": cases + "SELECT split, model, coalesce(excluded_reason, 'scored') AS reason, count(*) AS cases FROM cases GROUP BY 1, 2, 3",
-        "forecast_split_counts": cases + "SELECT split, count(DISTINCT household_id) AS households, count(DISTINCT (household_id, origin)) AS origins, count(DISTINCT (household_id, target_date)) AS targets, count(DISTINCT (household_id, origin, horizon)) - count(DISTINCT (household_id, target_date)) AS repeated_targets, count(DISTINCT target_date) AS target_dates FROM cases GROUP BY 1",
+        "forecast_split_counts": cases + f"SELECT split, count(DISTINCT household_id) AS households, count(DISTINCT (household_id, origin)) AS origins, count(DISTINCT (household_id, target_date)) AS targets, count(DISTINCT (household_id, origin, horizon)) - count(DISTINCT (household_id, target_date)) AS repeated_targets, count(DISTINCT target_date) AS target_dates, max(seen) AS holdout_inputs FROM cases JOIN (SELECT split, count(*) FILTER (origin >= run_end - {s.holdout - 1}) AS seen FROM wide GROUP BY 1) USING (split) GROUP BY 1",
         "forecast_overlap": prior
         + origins
         + f", mine AS (SELECT DISTINCT household_id, origin, horizon FROM origins, (SELECT unnest(generate_series(1, {s.horizon})) AS horizon)) SELECT CASE WHEN m.household_id IS NULL THEN 'new' ELSE 'shared' END AS kind, count(*) AS cases FROM (SELECT DISTINCT household_id, origin, horizon FROM prior WHERE prediction_state = 'issued') p LEFT JOIN mine m USING (household_id, origin, horizon) GROUP BY 1",

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import io
 import pathlib
 import zipfile
 
 from pyspark.sql import SparkSession
 
-from gridloom.storage import session_dir, write_bytes
+from gridloom.storage import remove, shared_dir, write_bytes
 
 _shipped: set[str] = set()
 
@@ -26,11 +27,13 @@ def package_zip() -> bytes:
 def ship(spark: SparkSession) -> None:
     """Put the package on the path of all Python workers of a session, once.
 
-    Every operator with a function over Arrow batches calls this; the zip lies in the shared folder.
+    Every operator with a function over Arrow batches calls this; the zip lies in the shared folder until the program ends.
     """
     app = spark.sparkContext.applicationId
     if app not in _shipped:
-        path = f"{session_dir(spark)}/gridloom-package.zip"
+        # Beside the session's tables, not among them: an executor that joins late fetches it too.
+        path = f"{shared_dir(spark)}/gridloom-{app}-package.zip"
         write_bytes(spark, path, package_zip())
+        atexit.register(remove, spark, path)
         spark.sparkContext.addPyFile(path)
         _shipped.add(app)

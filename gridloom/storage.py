@@ -51,12 +51,16 @@ def release(path: str | None = None) -> None:
     Runs at the end of the program; call it earlier once no result that reads them is needed.
     """
     for folder in [path] if path else list(_used):
-        spark = _used.pop(folder, None)
-        try:
-            files, target = _file_system(spark, folder)
-            files.delete(target, True)
-        except Exception:  # noqa: BLE001, S110: the session may be gone; its folder is then left to the cluster
-            pass
+        remove(_used.pop(folder, None), folder)
+
+
+def remove(spark: SparkSession | None, path: str) -> None:
+    """Delete a file or folder on any file system, if the session still lives."""
+    try:
+        files, target = _file_system(spark, path)
+        files.delete(target, True)
+    except Exception:  # noqa: BLE001, S110: the session may be gone; what is left is then the cluster's to clear
+        pass
 
 
 def write_bytes(spark: SparkSession, path: str, data: bytes, overwrite: bool = True) -> bool:

@@ -61,13 +61,17 @@ def same(spark, folder_, name):
     assert (mine - theirs, theirs - mine) == ({}, {})
 
 
+NAMES = sorted(registry.queries())
+SMALLER = {n.removeprefix("short_") for n in NAMES if n.startswith("short_")}  # these have rows here in their short form only
+
+
 @needs_data
-@pytest.mark.parametrize("name", sorted(registry.queries()))
+@pytest.mark.parametrize("name", [n for n in NAMES if n not in SMALLER])
 def test_hostile_tables(spark, hostile_folder, name):
     same(spark, hostile_folder, name)
 
 
 @needs_data
-@pytest.mark.parametrize("name", sorted(registry.queries()))
+@pytest.mark.parametrize("name", [n for n in NAMES if not n.startswith("short_")])
 def test_empty_tables(spark, empty_folder, name):
     same(spark, empty_folder, name)
