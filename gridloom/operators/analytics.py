@@ -36,7 +36,8 @@ def banded_readings(readings: DataFrame, schedule: DataFrame, prices: DataFrame)
 
     Labels match by equality, prices by group and band within the half-open validity
     [from, until); a price with an unknown bound matches nothing. Conflicts and labels outside the
-    schedule's span are flagged, not removed.
+    schedule's span, off-grid labels, missing values, labels without a band and bands without a price
+    are flagged, not removed.
     """
     d = distinct_readings(readings)
     bands = small(schedule.select(F.col("schedule_label_naive").alias("observed_at_naive"), "band_label"))
@@ -52,6 +53,10 @@ def banded_readings(readings: DataFrame, schedule: DataFrame, prices: DataFrame)
         "price_gbp_per_kwh",
         F.coalesce("is_conflict", F.lit(False)).alias("is_conflict"),
         (~F.coalesce(F.col("observed_at_naive").between(F.col("lo"), F.col("hi")), F.lit(False))).alias("outside_schedule"),
+        (~F.coalesce("on_half_hour_grid", F.lit(False))).alias("is_off_grid"),
+        (F.coalesce(F.col("value_category") != "finite_numeric", F.lit(True)) | F.col("consumption_kwh").isNull()).alias("is_missing_value"),
+        F.col("band_label").isNull().alias("is_unmatched_label"),
+        (F.col("band_label").isNotNull() & F.col("price_gbp_per_kwh").isNull()).alias("is_unpriced_band"),
         (F.col("consumption_kwh") * F.col("price_gbp_per_kwh")).cast("decimal(38,16)").alias("amount_gbp"),
     )
 

@@ -267,7 +267,7 @@ ORACLES = {
     "group_values": "SELECT tariff_group, count(*) AS row_count, count(DISTINCT household_id) AS households FROM readings GROUP BY 1",
     "member_profile": "SELECT archive_name, member_name, count(*) AS row_count, count(DISTINCT household_id) AS households, min(observed_at_naive) AS first_at, max(observed_at_naive) AS last_at, count(consumption_kwh) AS finite_values, sum(consumption_kwh) AS total_kwh FROM readings GROUP BY 1, 2",
     "banded_readings": f"""WITH x AS (SELECT DISTINCT {', '.join(policy.DISTINCT_COLUMNS)}, {_SIG} AS value_signature FROM readings), c AS (SELECT min(schedule_label_naive) AS lo, max(schedule_label_naive) AS hi FROM dim_tariff_band_schedule)
- SELECT x.*, s.band_label, p.price_gbp_per_kwh, k.household_id IS NOT NULL AS is_conflict, NOT coalesce(x.observed_at_naive BETWEEN c.lo AND c.hi, false) AS outside_schedule, CAST(x.consumption_kwh * p.price_gbp_per_kwh AS DECIMAL(38,16)) AS amount_gbp FROM x CROSS JOIN c
+ SELECT x.*, s.band_label, p.price_gbp_per_kwh, k.household_id IS NOT NULL AS is_conflict, NOT coalesce(x.observed_at_naive BETWEEN c.lo AND c.hi, false) AS outside_schedule, NOT coalesce(x.on_half_hour_grid, false) AS is_off_grid, coalesce(x.value_category <> 'finite_numeric', true) OR x.consumption_kwh IS NULL AS is_missing_value, s.band_label IS NULL AS is_unmatched_label, s.band_label IS NOT NULL AND p.price_gbp_per_kwh IS NULL AS is_unpriced_band, CAST(x.consumption_kwh * p.price_gbp_per_kwh AS DECIMAL(38,16)) AS amount_gbp FROM x CROSS JOIN c
  LEFT JOIN dim_tariff_band_schedule s ON s.schedule_label_naive = x.observed_at_naive LEFT JOIN {_CONF} k ON k.household_id = x.household_id AND k.source_timestamp_text = x.source_timestamp_text
  LEFT JOIN dim_tariff_price p ON p.tariff_group = x.tariff_group AND p.band_label = s.band_label AND CAST(x.observed_at_naive AS DATE) >= p.effective_from AND CAST(x.observed_at_naive AS DATE) < p.effective_until""",
     "band_summary": _BANDS,

@@ -84,7 +84,7 @@ def test_nearest_rank_and_distribution(spark):
     got = {x.percent: float(x.value) for x in profile.nearest_rank_percentiles(r, (25, 50, 75)).collect()}
     assert got == {25: 0.3, 50: 0.5, 75: 0.8}
     d = profile.distribution(r).collect()[0]
-    assert (float(d.total), d.mean, d.finite_values) == (5.5, 0.55, 10)
+    assert (float(d.total), float(d.mean), d.finite_values) == (5.5, 0.55, 10)
 
 
 def test_value_categories(spark):
