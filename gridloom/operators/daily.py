@@ -16,9 +16,8 @@ def daily_records(readings: DataFrame) -> DataFrame:
     values = dated.groupBy(
         "household_id", "observed_at_naive", F.coalesce("on_half_hour_grid", F.lit(False)).alias("grid"), "consumption_kwh", F.when(F.col("consumption_kwh").isNull(), F.col("value_category")).alias("category")
     ).agg(F.count("*").alias("n"))
-    # Signatures differ if two values do, two categories without a value, or one has a value and one has none.
-    both = (F.count("consumption_kwh") > 0) & (F.count("category") > 0)
-    conflict = F.coalesce(F.min("consumption_kwh") != F.max("consumption_kwh"), F.lit(False)) | F.coalesce(F.min("category") != F.max("category"), F.lit(False)) | both
+    # Values and categories are distinct by now, so a label's signatures are its rows that have either.
+    conflict = F.count_if(F.col("consumption_kwh").isNotNull() | F.col("category").isNotNull()) > 1
     labels = values.groupBy("household_id", "observed_at_naive", "grid").agg(
         F.sum("n").alias("n"), F.sum(F.when(F.col("consumption_kwh").isNull(), F.col("n")).otherwise(0)).alias("blank"), conflict.alias("conflict"), F.sum("consumption_kwh").alias("kwh")
     )
