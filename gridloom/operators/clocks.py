@@ -7,30 +7,32 @@ is no gap. The history of least cost is found by dynamic programming over stretc
 sequence, each change of clock having its price. Among histories of equal cost the one wins whose
 last instant lies as long before ingestion as labels of known zone do in other loads.
 
-Rows only yield counts for stretches of record numbers; what is searched is at most ``MOST_BLOCKS``
-stretches a load, so a load may hold any number of rows.
+Rows only yield counts for stretches of ``BLOCK`` record numbers, in loads of any size. A load's
+stretches are searched as they stream by in order; of those passed only the changes of clock that may
+still be part of the best history are held, so a load may hold any number of rows.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import zoneinfo
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from itertools import chain, groupby
+from operator import itemgetter
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.timeline import floor_div
 from gridloom.shipping import ship
-from gridloom.storage import materialize
 
 HOUR_US = 3_600_000_000
 QUARTER_US = HOUR_US // 4
 SLOT_US = HOUR_US // 2
 BLOCK = 2_048
-MOST_BLOCKS = 512
+OUT_ROWS = 10_000
 YEARS = (1970, 2069)
 CLOCKS = ("Europe/London", "UTC", "Europe/Paris", "Europe/Athens", "Europe/Moscow", "America/New_York", "America/Chicago", "America/Denver", "America/Los_Angeles", "Asia/Kolkata", "Asia/Shanghai", "Asia/Tokyo", "Australia/Sydney")
 # Cost of a change of clock: low for one no disorder of rows explains, else two agreeing steps are needed.
@@ -109,7 +111,10 @@ def _evidence(loose: DataFrame, changes: list[tuple[str, int, int]], block: int)
 
 
 class _Search:
-    """Finds the history of least cost of one load."""
+    """Finds the history of least cost of one load.
+
+    A block's evidence is a list of (kind, key, n, at_no), as ``_evidence`` gives it.
+    """
 
     def __init__(self, clocks: Sequence[str], changes: list[tuple[str, int, int]]):
         self.names = [*clocks, *fixed_offsets()]
@@ -117,76 +122,97 @@ class _Search:
         self.skipped = hours(lambda s: s > 0, lambda w, s: w // HOUR_US)
         self.ended = hours(lambda s: s > 0, lambda w, s: (w + s) // SLOT_US)
         self.doubled = hours(lambda s: s < 0, lambda w, s: (w + s) // HOUR_US)
+        self.zones = [i for i, c in enumerate(self.names) if c[0] not in "+-"]
+        self.fixed = np.array([0 if i in self.zones else offset_us(c, 0) for i, c in enumerate(self.names)])
+        self.paired = None
 
-    def costs(self, e: pd.DataFrame, blocks: list[int], loaded_us: float) -> tuple[np.ndarray, np.ndarray]:
-        """Violations of each block under each clock, and each clock's offset in each block."""
-        place = {b: i for i, b in enumerate(blocks)}
-        cost, offset = np.zeros((len(blocks), len(self.names))), np.zeros((len(blocks), len(self.names)))
-        for r in e.itertuples():
-            i = place[r.block]
-            if r.kind == "span":
-                offset[i] = [offset_us(c, r.key) for c in self.names]
-                if loaded_us == loaded_us:
-                    cost[i] += r.key - offset[i] > loaded_us
-            elif r.kind == "skip":
-                cost[i] += [r.n * (r.key in self.skipped[c]) for c in self.names]
-            elif r.kind == "jump":
-                cost[i] += [r.n * (r.key not in self.ended[c]) for c in self.names]
-            elif r.kind == "back":
-                cost[i] += r.n
+    def offsets(self, wall_us: int) -> np.ndarray:
+        """Each clock's offset at a wall time."""
+        offset = self.fixed.copy()
+        offset[self.zones] = [offset_us(self.names[i], wall_us) for i in self.zones]
+        return offset
+
+    def costs(self, e: list[tuple], offset: np.ndarray, loaded_us: float | None) -> np.ndarray:
+        """Violations of a block under each clock."""
+        cost = np.zeros(len(self.names))
+        for kind, key, n, _ in e:
+            if kind == "span":
+                if loaded_us is not None:
+                    cost += key - offset > loaded_us
+            elif kind == "skip":
+                cost += [n * (key in self.skipped[c]) for c in self.names]
+            elif kind == "jump":
+                cost += [n * (key not in self.ended[c]) for c in self.names]
+            elif kind == "back":
+                cost += n
             else:  # a step back of an hour at most is none where the clock runs that hour twice
-                cost[i] -= [r.n * (r.key in self.doubled[c]) for c in self.names]
-        return cost, offset
+                cost -= [n * (key in self.doubled[c]) for c in self.names]
+        return cost
 
-    def refunds(self, e: pd.DataFrame, block: int, o: np.ndarray) -> tuple[np.ndarray, dict[int, int]]:
+    def refunds(self, e: list[tuple], o: np.ndarray) -> tuple[np.ndarray, dict[int, int]]:
         """What a change from each clock to each other saves in a block, less the price of the change."""
-        back = e[(e.block == block) & (e.kind == "back")]
-        gap = o[:, None] - o[None, :]  # how far the labels fall back
+        if self.paired is None or (self.paired[0] != o).any():
+            # How far the labels fall back: the same few distances for many pairs of clocks.
+            self.paired = o, *np.unique(o[:, None] - o[None, :], return_inverse=True)
+        _, gap, pairs = self.paired
         price = np.where(gap > 2 * HOUR_US, CHANGE, SMALL_CHANGE)
-        saved, starts = np.zeros_like(gap), {}
-        for r in back.itertuples():
-            step = r.key * QUARTER_US + gap  # the true step, were this the change
-            explained = (step >= -QUARTER_US) & (step <= HOUR_US)
-            saved += np.where(explained, r.n - 1e-3 * np.abs(step - SLOT_US) / HOUR_US, -2.0 * r.n)
-            starts[int(r.key)] = int(r.at_no)
-        return np.where(gap > 0, np.maximum(saved, 0), 0) - price, starts
-
-    def history(self, load: str, e: pd.DataFrame, loaded_us: float, lag_us: float) -> list[tuple]:
-        blocks = sorted(e.block.unique())
-        cost, offset = self.costs(e, blocks, loaded_us)
-        last = e[e.kind == "span"].sort_values("block").key.max()
-        order = np.arange(len(self.names)) * 1e-6  # of equals, the clock named first
-        cost[0] += order
-        if loaded_us == loaded_us and lag_us == lag_us:
-            cost[-1] += LAG_SHARE * np.minimum(1, np.abs(loaded_us - (last - offset[-1]) - lag_us) / LAG_SPAN_US)
-        total, came, entry = cost[0].copy(), [], []
-        for b in range(1, len(blocks)):
-            refund, starts = self.refunds(e, blocks[b], offset[b])
+        starts = {key: at_no for kind, key, _, at_no in e if kind == "back"}
+        saved = np.zeros(len(gap))
+        for kind, key, n, _ in e:
+            if kind == "back":
+                step = key * QUARTER_US + gap  # the true step, were this the change
+                explained = (step >= -QUARTER_US) & (step <= HOUR_US)
+                saved += np.where(explained, n - 1e-3 * np.abs(step - SLOT_US) / HOUR_US, -2.0 * n)
+        refund = np.where(gap > 0, np.maximum(saved, 0), 0) - price
+        return refund[pairs].reshape(len(o), len(o)), starts
+
+    def history(self, load: str, blocks: Iterator[list[tuple]], loaded_us: float | None, lag_us: float | None) -> list[tuple]:
+        """The load's rows of ``HISTORY`` from the evidence of its blocks in order.
+
+        For each clock ``ways`` holds the best history that ends on it, as (first record, clock, history
+        before). Histories share what they have in common, and one that no other goes on from is freed.
+        """
+        total, ways, last = None, [(None, c, None) for c in range(len(self.names))], None
+        following = next(blocks)
+        while following is not None:
+            e, following = following, next(blocks, None)
+            latest, first = next((key, at_no) for kind, key, _, at_no in e if kind == "span")
+            last = latest if last is None else max(last, latest)
+            offset = self.offsets(latest)
+            cost = self.costs(e, offset, loaded_us)
+            if total is None:
+                cost += np.arange(len(self.names)) * 1e-6  # of equals, the clock named first
+            if following is None and loaded_us is not None and lag_us is not None:
+                cost += LAG_SHARE * np.minimum(1, np.abs(loaded_us - (last - offset) - lag_us) / LAG_SPAN_US)
+            if total is None:
+                total = cost
+                continue
+            refund, starts = self.refunds(e, offset)
             via = total[:, None] - refund
             via[np.diag_indices(len(total))] = total
-            came.append(via.argmin(axis=0))
-            entry.append(starts)
-            total = via.min(axis=0) + cost[b]
+            before = ways
+            ways = []
+            for c, came in enumerate(via.argmin(axis=0).tolist()):
+                if came == c:
+                    ways.append(before[c])
+                else:
+                    fall = int(offset[came] - offset[c])
+                    hits = [starts[k] for k in range(-((QUARTER_US + fall) // QUARTER_US), (HOUR_US - fall) // QUARTER_US + 1) if k in starts]
+                    ways.append((min(hits, default=first), c, before[came]))
+            total = via.min(axis=0) + cost
         best = int(total.argmin())
-        other = total[offset[-1] != offset[-1][best]]
+        other = total[offset != offset[best]]
         support = float(other.min() - total[best]) if len(other) else 0.0
-        path = [best]
-        for c in reversed(came):
-            path.append(int(c[path[-1]]))
-        path.reverse()
-        first = {b: int(n) for b, n in e[e.kind == "span"].groupby("block").at_no.min().items()}
-        out, at = [], None
-        for i, (b, c) in enumerate(zip(blocks, path)):
-            if i == 0 or c != path[i - 1]:
-                start = None if i == 0 else first[b]
-                if i:
-                    fall = offset[i][path[i - 1]] - offset[i][c]
-                    hits = [n for key, n in entry[i - 1].items() if -QUARTER_US <= key * QUARTER_US + fall <= HOUR_US]
-                    start = min(hits, default=start)
-                if out:
-                    out[-1][2] = start - 1
-                out.append([load, start, at, self.names[c], float(total[best]), support])
-        return [tuple(r) for r in out]
+        out, to_no, way = [], None, ways[best]
+        while way is not None:
+            from_no, c, way = way
+            out.append((load, from_no, to_no, self.names[c], float(total[best]), support))
+            to_no = None if from_no is None else from_no - 1
+        return out[::-1]
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
 
 def clock_histories(labels: DataFrame, registry: DataFrame, clocks: Sequence[str] = CLOCKS, block: int = BLOCK) -> DataFrame:
@@ -201,23 +227,33 @@ def clock_histories(labels: DataFrame, registry: DataFrame, clocks: Sequence[str
     ship(labels.sparkSession)
     changes = clock_changes(clocks)
     loose = labels.where(F.col("wall_us").isNotNull() & F.col("fixed_us").isNull() & F.col("text_region").isNull() & F.col("status_zone").isNull())
-    fine = materialize(_evidence(loose.select("load_id", "household_id", "source_record_no", "wall_us"), changes, block), "clockblocks")
-    spans = fine.groupBy("load_id").agg(F.min("block").alias("low"), F.greatest(F.lit(1), F.ceil((F.max("block") - F.min("block") + 1) / MOST_BLOCKS)).alias("wide"))
+    found = _evidence(loose.select("load_id", "household_id", "source_record_no", "wall_us"), changes, block)
     loaded = registry.groupBy("load_id").agg(F.max(F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), F.col("loaded_at_utc"))).alias("loaded_us"))
     known = labels.where(F.col("wall_us").isNotNull() & (F.col("fixed_us").isNotNull()) | F.col("epoch_us").isNotNull()).groupBy("load_id").agg(F.max(F.coalesce(F.col("epoch_us"), F.col("wall_us") - F.col("fixed_us"))).alias("last_us"))
     lag = known.join(loaded, "load_id").select((F.col("loaded_us") - F.col("last_us")).alias("lag_us")).where((F.col("lag_us") >= 0) & (F.col("lag_us") < 48 * HOUR_US))
-    usual = lag.agg(F.percentile_approx("lag_us", 0.5)).scalar()
-    wide = fine.join(spans, "load_id").withColumn("block", F.floor((F.col("block") - F.col("low")) / F.col("wide")))
-    latest = F.when(F.col("kind") != "span", F.col("key"))  # a span's key is its latest label
-    wide = wide.groupBy("load_id", "block", "kind", latest.alias("k")).agg(F.max("key").alias("key"), F.sum("n").alias("n"), F.min("at_no").alias("at_no"))
-    asked = wide.join(loaded, "load_id", "left").withColumn("lag_us", usual).select("load_id", "block", "kind", "key", "n", "at_no", F.col("loaded_us").cast("double"), F.col("lag_us").cast("double"))
+    usual = lag.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY lag_us)")).scalar()
+    asked = found.join(loaded, "load_id", "left").select("load_id", F.col("loaded_us").cast("double"), usual.cast("double").alias("lag_us"), "block", "kind", "key", "n", "at_no")
+    # As many parts as other shuffles have: few rows, but much to compute for each. By a hash of the key: a repartition
+    # by the key of the join before it would be left out, and the join's parts may be cut where they are large.
+    parts = int(labels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = asked.repartition(parts, F.xxhash64("load_id")).sortWithinPartitions("load_id", "block", "kind", "key")
 
-    def run(e: pd.DataFrame) -> pd.DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = _Search(clocks, changes)
-        out = search.history(e.load_id.iloc[0], e, e.loaded_us.iloc[0], e.lag_us.iloc[0])
-        return pd.DataFrame(out, columns=[c.split()[0] for c in HISTORY.split(", ")]).astype({"from_no": "Int64", "to_no": "Int64"})
+        schema = pa.schema([("load_id", pa.string()), ("from_no", pa.int64()), ("to_no", pa.int64()), ("clock", pa.string()), ("violations", pa.float64()), ("support", pa.float64())])
+        rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns)))
+        out: list[tuple] = []
+        for load, own in groupby(rows, itemgetter(0)):
+            head = next(own)
+            blocks = ([r[4:] for r in one] for _, one in groupby(chain([head], own), itemgetter(3)))
+            out += search.history(load, blocks, head[1], head[2])
+            while len(out) >= OUT_ROWS:
+                yield _batch(out[:OUT_ROWS], schema)
+                out = out[OUT_ROWS:]
+        if out:
+            yield _batch(out, schema)
 
-    return asked.groupBy("load_id").applyInPandas(run, HISTORY)
+    return asked.mapInArrow(run, HISTORY)
 
 
 def covered(record_no: Column) -> Column:

@@ -146,6 +146,21 @@ def test_a_load_that_changes_its_clock_half_way(spark):
     assert {no for no in true if got[no].instant_utc != true[no]} == set()
 
 
+def test_changes_of_a_long_load_are_told_as_in_a_short_one(spark):
+    """Two changes of clock, the load's last records millions of record numbers later."""
+    start, last = dt.datetime(2015, 1, 10, tzinfo=dt.UTC), dt.datetime(2015, 1, 10, tzinfo=dt.UTC) + dt.timedelta(minutes=30 * 2399)
+    data, true = [], {}
+    for k, zone in enumerate(("Asia/Tokyo", "UTC", "America/New_York")):
+        more, own = series("l", zone, start + dt.timedelta(minutes=30 * 800 * k), 800, 1 + len(data))
+        data, true = data + more, true | own
+    known = [reading(90_000_000, "HH9", None, 1, text="2015-01-11T22:30:00Z", load="known", status="in_text")]
+    loads = {"l": (last + dt.timedelta(minutes=90)).replace(tzinfo=None), "known": dt.datetime(2015, 1, 12)}
+    for far in (0, 20_000_000):
+        moved = lambda no: no + far * (no > 7000)  # noqa: B023, E731
+        got = estimated(spark, [(*r[:3], moved(r[3]), *r[4:]) for r in data] + known, loads)
+        assert {no for no in true if got[moved(no)].instant_utc != true[no]} == set()
+
+
 def test_nothing_tells_the_zone_of_a_late_load(spark):
     data, true = series("l", "Europe/Paris", dt.datetime(2015, 1, 10, tzinfo=dt.UTC), 48, 1)
     got = estimated(spark, data, {"l": dt.datetime(2016, 1, 1)})
